@@ -77,3 +77,8 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     np.cumsum([len(p) for p in parts], out=ends[1:])
     flat = np.concatenate(parts) if parts else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+
+
+def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, which must be cheap to count, with a broadcast hint if it has at most ``most_rows`` rows."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

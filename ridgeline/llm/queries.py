@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, token_binary, token_counts
+from . import decontaminate, pieces, quality_rules, token_binary, token_counts
 from .common import table
 
 
@@ -14,6 +14,14 @@ def _tokenizers():
     return public_tokenizers
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_report(spark, sf_dir)
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_binary.new_path(spark)
     token_binary.write_shards(table(spark, sf_dir, "documents"), path, _tokenizers().path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
@@ -35,4 +43,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontaminate": decontaminate.SQL.replace("{documents}", "documents"),
+        "op2_quality_rules": quality_rules.SQL.replace("{documents}", "documents").replace("{host_limit}", "0.75"),
+    }
