@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, quality_rules, simhash, token_binary, token_counts
+from . import decontaminate, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts
 from .common import table
 
 
@@ -32,10 +32,18 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_report(table(spark, sf_dir, "documents"), _tokenizers().path("piece_bpe_32k.model"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup.suffix_array_report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tokenizers()
     lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), t.path("byte_bpe_50k.tiktoken"), t.PATTERN)
