@@ -35,8 +35,37 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_PENALTY = 10.0
 
 
+class _Words(dict):
+    """Ids, as bytes, of what stands between two single spaces, with the first of them.
+
+    The first ``limit`` different words are kept. A line feed is a chunk of its
+    own, and what follows it has no space mark.
+    """
+
+    def __init__(self, model: PieceModel, limit: int):
+        self.model, self.limit, self.starts = model, limit, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if "\n" in word:
+            first, *lines = word.split("\n")
+            return self[first] + b"".join(self._line(x) for x in lines)
+        ids = np.array(self.model.viterbi(SPACE + word), np.int32).tobytes()
+        if len(self) < self.limit and len(word) < 64:
+            self[word] = ids
+        return ids
+
+    def _line(self, word: str) -> bytes:
+        """A line feed and the first word after it."""
+        ids = self.starts.get(word)
+        if ids is None:
+            ids = np.array(self.model.viterbi("\n") + self.model.viterbi(word), np.int32).tobytes()
+            if len(self.starts) < self.limit // 8 and len(word) < 64:
+                self.starts[word] = ids
+        return ids
+
+
 class PieceModel:
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -46,7 +75,6 @@ class PieceModel:
         spec = proto.normalizer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix:
             raise ValueError("only models that keep the text as it is and add a leading space are supported")
-        self.limit, self.kept = limit, {}
         self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
         self.single: set[str] = set()
@@ -68,56 +96,53 @@ class PieceModel:
                 self.bytes_of.append(b"")
         self.automaton.make_automaton()
         self.unknown = min(scores) - UNKNOWN_PENALTY
-        newline = any("\n" in p.piece for p in proto.pieces if p.type in (NORMAL, USER))
+        self.newline_alone = not any("\n" in p.piece for p in proto.pieces if p.type in (NORMAL, USER))
         #: Words with the space marks before them; a line feed without a piece stands alone.
-        self.chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if newline else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
+        self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if self.newline_alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.words = _Words(self, limit)
 
     def viterbi(self, text: str) -> list[int]:
         """Piece ids of the path with the highest total score; of equal ones that whose last piece is longest."""
         n = len(text)
-        best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
-        reached = 0  # positions up to here are final
-
-        def unknown_up_to(end: int) -> None:
-            nonlocal reached
-            while reached < end:
-                reached += 1
-                if text[reached - 1] not in self.single and best[reached - 1] + self.unknown > best[reached]:
-                    best[reached], back[reached] = best[reached - 1] + self.unknown, (reached - 1, -1)
-
+        best, size_of, piece_of = [0.0] + [-np.inf] * n, [1] * (n + 1), [-1] * (n + 1)
+        # characters without a piece, in order; their edges are taken once all before them is final
+        strange = [] if self.single.issuperset(text) else [k for k, c in enumerate(text) if c not in self.single]
+        waiting = iter(strange)
+        at = next(waiting, n)
         for last, (size, score, piece) in self.automaton.iter(text):
-            end = last + 1
-            if end - 1 > reached:
-                unknown_up_to(end - 1)
-            total = best[end - size] + score
-            if total > best[end]:
-                best[end], back[end] = total, (end - size, piece)
-        unknown_up_to(n)
+            while at < last:
+                if best[at] + self.unknown > best[at + 1]:
+                    best[at + 1], size_of[at + 1], piece_of[at + 1] = best[at] + self.unknown, 1, -1
+                at = next(waiting, n)
+            total = best[last + 1 - size] + score
+            if total > best[last + 1]:
+                best[last + 1], size_of[last + 1], piece_of[last + 1] = total, size, piece
+        while at < n:
+            if best[at] + self.unknown > best[at + 1]:
+                best[at + 1], size_of[at + 1], piece_of[at + 1] = best[at] + self.unknown, 1, -1
+            at = next(waiting, n)
         ids: list[int] = []
         while n:
-            start, piece = back[n]
-            ids.extend([piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(text[start:n].encode())])
-            n = start
+            piece = piece_of[n]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids.extend(self.byte_ids[b] for b in reversed(text[n - 1].encode()))
+            n -= size_of[n]
         return ids[::-1]
 
-    def _chunk(self, chunk: str) -> list[int]:
-        ids = self.kept.get(chunk)
-        if ids is None:
-            ids = self.viterbi(chunk)
-            if len(self.kept) < self.limit and len(chunk) < 64:
-                self.kept[chunk] = ids
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
+        if SPACE not in text and "  " not in text and text[0] != " " and self.newline_alone:  # no two space marks meet
+            return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(" "))), np.int32)
         parts = text.split(SPACE)
         ids: list[int] = []
         for k, part in enumerate(parts):
             if k:
                 ids.extend(self.byte_ids[b] for b in SPACE.encode())
             for chunk in self.chunks((SPACE if not k else "") + part.replace(" ", SPACE)):
-                ids.extend(self._chunk(chunk))
+                ids.extend(self.viterbi(chunk))
         return np.array(ids, np.int32)
 
     def decode(self, ids: list[int]) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts
+from . import decontaminate, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts, toxicity
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_table(lengths)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
