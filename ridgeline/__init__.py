@@ -1,0 +1 @@
+"""A Spark engine for daily price panels."""
