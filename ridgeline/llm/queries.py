@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts, toxicity
+from .. import workspace
+from . import decontaminate, lm_scoring, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts, toxicity
 from .common import table
 
 
@@ -23,11 +26,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_binary.new_path(spark)
+    path = workspace.new_path(spark, "token-shards")
     token_binary.write_shards(table(spark, sf_dir, "documents"), path, _tokenizers().path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
     return token_binary.read_documents(spark, path)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_report(table(spark, sf_dir, "documents"), uuid.uuid4().hex)
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_report(table(spark, sf_dir, "documents"), _tokenizers().path("piece_bpe_32k.model"))
 
