@@ -65,10 +65,10 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.8, broadcast_rows:
     return both.join(found, same(both, found) & (both["item_id"].eqNullSafe(found["item_id"])), "left_semi").withColumnRenamed("n", "item_shingles")
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, share: float = 0.8) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, share: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` that hold no item, with its columns."""
-    bad = leaks(docs, items, share).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
-    return docs.join(stored(bad), docs["doc_id"].cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(docs["text"]) == F.col("_leak_hash")), "left_anti")
+    bad = stored(leaks(docs, items, share).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct())
+    return docs.join(sized_broadcast(bad, broadcast_rows), docs["doc_id"].cast("long").eqNullSafe(bad["_leak_id"]) & (F.xxhash64(docs["text"]) == bad["_leak_hash"]), "left_anti")
 
 
 def leak_report(spark, sf_dir: str, share: float = 0.8) -> DataFrame:

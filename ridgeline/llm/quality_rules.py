@@ -43,32 +43,33 @@ def _only(text: Column, chars: str) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the measures, as fields of a struct column ``_q``."""
+    """(doc, source, q) for each row: all its columns as a struct, its host, and the measures as a struct."""
+    docs = docs.select(F.struct("*").alias("doc"), "text", "source")
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(BLANKS))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    rows = docs.withColumns({"_q_words": F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP)), "_q_lines": lines})
-    window = lambda i: F.xxhash64(*[F.get(F.col("_q_words"), i + k) for k in range(WINDOW)])
-    rows = rows.withColumn("_q_hashes", F.when(F.size("_q_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_q_words") - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
+    rows = docs.withColumns({"words": F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP)), "lines": lines})
+    window = lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(WINDOW)])
+    rows = rows.withColumn("hashes", F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
     # (hash, position) in order, for the texts that have a repeat
-    pairs = F.sort_array(F.transform("_q_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    repeats = F.size(F.array_distinct("_q_hashes")) < F.size("_q_hashes")
-    rows = rows.withColumn("_q_pairs", F.when(repeats, pairs))
-    same = lambda p, k, step: F.coalesce(F.get(F.col("_q_pairs"), k + step)["h"] == p["h"], F.lit(False))
-    twice = F.filter("_q_pairs", lambda p, k: same(p, k, 1) | ((k > 0) & same(p, k, -1)))
-    rows = rows.withColumn("_q_starts", F.sort_array(F.transform(twice, lambda p: p["i"])))
-    covered = F.transform("_q_starts", lambda s, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_q_starts"), k + 1) - s, F.lit(WINDOW))))
+    pairs = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    rows = rows.withColumn("pairs", F.when(repeats, pairs))
+    same = lambda p, k, step: F.coalesce(F.get(F.col("pairs"), k + step)["h"] == p["h"], F.lit(False))
+    twice = F.filter("pairs", lambda p, k: same(p, k, 1) | ((k > 0) & same(p, k, -1)))
+    rows = rows.withColumn("starts", F.sort_array(F.transform(twice, lambda p: p["i"])))
+    covered = F.transform("starts", lambda s, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("starts"), k + 1) - s, F.lit(WINDOW))))
     measures = {
-        "n_words": F.size("_q_words").cast("long"),
-        "word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
+        "n_words": F.size("words").cast("long"),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "n_symbols": _only(text, r"#*$%&|<>"),
-        "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
-        "n_lines": F.size("_q_lines").cast("long"),
+        "n_lines": F.size("lines").cast("long"),
         "n_capitals": _only(text, "A-Z"),
         "n_exclaims": _only(text, "!"),
     }
-    return rows.select(*docs.columns, F.struct(*[c.alias(k) for k, c in measures.items()]).alias("_q"))
+    return rows.select("doc", "source", F.struct(*[c.alias(k) for k, c in measures.items()]).alias("q"))
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
@@ -101,15 +102,14 @@ def judge(rows: DataFrame, host_limit: float) -> DataFrame:
 
 def quality_report(docs: DataFrame, host_limit: float = 0.75) -> DataFrame:
     """For each document its measures, base_failed, kept and host_rejected."""
-    rows = measured(docs.select("doc_id", "text", "source")).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "_q.*")
+    rows = measured(docs.select("doc_id", "text", "source")).select(F.col("doc.doc_id").cast("long").alias("doc_id"), "source", "q.*")
     out = judge(stored(rows), host_limit)
     return out.select("doc_id", *MEASURES[:5], F.col("fail_base").alias("base_failed"), "kept", (F.col("host_rate") > host_limit).alias("host_rejected"))
 
 
 def kept_documents(docs: DataFrame, host_limit: float = 0.75) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    rows = stored(measured(docs).select(F.struct(*docs.columns).alias("doc"), "source", "_q"))
-    out = judge(rows.select("doc", "source", "_q.*"), host_limit)
+    out = judge(stored(measured(docs)).select("doc", "source", "q.*"), host_limit)
     return out.where("kept").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
