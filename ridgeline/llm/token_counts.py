@@ -77,7 +77,7 @@ def token_lengths(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lengths, "doc_id long, n_tokens long")
 
 
-def length_table(lengths: DataFrame, block: int = 1024) -> DataFrame:
+def length_table(lengths: DataFrame, block: int = 128) -> DataFrame:
     """For every distinct length, taken as context limit L: n_docs of that
     length, docs_longer, tokens_longer (of documents longer than L),
     total_docs, total_tokens, truncated_tokens (the sum of min(length, L)) and
