@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import workspace
+
 #: Java pattern of what separates words: ASCII white space only.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -41,27 +41,20 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests on one machine) a temporary folder is made and
-    recorded, so that all later calls in the session agree on it.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("ridgeline.scratch", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("ridgeline.scratch", folder)
-    return folder
+#: Spark then removes a statement's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut there."""
+    """``df`` written to the shared folder and read back: lineage is cut there,
+    and the shuffle files behind it aren't needed any longer."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return workspace.stored(df)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000):

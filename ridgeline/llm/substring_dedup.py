@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .common import list_array, slices, stored
+from .common import list_array, slices
 
 NEVER = (1 << 63) - 1
 
@@ -61,6 +61,9 @@ class WordWindows:
     def content(self, words: list[bytes], start: int, windows: int) -> bytes:
         return b" ".join(words[start : start + windows + self.size - 1])
 
+    def count(self, content: bytes) -> int:
+        return content.count(b" ") + 2 - self.size
+
     def windows(self, content: bytes) -> list[bytes]:
         words = content.split(b" ")
         return [b" ".join(words[k : k + self.size]) for k in range(len(words) - self.size + 1)]
@@ -125,8 +128,7 @@ def removed_words(docs: DataFrame, size: int = 13, gram: int = 5) -> DataFrame:
     in words, flattened."""
     scheme = WordWindows(size, gram)
     rows = winnow.keyed(docs)
-    found = stored(winnow.passages(rows, winnow.repeated_names(rows, scheme, within=False), scheme))
-    told = winnow.resolved(found, scheme, lambda c, f, p: first_documents(c, f, p, size), fold=lambda first, places: first)
+    known = winnow.with_spans(rows, scheme, False, resolve=lambda c, f, p: first_documents(c, f, p, size), fold=lambda first, places: first, base=lambda first, places: first)
 
     def remove(batches):
         for b in slices(batches, 500):
@@ -140,7 +142,7 @@ def removed_words(docs: DataFrame, size: int = 13, gram: int = 5) -> DataFrame:
                 spans.append(edges)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), list_array(spans, pa.int64())], ["doc_id", "text", "kept", "n_words", "spans"])
 
-    return winnow.told_back(rows, found, told).mapInArrow(remove, "doc_id long, text binary, kept binary, n_words long, spans array<long>")
+    return known.mapInArrow(remove, "doc_id long, text binary, kept binary, n_words long, spans array<long>")
 
 
 def substring_report(docs: DataFrame, size: int = 13) -> DataFrame:

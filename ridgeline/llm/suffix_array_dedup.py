@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .common import list_array, slices, stored
+from .common import list_array, slices
 
 Q = 8
 #: A number for each byte.
@@ -44,6 +44,9 @@ class ByteWindows:
     def content(self, text: bytes, start: int, windows: int) -> bytes:
         return text[start : start + windows + self.size - 1]
 
+    def count(self, content: bytes) -> int:
+        return len(content) - self.size + 1
+
     def windows(self, content: bytes) -> list[bytes]:
         return [content[k : k + self.size] for k in range(len(content) - self.size + 1)]
 
@@ -87,8 +90,7 @@ def removed_bytes(docs: DataFrame, size: int = 200, gram: int = 64) -> DataFrame
     """(doc_id, kept, n_bytes, spans) for each row of ``docs``: spans are the removed (start, end), flattened."""
     scheme = ByteWindows(size, gram)
     rows = winnow.keyed(docs)
-    found = stored(winnow.passages(rows, winnow.repeated_names(rows, scheme, within=True), scheme))
-    told = winnow.resolved(found, scheme, lambda c, f, p: repeats(c, f, p, size), fold=lambda first, places: places > 1)
+    known = winnow.with_spans(rows, scheme, True, resolve=lambda c, f, p: repeats(c, f, p, size), fold=lambda first, places: places > 1, base=lambda first, places: places > 1)
 
     def remove(batches):
         for b in slices(batches, 500):
@@ -101,7 +103,7 @@ def removed_bytes(docs: DataFrame, size: int = 200, gram: int = 64) -> DataFrame
                 spans.append(edges)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), list_array(spans, pa.int64())], ["doc_id", "kept", "n_bytes", "spans"])
 
-    return winnow.told_back(rows, found, told).mapInArrow(remove, "doc_id long, kept binary, n_bytes long, spans array<long>")
+    return known.mapInArrow(remove, "doc_id long, kept binary, n_bytes long, spans array<long>")
 
 
 def suffix_array_report(docs: DataFrame, size: int = 200) -> DataFrame:

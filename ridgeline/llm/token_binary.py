@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices, text_bytes
+from .common import slices, text_bytes
 
 #: A set bit's place is kept for every so many.
 SAMPLE = 256
@@ -185,7 +184,3 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     rows = shards.mapInArrow(documents, "doc_id long, part long, seq long, at long, n_tokens long, ids_crc32 long")
     return rows.join(shard_offsets(shards), ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def new_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"

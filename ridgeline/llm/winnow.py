@@ -7,10 +7,13 @@ neighbouring windows mostly share one, so the names that occur more than once
 lead to all repeats at a few rows for each hundred bytes:
 
 1. ``repeated_names`` gathers (name, document) and keeps names seen twice;
-2. ``passages`` cuts from each document the runs of windows with such a name;
-3. equal passages are taken together, and an operator tells for each distinct
-   passage which of its windows occur elsewhere (its own method);
-4. ``told_back`` brings that to each document, as a list for its row.
+2. ``blocks`` cuts from each document the stretches of windows with such
+   names, at places that the names themselves set, so that copies are cut
+   alike; equal blocks are then taken together, however many there are;
+3. among the distinct blocks the names that occur twice again lead to the
+   ``passages`` that different blocks may share, and an operator tells which
+   of their windows are equal (its own method);
+4. ``told_back`` brings that to the blocks and to each document's row.
 
 Nothing is dropped on the way: a window whose name occurs once occurs once.
 """
@@ -136,44 +139,86 @@ def _names(x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 0])], ["key", "name"])
 
 
-PASSAGE = "name long, passage long, key long, text_hash long, doc_id long, start long, windows long, content binary"
+#: A block ends before one in so many names.
+CUT = np.uint64(8)
+BLOCK = {"block": pa.binary(), "key": pa.int64(), "text_hash": pa.int64(), "doc_id": pa.int64(), "start": pa.int64(), "content": pa.binary()}
+PASSAGE = {"name": pa.int64(), "passage": pa.int64(), "block": pa.binary(), "start": pa.int64(), "content": pa.binary(), "first_doc": pa.int64(), "places": pa.int64()}
 
 
-def passages(rows: DataFrame, repeated: DataFrame, scheme) -> DataFrame:
-    """A row for each run of windows with a repeated name; ``passage`` is the content's hash."""
+def _schema(fields: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{n} {'binary' if pa.types.is_binary(t) else 'long'}" for n, t in fields.items())
+
+
+def _lots(rows: list[tuple], fields: dict[str, pa.DataType], size: int = 5_000):
+    for at in range(0, len(rows), size):
+        columns = zip(*rows[at : at + size])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, fields.values())], list(fields))
+
+
+def _wanted_runs(text: bytes, wanted, scheme):
+    """Units of a text, and its runs' names, starts, sizes and whether a name is among ``wanted``."""
+    units, grams = scheme.grams(text)
+    names = window_names(grams, scheme.width)
+    starts, sizes = name_runs(names, scheme.width)
+    known = np.sort(wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
+    own = names[starts]
+    take = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
+    return units, own, starts, sizes, take
+
+
+def blocks(rows: DataFrame, repeated: DataFrame, scheme, longest: int = 64) -> DataFrame:
+    """A row for each stretch of a document's windows with repeated names; ``block`` is the content's hash."""
     both = rows.join(repeated, "key").select("key", "doc_id", "text", F.xxhash64("text").alias("text_hash"), "names")
 
     def cut(batches):
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_digest
 
         for b in slices(batches, 200):
             out: list[tuple] = []
-            columns = [b.column(k).to_pylist() for k in range(4)]
-            for row, (key, doc, text, text_hash) in enumerate(zip(*columns)):
-                units, grams = scheme.grams(text)
-                names = window_names(grams, scheme.width)
-                starts, sizes = name_runs(names, scheme.width)
-                wanted = np.sort(b.column(4)[row].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                mine = names[starts]
-                at = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
-                take = np.flatnonzero(wanted[at] == mine) if len(wanted) else np.zeros(0, np.int64)
-                for name, s, n in zip(mine[take].view(np.int64).tolist(), starts[take].tolist(), sizes[take].tolist()):
-                    content = scheme.content(units, s, n)
-                    out.append((name, xxh3_64_intdigest(content) - (1 << 63), key, text_hash, doc, s, n, content))
-            for at in range(0, len(out), 10_000):
-                yield _passages(out[at : at + 10_000])
+            for row, (key, doc, text, text_hash) in enumerate(zip(*[b.column(k).to_pylist() for k in range(4)])):
+                units, names, starts, sizes, take = _wanted_runs(text, b.column(4)[row], scheme)
+                if not take.any():
+                    continue
+                head = take & (~np.append(False, take[:-1]) | (names % CUT == 0))
+                first = np.flatnonzero(head)
+                total = np.add.reduceat(np.where(take, sizes, 0), first)
+                for s, n in zip(starts[first].tolist(), total.tolist()):
+                    for at in range(s, s + n, longest * scheme.width):
+                        content = scheme.content(units, at, min(longest * scheme.width, s + n - at))
+                        out.append((xxh3_128_digest(content), key, text_hash, doc, at, content))
+            yield from _lots(out, BLOCK)
 
-    return both.mapInArrow(cut, PASSAGE)
+    return both.mapInArrow(cut, _schema(BLOCK))
 
 
-def _passages(rows: list[tuple]) -> pa.RecordBatch:
-    names = [c.split()[0] for c in PASSAGE.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary() if n == "content" else pa.int64()) for n, c in zip(names, zip(*rows))], names)
+def distinct_blocks(found: DataFrame) -> DataFrame:
+    """(key, block, text, first_doc, places): equal blocks taken together."""
+    own = found.groupBy("block", "content").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first_doc"), F.count(F.lit(1)).alias("places"))
+    return own.select(F.xxhash64("block").alias("key"), "block", F.col("content").alias("text"), "first_doc", "places")
+
+
+def passages(each: DataFrame, repeated: DataFrame, scheme) -> DataFrame:
+    """A row for each run of a block's windows with a repeated name."""
+    both = each.join(repeated, "key").select("block", "text", "first_doc", "places", "names")
+
+    def cut(batches):
+        from xxhash import xxh3_64_intdigest
+
+        for b in slices(batches, 1000):
+            out: list[tuple] = []
+            for row, (block, text, first, places) in enumerate(zip(*[b.column(k).to_pylist() for k in range(4)])):
+                units, names, starts, sizes, take = _wanted_runs(text, b.column(4)[row], scheme)
+                for name, s, n in zip(names[take].view(np.int64).tolist(), starts[take].tolist(), sizes[take].tolist()):
+                    content = scheme.content(units, s, n)
+                    out.append((name, xxh3_64_intdigest(content) - (1 << 63), block, s, content, first, places))
+            yield from _lots(out, PASSAGE)
+
+    return both.mapInArrow(cut, _schema(PASSAGE))
 
 
 def distinct_passages(found: DataFrame) -> DataFrame:
-    """(name, passage, windows, content, first_doc, places): equal passages taken together."""
-    return found.groupBy("name", "passage", "windows", "content").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first_doc"), F.count(F.lit(1)).alias("places"))
+    """(name, passage, content, first_doc, places): equal passages taken together."""
+    return found.groupBy("name", "passage", "content").agg(F.min("first_doc").alias("first_doc"), F.sum("places").alias("places"))
 
 
 def run_lengths(values: np.ndarray) -> np.ndarray:
@@ -207,7 +252,7 @@ def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, lot: i
     name with more than ``hot`` distinct passages isn't brought together:
     ``_one_by_one`` deals its windows out and folds equal ones.
     """
-    each = distinct_passages(found)
+    each = distinct_passages(found)  # of a stored table
     crowded = stored(each.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("name"))
     columns = ["name", "passage", "content", "first_doc", "places"]
     some = not crowded.isEmpty()
@@ -262,14 +307,41 @@ def _one_by_one(each: DataFrame, scheme, fold: Callable) -> DataFrame:
     return own.select("name", "passage", F.flatten(F.transform("told", lambda x: F.array(x["value"], F.lit(1).cast("long")))).alias("told"))
 
 
+def told_blocks(each: DataFrame, found: DataFrame, told: DataFrame, scheme, base: Callable) -> DataFrame:
+    """(block, told) for every block: ``base(first_doc, places)`` for each window, or what its passages tell."""
+    own = found.select("name", "passage", "block", "start").join(told, ["name", "passage"]).groupBy("block").agg(F.collect_list(F.struct("start", "told")).alias("spans"))
+    both = each.select("block", "text", "first_doc", "places").join(own, "block", "left")
+
+    def merge(batches):
+        for b in slices(batches, 1000):
+            out = []
+            for text, first, places, spans in zip(*[b.column(k).to_pylist() for k in range(1, 5)]):
+                values = np.full(scheme.count(text), base(first, places), np.int64)
+                for span in spans or ():
+                    value, n = np.array(span["told"], np.int64).reshape(-1, 2).T
+                    values[span["start"] : span["start"] + int(n.sum())] = np.repeat(value, n)
+                out.append(run_lengths(values))
+            yield pa.RecordBatch.from_arrays([b.column(0), list_array(out, pa.int64())], ["block", "told"])
+
+    return both.mapInArrow(merge, "block binary, told array<long>")
+
+
 def told_back(rows: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
     """``rows`` (key, doc_id, text) with ``spans``: an array of (start, told) or null."""
-    own = found.select("name", "passage", "key", "text_hash", "start").distinct()
-    spans = own.join(told, ["name", "passage"]).groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "told")).alias("spans"))
+    own = found.select("block", "key", "text_hash", "start").distinct()
+    spans = own.join(told, "block").groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "told")).alias("spans"))
     whole = rows.withColumn("text_hash", F.xxhash64("text"))
     return whole.join(spans, ["key", "text_hash"], "left").select("doc_id", "text", "spans")
 
 
+def with_spans(rows: DataFrame, scheme, within: bool, resolve: Callable, fold: Callable, base: Callable) -> DataFrame:
+    """All the steps: ``rows`` (key, doc_id, text) with what is known of their windows."""
+    found = stored(blocks(rows, repeated_names(rows, scheme, within), scheme))
+    each = stored(distinct_blocks(found))
+    parts = stored(passages(each, repeated_names(each, scheme, within), scheme))
+    return told_back(rows, found, stored(told_blocks(each, parts, resolved(parts, scheme, resolve, fold), scheme, base)))
+
+
 def covered(n_units: int, starts: Iterable[int], size: int) -> np.ndarray:
     """Which units lie in a window of ``size`` units with one of these starts."""
     change = np.zeros(n_units + 1, np.int32)
