@@ -18,33 +18,52 @@ table gives an empty result; further columns are kept by ``deduplicated_document
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import winnow
 from .common import list_array, slices
 
 NEVER = (1 << 63) - 1
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
-class _WordHashes(dict):
-    """Hash of a word; the first ``limit`` different ones are kept."""
+#: A number for each byte, 0 for white space, and powers of an odd number with their inverses.
+_BYTE = winnow.mixed(np.arange(1, 257, dtype=np.uint64) * winnow.STEP)
+_BYTE[[9, 10, 11, 12, 13, 32]] = 0
+_ODD = int(winnow.STEP)
+_powers: dict[str, np.ndarray] = {}
 
-    def __init__(self, limit: int = 300_000):
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
+def _power(kind: str, base: int, n: int) -> np.ndarray:
+    have = _powers.get(kind)
+    if have is None or len(have) < n:
+        size = max(n, 1 << 16)
+        have = np.full(size, base % (1 << 64), np.uint64)
+        have[0] = 1
+        _powers[kind] = have = np.multiply.accumulate(have)
+    return have[:n]
 
-        h = xxh3_64_intdigest(word)
-        if len(self) < self.limit and len(word) < 64:
-            self[word] = h
-        return h
 
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and a hash of each word.
 
-_hashes = _WordHashes()
+    The hash is a polynomial of the word's bytes, taken from running sums over
+    the whole text; equal words have equal hashes wherever they stand.
+    """
+    values = _BYTE[np.frombuffer(text, np.uint8)]
+    n = len(values)
+    inside = np.concatenate([[False], values != 0, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _power("up", _ODD, n), out=sums[1:])
+    return starts, ends, (sums[ends] - sums[starts]) * _power("down", pow(_ODD, -1, 1 << 64), n)[starts]
 
 
 class WordWindows:
@@ -53,13 +72,19 @@ class WordWindows:
     def __init__(self, size: int = 13, gram: int = 5):
         self.size, self.gram, self.width = size, gram, size - gram + 1
 
-    def grams(self, text: bytes) -> tuple[list[bytes], np.ndarray]:
-        words = text.split()
-        hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-        return words, winnow.gram_hashes(hashes, self.gram)
+    def grams(self, text: bytes) -> tuple[tuple, np.ndarray]:
+        starts, ends, hashes = word_hashes(text)
+        return (text, starts, ends), winnow.gram_hashes(hashes, self.gram)
+
+    def content(self, units: tuple, start: int, windows: int) -> bytes:
+        text, starts, ends = units
+        return b" ".join(text[starts[start] : ends[start + windows + self.size - 2]].split())
+
+    def units(self, content: bytes) -> list[bytes]:
+        return content.split(b" ")
 
-    def content(self, words: list[bytes], start: int, windows: int) -> bytes:
-        return b" ".join(words[start : start + windows + self.size - 1])
+    def part(self, units: list[bytes], start: int, windows: int) -> bytes:
+        return b" ".join(units[start : start + windows + self.size - 1])
 
     def count(self, content: bytes) -> int:
         return content.count(b" ") + 2 - self.size
@@ -100,8 +125,8 @@ def deep_nodes(units: np.ndarray, suffixes: np.ndarray, prefix: int, depth: int)
     return node
 
 
-def first_documents(contents: list[bytes], first_docs: np.ndarray, places: np.ndarray, size: int, most: int = 50_000) -> list[np.ndarray]:
-    """For each window of each passage the least document that has its words."""
+def first_documents(contents: list[bytes], first_docs: np.ndarray, places: np.ndarray, size: int, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each passage the least document that has its words, and each passage's number of windows."""
     known: dict[bytes, int] = {}
     parts = [[known.setdefault(w, len(known)) for w in c.split(b" ")] for c in contents]
     lengths = np.array([len(p) for p in parts])
@@ -119,30 +144,64 @@ def first_documents(contents: list[bytes], first_docs: np.ndarray, places: np.nd
             starts = np.flatnonzero(np.append(True, np.diff(node[order]) != 0))
             low = np.minimum.reduceat(least[group[order]], starts)
             least[group[order]] = np.repeat(low, np.diff(np.append(starts, len(order))))
-    return np.split(least, np.cumsum(counts)[:-1])
+    return least, counts
+
+
+def _gone(words: int, spans: list[dict] | None, doc: int | None, size: int) -> np.ndarray:
+    """Start and end, in turn, of each run of removed words."""
+    mine = NEVER if doc is None else doc
+    gone = winnow.covered(words, winnow.window_starts(spans, lambda first: first < mine), size)
+    return np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+
+
+def _known(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    return winnow.with_spans(winnow.keyed(docs), WordWindows(size, gram), False, resolve=lambda c, f, p: first_documents(c, f, p, size), fold=lambda first, places: first, base=lambda first, places: first)
 
 
 def removed_words(docs: DataFrame, size: int = 13, gram: int = 5) -> DataFrame:
     """(doc_id, text, kept, n_words, spans) for each row of ``docs``: kept are
     the words that stay, joined by blanks; spans are the removed (start, end)
     in words, flattened."""
-    scheme = WordWindows(size, gram)
-    rows = winnow.keyed(docs)
-    known = winnow.with_spans(rows, scheme, False, resolve=lambda c, f, p: first_documents(c, f, p, size), fold=lambda first, places: first, base=lambda first, places: first)
 
     def remove(batches):
         for b in slices(batches, 500):
             kept, n, spans = [], [], []
             for doc, text, own in zip(*[b.column(k).to_pylist() for k in range(3)]):
                 words = text.split()
-                gone = winnow.covered(len(words), winnow.window_starts(own, lambda first, doc=NEVER if doc is None else doc: first < doc), size)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if len(edges) else words))
+                edges = _gone(len(words), own, doc, size)
+                kept.append(b" ".join([w for a, z in zip([0, *edges[1::2].tolist()], [*edges[::2].tolist(), len(words)]) for w in words[a:z]]))
                 n.append(len(words))
                 spans.append(edges)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), list_array(spans, pa.int64())], ["doc_id", "text", "kept", "n_words", "spans"])
 
-    return known.mapInArrow(remove, "doc_id long, text binary, kept binary, n_words long, spans array<long>")
+    return _known(docs, size, gram).drop("row").mapInArrow(remove, "doc_id long, text binary, kept binary, n_words long, spans array<long>")
+
+
+def deduplicated_documents(docs: DataFrame, size: int = 13, gram: int = 5) -> DataFrame:
+    """``docs`` with the removed words cut from their texts, white space around
+    the rest as it was; a document that loses its last word goes. ``n_chars``,
+    where there is one, follows the text."""
+    columns = docs.columns
+
+    def cut(batches):
+        for b in slices(batches, 500):
+            texts = []
+            for doc, text, own in zip(*[b.column(k).to_pylist() for k in range(3)]):
+                places = [m.start() for m in WORD.finditer(text)] if own else []
+                edges = _gone(len(places), own, doc, size)
+                if len(edges):
+                    at = [*places, len(text)]
+                    parts = [text[at[a] if a else 0 : at[z]] for a, z in zip([0, *edges[1::2].tolist()], [*edges[::2].tolist(), len(places)])]
+                    text = b"".join(parts)
+                    text = text if text.split() else None
+                texts.append(text.decode() if text is not None else None)
+            yield pa.RecordBatch.from_arrays([b.column(3), pa.array(texts, pa.string())], ["row", "text"])
+
+    known = _known(docs, size, gram)
+    rest = [f for f in docs.schema.fields if f.name.lower() != "text"]
+    out = known.mapInArrow(cut, T.StructType([T.StructField("row", T.StructType(rest)), T.StructField("text", T.StringType())])).where("text IS NOT NULL")
+    own = {f.name: F.length("text").cast(f.dataType) if f.name == "n_chars" else F.col("row").getField(f.name) for f in rest}
+    return out.select(*[F.col("text").alias(c) if c.lower() == "text" else own[c].alias(c) for c in columns])
 
 
 def substring_report(docs: DataFrame, size: int = 13) -> DataFrame:

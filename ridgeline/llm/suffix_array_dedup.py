@@ -44,6 +44,11 @@ class ByteWindows:
     def content(self, text: bytes, start: int, windows: int) -> bytes:
         return text[start : start + windows + self.size - 1]
 
+    def units(self, content: bytes) -> bytes:
+        return content
+
+    part = content
+
     def count(self, content: bytes) -> int:
         return len(content) - self.size + 1
 
@@ -74,8 +79,8 @@ def refined_buckets(data: np.ndarray, size: int) -> np.ndarray:
     return bucket[:n]
 
 
-def repeats(contents: list[bytes], first_docs: np.ndarray, places: np.ndarray, size: int) -> list[np.ndarray]:
-    """For each window of each passage 1 if its string has another place, else 0."""
+def repeats(contents: list[bytes], first_docs: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each passage 1 if its string has another place, else 0, and each passage's number of windows."""
     lengths = np.array([len(c) for c in contents])
     bucket = refined_buckets(np.frombuffer(b"".join(contents), np.uint8), size)
     counts = lengths - size + 1
@@ -83,7 +88,7 @@ def repeats(contents: list[bytes], first_docs: np.ndarray, places: np.ndarray, s
     within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     _, string = np.unique(bucket[np.repeat(np.cumsum(lengths) - lengths, counts) + within], return_inverse=True)
     total = np.bincount(string, weights=places[owner])
-    return np.split((total[string] > 1).astype(np.int64), np.cumsum(counts)[:-1])
+    return (total[string] > 1).astype(np.int64), counts
 
 
 def removed_bytes(docs: DataFrame, size: int = 200, gram: int = 64) -> DataFrame:
@@ -103,7 +108,7 @@ def removed_bytes(docs: DataFrame, size: int = 200, gram: int = 64) -> DataFrame
                 spans.append(edges)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), list_array(spans, pa.int64())], ["doc_id", "kept", "n_bytes", "spans"])
 
-    return known.mapInArrow(remove, "doc_id long, kept binary, n_bytes long, spans array<long>")
+    return known.drop("row").mapInArrow(remove, "doc_id long, kept binary, n_bytes long, spans array<long>")
 
 
 def suffix_array_report(docs: DataFrame, size: int = 200) -> DataFrame:

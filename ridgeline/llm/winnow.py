@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, slices, stored, text_bytes
+from .common import slices, stored, text_bytes
 
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -80,18 +80,40 @@ def name_runs(names: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, sizes
 
 
+def least_places(grams: np.ndarray, names: np.ndarray, width: int) -> np.ndarray:
+    """Where the grams that name a window stand."""
+    pad = np.zeros(width - 1, np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate([pad, names, pad]), width, np.maximum) == grams)
+
+
 def own_twice(grams: np.ndarray, names: np.ndarray, width: int) -> np.ndarray:
     """Names that a text's grams have at two places or more."""
-    pad = np.zeros(width - 1, np.uint64)
-    largest = _sliding(np.concatenate([pad, names, pad]), width, np.maximum)
-    values, counts = np.unique(grams[largest == grams], return_counts=True)
+    values, counts = np.unique(grams[least_places(grams, names, width)], return_counts=True)
     return values[counts > 1]
 
 
+def parted(starts: np.ndarray, sizes: np.ndarray, grams: np.ndarray, names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs, with those cut in two whose name stands at two places within
+    them: only they can have equal windows, and then their name occurs twice."""
+    places = least_places(grams, names, width)
+    pairs = np.flatnonzero(grams[places[1:]] == grams[places[:-1]])
+    cuts = set()
+    for p, q in zip(places[pairs].tolist(), places[pairs + 1].tolist()):
+        for r in range(max(0, int(np.searchsorted(starts, q - width + 1, "right")) - 1), int(np.searchsorted(starts, p, "right"))):
+            if sizes[r] > 1 and names[starts[r]] == grams[p] and starts[r] <= p and q < starts[r] + sizes[r] + width - 1:
+                cuts.add(int(starts[r] + sizes[r] // 2))
+    if cuts:
+        starts = np.union1d(starts, sorted(cuts))
+        sizes = np.diff(np.append(starts, len(names)))
+    return starts, sizes
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text as bytes) of each row; the key of a row without doc_id comes from its text."""
+    """(key, doc_id, text as bytes, row) of each row; the key of a row without
+    doc_id comes from its text. ``row`` holds all columns but the text."""
     doc = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(doc, F.xxhash64("text")).alias("key"), doc.alias("doc_id"), text_bytes().alias("text"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"])
+    return docs.select(F.coalesce(doc, F.xxhash64("text")).alias("key"), doc.alias("doc_id"), text_bytes().alias("text"), rest.alias("row"))
 
 
 def repeated_names(rows: DataFrame, scheme, within: bool) -> DataFrame:
@@ -139,35 +161,24 @@ def _names(x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 0])], ["key", "name"])
 
 
-#: A block ends before one in so many names.
-CUT = np.uint64(8)
-BLOCK = {"block": pa.binary(), "key": pa.int64(), "text_hash": pa.int64(), "doc_id": pa.int64(), "start": pa.int64(), "content": pa.binary()}
+#: A block starts at one in so many names, and has at most so many runs.
+CUT, MOST_RUNS = np.uint64(8), 64
+BLOCK = "block binary, key long, text_hash long, doc_id long, start long, content binary, names array<long>, sizes array<long>"
 PASSAGE = {"name": pa.int64(), "passage": pa.int64(), "block": pa.binary(), "start": pa.int64(), "content": pa.binary(), "first_doc": pa.int64(), "places": pa.int64()}
 
 
-def _schema(fields: dict[str, pa.DataType]) -> str:
-    return ", ".join(f"{n} {'binary' if pa.types.is_binary(t) else 'long'}" for n, t in fields.items())
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted array ``known``."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
-def _lots(rows: list[tuple], fields: dict[str, pa.DataType], size: int = 5_000):
-    for at in range(0, len(rows), size):
-        columns = zip(*rows[at : at + size])
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, fields.values())], list(fields))
+def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, pa.int64()))
 
 
-def _wanted_runs(text: bytes, wanted, scheme):
-    """Units of a text, and its runs' names, starts, sizes and whether a name is among ``wanted``."""
-    units, grams = scheme.grams(text)
-    names = window_names(grams, scheme.width)
-    starts, sizes = name_runs(names, scheme.width)
-    known = np.sort(wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
-    own = names[starts]
-    take = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
-    return units, own, starts, sizes, take
-
-
-def blocks(rows: DataFrame, repeated: DataFrame, scheme, longest: int = 64) -> DataFrame:
-    """A row for each stretch of a document's windows with repeated names; ``block`` is the content's hash."""
+def blocks(rows: DataFrame, repeated: DataFrame, scheme, within: bool) -> DataFrame:
+    """A row for each stretch of a document's windows with repeated names, with
+    the names and sizes of its runs; ``block`` is the content's hash."""
     both = rows.join(repeated, "key").select("key", "doc_id", "text", F.xxhash64("text").alias("text_hash"), "names")
 
     def cut(batches):
@@ -175,31 +186,50 @@ def blocks(rows: DataFrame, repeated: DataFrame, scheme, longest: int = 64) -> D
 
         for b in slices(batches, 200):
             out: list[tuple] = []
+            flat: list[tuple] = []
             for row, (key, doc, text, text_hash) in enumerate(zip(*[b.column(k).to_pylist() for k in range(4)])):
-                units, names, starts, sizes, take = _wanted_runs(text, b.column(4)[row], scheme)
+                units, grams = scheme.grams(text)
+                names = window_names(grams, scheme.width)
+                starts, sizes = name_runs(names, scheme.width)
+                if within and len(names):
+                    starts, sizes = parted(starts, sizes, grams, names, scheme.width)
+                names = names[starts]
+                take = among(names, np.sort(b.column(4)[row].values.to_numpy(zero_copy_only=False).view(np.uint64)))
                 if not take.any():
                     continue
                 head = take & (~np.append(False, take[:-1]) | (names % CUT == 0))
+                run = np.arange(len(take))
+                head |= take & ((run - np.maximum.accumulate(np.where(head, run, 0))) % MOST_RUNS == 0)
                 first = np.flatnonzero(head)
-                total = np.add.reduceat(np.where(take, sizes, 0), first)
-                for s, n in zip(starts[first].tolist(), total.tolist()):
-                    for at in range(s, s + n, longest * scheme.width):
-                        content = scheme.content(units, at, min(longest * scheme.width, s + n - at))
-                        out.append((xxh3_128_digest(content), key, text_hash, doc, at, content))
-            yield from _lots(out, BLOCK)
+                windows, runs = np.add.reduceat(np.where(take, sizes, 0), first), np.add.reduceat(take.astype(np.int64), first)
+                for s, n in zip(starts[first].tolist(), windows.tolist()):
+                    content = scheme.content(units, s, n)
+                    out.append((xxh3_128_digest(content), key, text_hash, doc, s, content))
+                flat.append((names[take].view(np.int64), sizes[take], runs))
+            if out:
+                columns = [pa.array(list(c), pa.binary() if k in (0, 5) else pa.int64()) for k, c in enumerate(zip(*out))]
+                names, sizes, runs = (np.concatenate(x) for x in zip(*flat))
+                yield pa.RecordBatch.from_arrays([*columns, _lists(names, runs), _lists(sizes, runs)], [c.split()[0] for c in BLOCK.split(", ")])
 
-    return both.mapInArrow(cut, _schema(BLOCK))
+    return both.mapInArrow(cut, BLOCK)
 
 
 def distinct_blocks(found: DataFrame) -> DataFrame:
-    """(key, block, text, first_doc, places): equal blocks taken together."""
-    own = found.groupBy("block", "content").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first_doc"), F.count(F.lit(1)).alias("places"))
-    return own.select(F.xxhash64("block").alias("key"), "block", F.col("content").alias("text"), "first_doc", "places")
+    """(key, block, text, names, sizes, first_doc, places): equal blocks taken together."""
+    own = found.groupBy("block", "content", "names", "sizes").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first_doc"), F.count(F.lit(1)).alias("places"))
+    return own.select(F.xxhash64("block").alias("key"), "block", F.col("content").alias("text"), "names", "sizes", "first_doc", "places")
 
 
-def passages(each: DataFrame, repeated: DataFrame, scheme) -> DataFrame:
-    """A row for each run of a block's windows with a repeated name."""
-    both = each.join(repeated, "key").select("block", "text", "first_doc", "places", "names")
+def shared_names(each: DataFrame, within: bool) -> DataFrame:
+    """(key, shared): the names that a block shares with another one, or has twice if ``within``."""
+    own = each.select("key", F.explode("names" if within else F.array_distinct("names")).alias("name"))
+    twice = own.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    return own.join(twice, "name").groupBy("key").agg(F.collect_set("name").alias("shared"))
+
+
+def passages(each: DataFrame, shared: DataFrame, scheme) -> DataFrame:
+    """A row for each run of a block's windows with a shared name."""
+    both = each.join(shared, "key").select("block", "text", "first_doc", "places", "names", "sizes", "shared")
 
     def cut(batches):
         from xxhash import xxh3_64_intdigest
@@ -207,13 +237,15 @@ def passages(each: DataFrame, repeated: DataFrame, scheme) -> DataFrame:
         for b in slices(batches, 1000):
             out: list[tuple] = []
             for row, (block, text, first, places) in enumerate(zip(*[b.column(k).to_pylist() for k in range(4)])):
-                units, names, starts, sizes, take = _wanted_runs(text, b.column(4)[row], scheme)
-                for name, s, n in zip(names[take].view(np.int64).tolist(), starts[take].tolist(), sizes[take].tolist()):
-                    content = scheme.content(units, s, n)
+                names, sizes, known = (b.column(k)[row].values.to_numpy(zero_copy_only=False) for k in (4, 5, 6))
+                take, starts, units = np.flatnonzero(among(names, np.sort(known))), np.cumsum(sizes) - sizes, scheme.units(text)
+                for name, s, n in zip(names[take].tolist(), starts[take].tolist(), sizes[take].tolist()):
+                    content = scheme.part(units, s, n)
                     out.append((name, xxh3_64_intdigest(content) - (1 << 63), block, s, content, first, places))
-            yield from _lots(out, PASSAGE)
+            for at in range(0, len(out), 5_000):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[at : at + 5_000]), PASSAGE.values())], list(PASSAGE))
 
-    return both.mapInArrow(cut, _schema(PASSAGE))
+    return both.mapInArrow(cut, ", ".join(f"{n} {'binary' if pa.types.is_binary(t) else 'long'}" for n, t in PASSAGE.items()))
 
 
 def distinct_passages(found: DataFrame) -> DataFrame:
@@ -221,12 +253,15 @@ def distinct_passages(found: DataFrame) -> DataFrame:
     return found.groupBy("name", "passage", "content").agg(F.min("first_doc").alias("first_doc"), F.sum("places").alias("places"))
 
 
-def run_lengths(values: np.ndarray) -> np.ndarray:
-    """value, count, value, count ... of the runs of equal values."""
-    starts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
-    out = np.empty(2 * len(starts), np.int64)
-    out[::2], out[1::2] = values[starts], np.diff(np.append(starts, len(values)))
-    return out
+def run_lengths(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """For each stretch of ``counts`` values: value, count, value, count ... of its runs of equal values."""
+    border = np.concatenate([[0], np.cumsum(counts)])
+    change = np.append(True, values[1:] != values[:-1])
+    change[border[:-1]] = True
+    starts = np.flatnonzero(change)
+    flat = np.empty(2 * len(starts), np.int64)
+    flat[::2], flat[1::2] = values[starts], np.diff(np.append(starts, len(values)))
+    return _lists(flat, 2 * np.diff(np.searchsorted(starts, border)))
 
 
 def window_starts(spans: list[dict] | None, wanted: Callable) -> np.ndarray:
@@ -248,8 +283,8 @@ def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, lot: i
     """(name, passage, told): what is known of each distinct passage's windows, as run lengths.
 
     ``resolve(contents, first_docs, places)`` gets the passages of whole names,
-    about ``lot`` at a time, and returns a value for each window of each. A
-    name with more than ``hot`` distinct passages isn't brought together:
+    about ``lot`` at a time, and returns a value for each window of each, and
+    how many windows each has. A name with more than ``hot`` distinct passages isn't brought together:
     ``_one_by_one`` deals its windows out and folds equal ones.
     """
     each = distinct_passages(found)  # of a stored table
@@ -263,9 +298,9 @@ def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, lot: i
         cuts = np.unique(np.searchsorted(names, names[np.arange(0, len(names), lot)])).tolist()
         for a, z in zip(cuts, [*cuts[1:], len(names)]):
             x = t.slice(a, z - a)
-            values = resolve(x.column("content").to_pylist(), x.column("first_doc").to_numpy(), x.column("places").to_numpy())
+            values, counts = resolve(x.column("content").to_pylist(), x.column("first_doc").to_numpy(), x.column("places").to_numpy())
             ids = [x.column(k).combine_chunks() for k in ("name", "passage")]
-            yield pa.RecordBatch.from_arrays([*ids, list_array([run_lengths(v) for v in values], pa.int64())], ["name", "passage", "told"])
+            yield pa.RecordBatch.from_arrays([*ids, run_lengths(values, counts)], ["name", "passage", "told"])
 
     def lots(batches):
         held: list = []
@@ -314,31 +349,35 @@ def told_blocks(each: DataFrame, found: DataFrame, told: DataFrame, scheme, base
 
     def merge(batches):
         for b in slices(batches, 1000):
-            out = []
-            for text, first, places, spans in zip(*[b.column(k).to_pylist() for k in range(1, 5)]):
-                values = np.full(scheme.count(text), base(first, places), np.int64)
-                for span in spans or ():
-                    value, n = np.array(span["told"], np.int64).reshape(-1, 2).T
-                    values[span["start"] : span["start"] + int(n.sum())] = np.repeat(value, n)
-                out.append(run_lengths(values))
-            yield pa.RecordBatch.from_arrays([b.column(0), list_array(out, pa.int64())], ["block", "told"])
+            texts, firsts, places = (b.column(k).to_pylist() for k in (1, 2, 3))
+            counts = np.array([scheme.count(t) for t in texts])
+            at = np.cumsum(counts) - counts
+            values = np.repeat(np.array([base(f, p) for f, p in zip(firsts, places)], np.int64), counts)
+            for row, spans in enumerate(b.column(4)):
+                if not spans.is_valid:
+                    continue
+                for s, told in zip(spans.values.field("start").to_pylist(), spans.values.field("told")):
+                    value, n = told.values.to_numpy(zero_copy_only=False).reshape(-1, 2).T
+                    s += at[row]
+                    values[s : s + int(n.sum())] = value[0] if len(n) == 1 else np.repeat(value, n)
+            yield pa.RecordBatch.from_arrays([b.column(0), run_lengths(values, counts)], ["block", "told"])
 
     return both.mapInArrow(merge, "block binary, told array<long>")
 
 
 def told_back(rows: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
-    """``rows`` (key, doc_id, text) with ``spans``: an array of (start, told) or null."""
+    """(doc_id, text, spans, row) for each of ``rows``; spans is an array of (start, told) or null."""
     own = found.select("block", "key", "text_hash", "start").distinct()
     spans = own.join(told, "block").groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "told")).alias("spans"))
     whole = rows.withColumn("text_hash", F.xxhash64("text"))
-    return whole.join(spans, ["key", "text_hash"], "left").select("doc_id", "text", "spans")
+    return whole.join(spans, ["key", "text_hash"], "left").select("doc_id", "text", "spans", "row")
 
 
 def with_spans(rows: DataFrame, scheme, within: bool, resolve: Callable, fold: Callable, base: Callable) -> DataFrame:
     """All the steps: ``rows`` (key, doc_id, text) with what is known of their windows."""
-    found = stored(blocks(rows, repeated_names(rows, scheme, within), scheme))
+    found = stored(blocks(rows, repeated_names(rows, scheme, within), scheme, within))
     each = stored(distinct_blocks(found))
-    parts = stored(passages(each, repeated_names(each, scheme, within), scheme))
+    parts = stored(passages(each, shared_names(each, within), scheme))
     return told_back(rows, found, stored(told_blocks(each, parts, resolved(parts, scheme, resolve, fold), scheme, base)))
 
 
