@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Iterable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +21,21 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def ship(spark: SparkSession) -> None:
+    """Make the package importable for Spark's Python workers.
+
+    They find it by themselves when it is on PYTHONPATH or in the folder that
+    the driver was started from; else the driver hands it out as a zip file.
+    """
+    root = Path(__file__).resolve().parents[2]
+    paths = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if root in paths | {Path.cwd()} or spark.conf.get("ridgeline.shipped", None):
+        return
+    name = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/ridgeline", "zip", root, "ridgeline")
+    spark.sparkContext.addPyFile(name)
+    spark.conf.set("ridgeline.shipped", "true")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import workspace
 from . import decontaminate, lm_scoring, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts, toxicity
-from .common import table
+from .common import ship, table
 
 
 def _tokenizers():
@@ -61,8 +63,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+def _shipped(query: Callable) -> Callable:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Callable]:
+    return {k: _shipped(f) for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
