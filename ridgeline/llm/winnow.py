@@ -179,7 +179,8 @@ def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 def blocks(rows: DataFrame, repeated: DataFrame, scheme, within: bool) -> DataFrame:
     """A row for each stretch of a document's windows with repeated names, with
     the names and sizes of its runs; ``block`` is the content's hash."""
-    both = rows.join(repeated, "key").select("key", "doc_id", "text", F.xxhash64("text").alias("text_hash"), "names")
+    # the lists of names are hashed, so that the texts needn't be sorted
+    both = rows.join(repeated.hint("shuffle_hash"), "key").select("key", "doc_id", "text", F.xxhash64("text").alias("text_hash"), "names")
 
     def cut(batches):
         from xxhash import xxh3_128_digest
@@ -279,7 +280,7 @@ def window_starts(spans: list[dict] | None, wanted: Callable) -> np.ndarray:
 TOLD = "name long, passage long, told array<long>"
 
 
-def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, lot: int = 2_000, hot: int = 20_000) -> DataFrame:
+def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, base: Callable, lot: int = 2_000, hot: int = 20_000) -> DataFrame:
     """(name, passage, told): what is known of each distinct passage's windows, as run lengths.
 
     ``resolve(contents, first_docs, places)`` gets the passages of whole names,
@@ -293,14 +294,24 @@ def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, lot: i
     some = not crowded.isEmpty()
     few = each.join(crowded, "name", "left_anti") if some else each
 
+    def own_places(contents: list[bytes], firsts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.array([scheme.count(c) for c in contents])
+        return np.repeat(np.array([base(f, p) for f, p in zip(firsts.tolist(), places.tolist())], np.int64), counts), counts
+
     def told(t: pa.Table):
         names = t.column("name").to_numpy()
+        alone = np.append(True, names[1:] != names[:-1]) & np.append(names[1:] != names[:-1], True)
+        if alone.any():  # the only passage of its name: its windows occur where it does
+            yield rows(t.filter(pa.array(alone)), own_places)
+        t, names = t.filter(pa.array(~alone)), names[~alone]
         cuts = np.unique(np.searchsorted(names, names[np.arange(0, len(names), lot)])).tolist()
         for a, z in zip(cuts, [*cuts[1:], len(names)]):
-            x = t.slice(a, z - a)
-            values, counts = resolve(x.column("content").to_pylist(), x.column("first_doc").to_numpy(), x.column("places").to_numpy())
-            ids = [x.column(k).combine_chunks() for k in ("name", "passage")]
-            yield pa.RecordBatch.from_arrays([*ids, run_lengths(values, counts)], ["name", "passage", "told"])
+            yield rows(t.slice(a, z - a), resolve)
+
+    def rows(x: pa.Table, tell: Callable) -> pa.RecordBatch:
+        values, counts = tell(x.column("content").to_pylist(), x.column("first_doc").to_numpy(), x.column("places").to_numpy())
+        ids = [pa.array(x.column(k).to_numpy()) for k in ("name", "passage")]
+        return pa.RecordBatch.from_arrays([*ids, run_lengths(values, counts)], ["name", "passage", "told"])
 
     def lots(batches):
         held: list = []
@@ -370,7 +381,7 @@ def told_back(rows: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
     own = found.select("block", "key", "text_hash", "start").distinct()
     spans = own.join(told, "block").groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "told")).alias("spans"))
     whole = rows.withColumn("text_hash", F.xxhash64("text"))
-    return whole.join(spans, ["key", "text_hash"], "left").select("doc_id", "text", "spans", "row")
+    return whole.join(spans.hint("shuffle_hash"), ["key", "text_hash"], "left").select("doc_id", "text", "spans", "row")
 
 
 def with_spans(rows: DataFrame, scheme, within: bool, resolve: Callable, fold: Callable, base: Callable) -> DataFrame:
@@ -378,7 +389,7 @@ def with_spans(rows: DataFrame, scheme, within: bool, resolve: Callable, fold: C
     found = stored(blocks(rows, repeated_names(rows, scheme, within), scheme, within))
     each = stored(distinct_blocks(found))
     parts = stored(passages(each, shared_names(each, within), scheme))
-    return told_back(rows, found, stored(told_blocks(each, parts, resolved(parts, scheme, resolve, fold), scheme, base)))
+    return told_back(rows, found, stored(told_blocks(each, parts, resolved(parts, scheme, resolve, fold, base), scheme, base)))
 
 
 def covered(n_units: int, starts: Iterable[int], size: int) -> np.ndarray:
