@@ -80,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.SQL.replace("{documents}", "documents"),
         "op2_quality_rules": quality_rules.SQL.replace("{documents}", "documents").replace("{host_limit}", "0.75"),
+        "op6_substring_dedup": substring_dedup.SQL.replace("{documents}", "documents"),
     }

@@ -208,3 +208,25 @@ def substring_report(docs: DataFrame, size: int = 13) -> DataFrame:
     out = removed_words(docs, size)
     pairs = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)  # end - (start - (end - ...)): starts count with the other sign
     return out.select("doc_id", "n_words", pairs.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL for ``substring_report`` over ``{documents}``.
+SQL = r"""
+WITH s_d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {documents}),
+s_win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM s_d WHERE len(w) >= 13)),
+s_first AS (SELECT s, min(doc_id) AS m FROM s_win GROUP BY s),
+s_gone AS (
+  SELECT DISTINCT doc_id, i + k AS p
+  FROM (SELECT s_win.doc_id, i FROM s_win JOIN s_first USING (s) WHERE m < s_win.doc_id), range(13) AS r(k)),
+s_n AS (SELECT doc_id, count(*) AS n FROM s_gone GROUP BY doc_id),
+s_word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM s_d),
+s_kept AS (
+  SELECT s_word.doc_id, string_agg(word, ' ' ORDER BY s_word.p) AS k
+  FROM s_word LEFT JOIN s_gone ON s_gone.doc_id = s_word.doc_id AND s_gone.p = s_word.p
+  WHERE s_gone.p IS NULL GROUP BY s_word.doc_id)
+SELECT s_d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM s_d LEFT JOIN s_n ON s_n.doc_id = s_d.doc_id LEFT JOIN s_kept ON s_kept.doc_id = s_d.doc_id
+"""
