@@ -5,8 +5,10 @@ output links name all pieces that end there, and each relaxes the best score
 of that position (Viterbi); the best path is then read backwards. A character
 without a piece costs ten less than the lowest score and becomes byte pieces.
 
-No piece holds a space mark behind another character (checked on loading), so
-no path crosses the start of a word, and words are segmented once and kept.
+No piece holds a space mark behind another character (checked on loading), and
+no path crosses a border between two characters that stand together in no
+piece. So words, and within them the stretches between such borders, are
+segmented on their own, once, and kept.
 
 The scores are those of the model file. For a model trained by merging pairs
 this gives the segmentation with the highest total score, which need not be
@@ -20,6 +22,7 @@ columns named like an output are replaced, all others pass through.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +52,7 @@ class _Words(dict):
         if "\n" in word:
             first, *lines = word.split("\n")
             return self[first] + b"".join(self._line(x) for x in lines)
-        ids = np.array(self.model.viterbi(SPACE + word), np.int32).tobytes()
+        ids = self.model.chunk_ids(SPACE + word)
         if len(self) < self.limit and len(word) < 64:
             self[word] = ids
         return ids
@@ -58,14 +61,14 @@ class _Words(dict):
         """A line feed and the first word after it."""
         ids = self.starts.get(word)
         if ids is None:
-            ids = np.array(self.model.viterbi("\n") + self.model.viterbi(word), np.int32).tobytes()
+            ids = self.model.chunk_ids("\n") + self.model.chunk_ids(word)
             if len(self.starts) < self.limit // 8 and len(word) < 64:
                 self.starts[word] = ids
         return ids
 
 
 class PieceModel:
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -95,6 +98,10 @@ class PieceModel:
             else:
                 self.bytes_of.append(b"")
         self.automaton.make_automaton()
+        #: Neighbours in some piece: no path crosses any other border of two characters.
+        self.crossed = {p[k : k + 2] for p in self.automaton for k in range(len(p) - 1)}
+        self.segments: dict[str, bytes] = {}
+        self.limit = limit
         self.unknown = min(scores) - UNKNOWN_PENALTY
         self.newline_alone = not any("\n" in p.piece for p in proto.pieces if p.type in (NORMAL, USER))
         #: Words with the space marks before them; a line feed without a piece stands alone.
@@ -131,19 +138,33 @@ class PieceModel:
             n -= size_of[n]
         return ids[::-1]
 
+    def chunk_ids(self, chunk: str) -> bytes:
+        """Ids, as bytes, of a chunk: the best paths between its borders that no piece crosses."""
+        out, start, crossed = [], 0, self.crossed
+        for end in range(1, len(chunk) + 1):
+            if end == len(chunk) or chunk[end - 1 : end + 1] not in crossed:
+                part = chunk[start:end]
+                ids = self.segments.get(part)
+                if ids is None:
+                    ids = array("i", self.viterbi(part)).tobytes()
+                    if len(self.segments) < self.limit and len(part) < 64:
+                        self.segments[part] = ids
+                out.append(ids)
+                start = end
+        return b"".join(out)
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         if SPACE not in text and "  " not in text and text[0] != " " and self.newline_alone:  # no two space marks meet
             return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(" "))), np.int32)
         parts = text.split(SPACE)
-        ids: list[int] = []
+        ids: list[bytes] = []
         for k, part in enumerate(parts):
             if k:
-                ids.extend(self.byte_ids[b] for b in SPACE.encode())
-            for chunk in self.chunks((SPACE if not k else "") + part.replace(" ", SPACE)):
-                ids.extend(self.viterbi(chunk))
-        return np.array(ids, np.int32)
+                ids.append(array("i", [self.byte_ids[b] for b in SPACE.encode()]).tobytes())
+            ids.extend(map(self.chunk_ids, self.chunks((SPACE if not k else "") + part.replace(" ", SPACE))))
+        return np.frombuffer(b"".join(ids), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text whose encoding ``ids`` is: bytes of the pieces without the leading space."""
@@ -185,7 +206,9 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     def decode(batches):
         model = piece_model(model_path)
         for b in slices(batches, 500):
-            text = [model.decode(i or ()) for i in b.column(at).to_pylist()]
+            column = b.column(at)
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([n or 0 for n in column.value_lengths().to_pylist()]).tolist()
+            text = [model.decode(flat[a:z]) for a, z in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(decode, _appended(encoded, "decoded", T.StringType()))
