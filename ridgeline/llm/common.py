@@ -94,3 +94,23 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """``df``, which must be cheap to count, with a broadcast hint if it has at most ``most_rows`` rows."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+_kept: dict[str, dict] = {}
+
+
+def kept(group: str, name, make):
+    """What ``make`` gives, kept in this worker for later tasks of the same
+    operator ``group``. Spark lends one worker to all operators in turn, so
+    what other groups have kept is dropped."""
+    for other in [g for g in _kept if g != group]:
+        del _kept[other]
+    own = _kept.setdefault(group, {})
+    if name not in own:
+        own[name] = make()
+    return own[name]
+
+
+def keep_nothing() -> None:
+    """Drop what earlier tasks of other operators have kept in this worker."""
+    _kept.clear()

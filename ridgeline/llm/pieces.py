@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, slices, without
+from .common import kept, list_array, slices, without
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -38,6 +38,12 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_PENALTY = 10.0
 
 
+def piece_bytes(p) -> bytes:
+    if p.type == BYTE:
+        return bytes([int(p.piece[1:-1], 16)])
+    return p.piece.replace(SPACE, " ").encode() if p.type in (NORMAL, USER) else b""
+
+
 class _Words(dict):
     """Ids, as bytes, of what stands between two single spaces, with the first of them.
 
@@ -68,7 +74,7 @@ class _Words(dict):
 
 
 class PieceModel:
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 120_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -78,7 +84,6 @@ class PieceModel:
         spec = proto.normalizer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix:
             raise ValueError("only models that keep the text as it is and add a leading space are supported")
-        self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
         self.single: set[str] = set()
         self.automaton = ahocorasick.Automaton()
@@ -86,17 +91,13 @@ class PieceModel:
         for i, p in enumerate(proto.pieces):
             if p.type == BYTE:
                 self.byte_ids[int(p.piece[1:-1], 16)] = i
-                self.bytes_of.append(bytes([int(p.piece[1:-1], 16)]))
             elif p.type in (NORMAL, USER):
                 if re.search(f"[^{SPACE}]{SPACE}", p.piece):
                     raise ValueError(f"piece {p.piece!r} has a space mark inside")
                 self.automaton.add_word(p.piece, (len(p.piece), p.score, i))
-                self.bytes_of.append(p.piece.replace(SPACE, " ").encode())
                 scores.append(p.score)
                 if len(p.piece) == 1:
                     self.single.add(p.piece)
-            else:
-                self.bytes_of.append(b"")
         self.automaton.make_automaton()
         #: Neighbours in some piece: no path crosses any other border of two characters.
         self.crossed = {p[k : k + 2] for p in self.automaton for k in range(len(p) - 1)}
@@ -166,18 +167,25 @@ class PieceModel:
             ids.extend(map(self.chunk_ids, self.chunks((SPACE if not k else "") + part.replace(" ", SPACE))))
         return np.frombuffer(b"".join(ids), np.int32)
 
+
+class PieceTexts:
+    """What decoding needs of a model: the bytes of each piece."""
+
+    def __init__(self, path: str):
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        proto = pb.ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        self.bytes_of = [piece_bytes(p) for p in proto.pieces]
+
     def decode(self, ids: list[int]) -> str:
         """The text whose encoding ``ids`` is: bytes of the pieces without the leading space."""
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-_loaded: dict = {}
-
-
-def piece_model(path: str) -> PieceModel:
-    if path not in _loaded:
-        _loaded[path] = PieceModel(path)
-    return _loaded[path]
+def piece_model(path: str, kind: type = PieceModel):
+    return kept("pieces", (path, kind), lambda: kind(path))
 
 
 def _appended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -204,7 +212,7 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     at = encoded.columns.index("ids")
 
     def decode(batches):
-        model = piece_model(model_path)
+        model = piece_model(model_path, PieceTexts)
         for b in slices(batches, 500):
             column = b.column(at)
             flat, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([n or 0 for n in column.value_lengths().to_pylist()]).tolist()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, slices, stored, text_bytes
+from .common import keep_nothing, sized_broadcast, slices, stored, text_bytes
 from .components import connected
 
 BITS = 64
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for each row of ``docs``."""
 
     def prints(batches):
+        keep_nothing()
         for b in slices(batches):
             fp = [fingerprint(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])

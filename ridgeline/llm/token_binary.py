@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import kept, slices, text_bytes
 
 #: A set bit's place is kept for every so many.
 SAMPLE = 256
@@ -110,13 +110,8 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-_loaded: dict = {}
-
-
 def word_ids(path: str, width: int) -> WordIds:
-    if (path, width) not in _loaded:
-        _loaded[path, width] = WordIds(path, width)
-    return _loaded[path, width]
+    return kept("token_binary", (path, width), lambda: WordIds(path, width))
 
 
 SHARD = "part long, seq long, n_docs long, n_tokens long, id_width int, doc_ids array<long>, ids binary, low_width int, low binary, high binary, places array<int>"

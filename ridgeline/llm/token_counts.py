@@ -19,14 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import kept, slices
 
 #: A space after white space: there the split at single spaces isn't a token border.
 _RAGGED = re.compile(r"\s ")
 
-_loaded: dict = {}
-
-
 class _PieceCounts(dict):
     """Number of tokens of a space and what follows it up to the next space.
 
@@ -44,15 +41,14 @@ class _PieceCounts(dict):
 
 
 def _counter(ranks_path: str, pattern: str, limit: int = 300_000) -> _PieceCounts:
-    key = (ranks_path, pattern)
-    if key not in _loaded:
+    def make() -> _PieceCounts:
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("from_file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _loaded[key] = _PieceCounts(encoding, limit)
-    return _loaded[key]
+        return _PieceCounts(tiktoken.Encoding("from_file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), limit)
+
+    return kept("token_counts", (ranks_path, pattern), make)
 
 
 def count_tokens(text: str, counts: _PieceCounts) -> int:

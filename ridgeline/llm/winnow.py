@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_bytes
+from .common import keep_nothing, slices, stored, text_bytes
 
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -125,6 +125,7 @@ def repeated_names(rows: DataFrame, scheme, within: bool) -> DataFrame:
     """
 
     def gather(batches):
+        keep_nothing()
         for b in slices(batches, 500):
             own = []
             for text in b.column(1).to_pylist():
@@ -185,6 +186,7 @@ def blocks(rows: DataFrame, repeated: DataFrame, scheme, within: bool) -> DataFr
     def cut(batches):
         from xxhash import xxh3_128_digest
 
+        keep_nothing()
         for b in slices(batches, 200):
             out: list[tuple] = []
             flat: list[tuple] = []

@@ -57,7 +57,7 @@ def test_pipeline(spark):
     want = plain(rows, items)
     out = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r.doc_id for r in out) == sorted(want) and 50 < len(out) < len(rows) and all(r.round_trip for r in out)
-    model = pieces.piece_model(tokenizers.path("piece_bpe_32k.model"))
+    model = pieces.piece_model(tokenizers.path("piece_bpe_32k.model"), pieces.PieceTexts)
     for r in out:
         assert model.decode(r.ids).split() == want[r.doc_id] and r.n_pieces == len(r.ids)
 
