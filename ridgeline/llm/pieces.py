@@ -1,18 +1,25 @@
 """SentencePiece encoding and decoding with an Aho-Corasick automaton.
 
-The automaton over the model's pieces reads a text once. At each position its
-output links name all pieces that end there, and each relaxes the best score
-of that position (Viterbi); the best path is then read backwards. A character
-without a piece costs ten less than the lowest score and becomes byte pieces.
+The automaton over the model's pieces reads a text once; its output links name
+all pieces that end at each position. How a path is chosen among them follows
+the training of the model file:
+
+- merging pairs: the merges are replayed. Of all neighbours that together are
+  a piece, those with the highest score (of equal ones the leftmost) become
+  one, until there are none (`MergeModel`). The ids are the library's.
+- else each piece relaxes the best score of the position where it ends
+  (Viterbi), and the path with the highest total is read backwards
+  (`PieceModel`). A character without a piece costs ten less than the lowest
+  score.
+
+A character without a piece becomes byte pieces.
 
 No piece holds a space mark behind another character (checked on loading), and
 no path crosses a border between two characters that stand together in no
-piece. So words, and within them the stretches between such borders, are
+piece, by merges or otherwise. So words, and within them the stretches between such borders, are
 segmented on their own, once, and kept.
 
-The scores are those of the model file. For a model trained by merging pairs
-this gives the segmentation with the highest total score, which need not be
-the one that replaying the merges gives; decoding is exact for either.
+Decoding is exact for either.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty
 text; a text's own U+2581 becomes byte pieces, so that it survives decoding;
@@ -23,6 +30,8 @@ from __future__ import annotations
 
 import re
 from array import array
+from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -139,21 +148,26 @@ class PieceModel:
             n -= size_of[n]
         return ids[::-1]
 
+    path = viterbi
+
     def chunk_ids(self, chunk: str) -> bytes:
-        """Ids, as bytes, of a chunk: the best paths between its borders that no piece crosses."""
+        """Ids, as bytes, of a chunk: the paths between its borders that no piece crosses."""
         out, start, crossed = [], 0, self.crossed
+        if len(chunk) < 64 and crossed.issuperset(map(add, chunk, chunk[1:])):
+            return self.segments.get(chunk) or self._segment_ids(chunk)
         for end in range(1, len(chunk) + 1):
             if end == len(chunk) or chunk[end - 1 : end + 1] not in crossed:
                 part = chunk[start:end]
-                ids = self.segments.get(part)
-                if ids is None:
-                    ids = array("i", self.viterbi(part)).tobytes()
-                    if len(self.segments) < self.limit and len(part) < 64:
-                        self.segments[part] = ids
-                out.append(ids)
+                out.append(self.segments.get(part) or self._segment_ids(part))
                 start = end
         return b"".join(out)
 
+    def _segment_ids(self, part: str) -> bytes:
+        ids = array("i", self.path(part)).tobytes()
+        if len(self.segments) < self.limit and len(part) < 64:
+            self.segments[part] = ids
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
@@ -168,6 +182,70 @@ class PieceModel:
         return np.frombuffer(b"".join(ids), np.int32)
 
 
+class MergeModel(PieceModel):
+    """Encodes by replaying merges, as the library does for a model trained so."""
+
+    def path(self, text: str) -> list[int]:
+        return self.short_path(text) if len(text) <= 64 else self.long_path(text)
+
+    def short_path(self, text: str) -> list[int]:
+        """The best neighbours are sought anew for each merge, which is the faster for some dozen characters."""
+        n, none = len(text), np.inf
+        width = n + 1
+        rank, piece_of = {}, {}
+        for last, (size, score, piece) in self.automaton.iter(text):
+            k = (last + 1 - size) * width + last + 1
+            rank[k], piece_of[k] = -score, piece
+        # borders of the symbols, and the rank of each symbol with the next one
+        at, pairs, get = list(range(width)), [rank.get(k, none) for k in range(2, n * width - width, width + 1)], rank.get
+        while pairs:
+            least = min(pairs)
+            if least == none:
+                break
+            k = pairs.index(least)
+            del at[k + 1], pairs[k]
+            if k < len(pairs):
+                pairs[k] = get(at[k] * width + at[k + 2], none)
+            if k:
+                pairs[k - 1] = get(at[k - 1] * width + at[k + 1], none)
+        ids: list[int] = []
+        for a, z in zip(at, at[1:]):
+            piece = piece_of.get(a * width + z)
+            if piece is None:
+                ids.extend(self.byte_ids[b] for b in text[a].encode())
+            else:
+                ids.append(piece)
+        return ids
+
+    def long_path(self, text: str) -> list[int]:
+        """Neighbours wait in a heap, so the time is n log n."""
+        n = len(text)
+        found = {(last + 1 - size, last + 1): (-score, piece) for last, (size, score, piece) in self.automaton.iter(text)}
+        # where the symbol that starts here ends (-1: it is part of another one), and where the one before it starts
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        waiting = [(found[k, k + 2][0], k, k + 1, k + 2) for k in range(n - 1) if (k, k + 2) in found]
+        heapify(waiting)
+        while waiting:
+            _, a, m, z = heappop(waiting)
+            if end[a] != m or end[m] != z:
+                continue
+            end[a], end[m], before[z] = z, -1, a
+            p = before[a]
+            if p >= 0 and (p, z) in found:
+                heappush(waiting, (found[p, z][0], p, a, z))
+            if z < n and (a, end[z]) in found:
+                heappush(waiting, (found[a, end[z]][0], a, z, end[z]))
+        ids: list[int] = []
+        k = 0
+        while k < n:
+            if (k, end[k]) in found:
+                ids.append(found[k, end[k]][1])
+            else:
+                ids.extend(self.byte_ids[b] for b in text[k].encode())
+            k = end[k]
+        return ids
+
+
 class PieceTexts:
     """What decoding needs of a model: the bytes of each piece."""
 
@@ -188,6 +266,20 @@ def piece_model(path: str, kind: type = PieceModel):
     return kept("pieces", (path, kind), lambda: kind(path))
 
 
+def encoder(path: str) -> PieceModel:
+    """The model that encodes as the file was trained."""
+
+    def merging() -> bool:
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        proto = pb.ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        return proto.trainer_spec.model_type == pb.TrainerSpec.BPE
+
+    return piece_model(path, MergeModel if kept("pieces", (path, "merging"), merging) else PieceModel)
+
+
 def _appended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
@@ -198,7 +290,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text") -> D
     at = docs.columns.index(text_col)
 
     def encode(batches):
-        model = piece_model(model_path)
+        model = encoder(model_path)
         for b in slices(batches, 500):
             ids = [model.encode(t or "") for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, list_array(ids, pa.int32())], [*b.schema.names, "ids"])

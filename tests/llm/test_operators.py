@@ -113,6 +113,16 @@ def test_pieces(docs, empty):
         assert abs(worth(model.encode(text).tolist()) - best(marked)) < 1e-6
 
 
+def test_piece_ids_are_the_library_s(docs):
+    path = tokenizers.path("piece_bpe_32k.model")
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=path)
+    for r in pieces.encode_pieces(docs, path).collect():
+        if pieces.SPACE not in (r.text or ""):  # a space to the library, byte pieces here
+            assert r.ids == library.encode(r.text or "")
+    more = ["Elle", "hello", "  two", "ñandú", " ", " " * 47, "a" * 300, "Elle\n\n est\t là ", "x  y   z" + " " * 33 + "w", "日本語 text \U0001f600\U0001f600", "<s> <0x0A> </s>", " ".join(VOCABULARY)]
+    assert [pieces.encoder(path).encode(t).tolist() for t in more] == library.encode(more)
+
+
 def test_substring(docs, empty):
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_report(docs).collect()]
     want = [(d, n, gone, hashlib.sha256(kept).hexdigest()) for (d, _, _), (n, gone, kept) in zip(ROWS, brute.substring([r[:2] for r in ROWS]))]
