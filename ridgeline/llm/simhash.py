@@ -261,13 +261,14 @@ def near_duplicate_report(docs: DataFrame, budget: int = 2) -> DataFrame:
     return near_duplicates(docs, budget).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, budget: int = 2) -> DataFrame:
+def representatives(docs: DataFrame, budget: int = 2, classes: DataFrame | None = None) -> DataFrame:
     """One row of ``docs`` for each component, that with the least doc_id; rows without an id stay.
 
-    Only ids travel, unless they pass the bound of a broadcast; texts are
+    ``classes`` has (doc_id, component_id) for each row of ``docs``, by
+    fingerprints where it isn't given. Only ids travel, unless they pass the bound of a broadcast; texts are
     shuffled for ids that several rows share.
     """
-    classes = near_duplicates(docs, budget).groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    classes = (near_duplicates(docs, budget) if classes is None else classes).groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"))
     ids = stored(classes.where("doc_id <> component_id OR doc_id = component_id AND n > 1").select(F.col("doc_id").alias("_copy_id"), (F.col("doc_id") == F.col("component_id")).alias("_first")))
     own = lambda x: docs["doc_id"].cast("long") == x["_copy_id"]
     every, first = sized_broadcast(ids, BROADCAST_ROWS), ids.where("_first")

@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from ridgeline.llm import decontaminate, lm_scoring, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts, toxicity, winnow
+from ridgeline.llm import decontaminate, lm_scoring, near_copies, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts, toxicity, winnow
 from ridgeline.llm.components import connected
 
 from . import brute
@@ -177,6 +178,33 @@ def test_simhash(docs, empty):
     assert len(ids) == len(set(ids) - {None}) + ids.count(None) and 1 in ids and 2 not in ids
 
 
+@pytest.mark.parametrize("common", [8, 1])
+def test_near_copies(spark, docs, empty, common, monkeypatch):
+    """Components of Jaccard similarity 0.8 against all pairs, with few or most shingles put last."""
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    monkeypatch.setattr(near_copies, "SAMPLE", 1 if common == 1 else 16)
+    r, rows = random.Random(9), [(d, t) for d, t, _ in ROWS if d is not None]
+    for k in range(12):
+        words = prose(r.randint(20, 120), 300 + k).split() + PASSAGE.split()[: 20 * (k % 3)]
+        for c in range(8):  # each is a change or two away from an earlier one, so some links go over others
+            rows.append((100 + 10 * k + c, " ".join(words)))
+            for _ in range(r.randint(0, 3)):
+                words[r.randrange(len(words))] = f"x{r.randrange(900)}"
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (brute.words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows)]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                up = [up[j] if x == up[i] else x for x in up]
+    least: dict = {}
+    for (d, _), u in zip(rows, up):
+        least[u] = min(d, least.get(u, d))
+    got = near_copies.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert order(map(tuple, got)) == order((d, least[u]) for (d, _), u in zip(rows, up))
+    assert 20 < len(least) < len(rows) - 20
+    assert near_copies.components(empty).count() == 0 and near_copies.components(docs).count() == len(ROWS)
+
+
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_trie_pairs_hot_and_not(spark, hot):
     r = random.Random(4)

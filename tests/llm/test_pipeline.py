@@ -68,3 +68,12 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, SF))
         assert docs.columns == columns
+
+
+def test_near_copies_go(spark):
+    """Of two texts that differ in a word, by 0.8 or more of their five-word shingles alike, one stays."""
+    words = [f"w{k * k % 331}" for k in range(150)]
+    other = [*words[:70], "changed", *words[71:]]
+    far = [*words[:75], *(f"z{k}" for k in range(75))]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([words, other, far])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [0, 2]
