@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +13,8 @@ from . import panel, workspace
 from .operators import clean, contracts, explore
 from .operators import features as feats
 from .plans import job, sqlapi
-from .schemas import CLEAN_STORED, FEATURE_NAMES, FEATURES_STORED, KEY, RAW_KEY, RAW_STORED, with_partitions
-from .sources import lake, vendor
+from .schemas import CLEAN_STORED, FEATURE_NAMES, FEATURES, FEATURES_STORED, KEY, RAW_KEY, RAW_STORED, with_partitions
+from .sources import config, lake, vendor
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -214,8 +216,14 @@ def validate_features(spark, sf):
     return contracts.violations(_features(spark, sf), contracts.FEATURE_CONTRACT)
 
 
-@query()
+@query(
+    "dirty",
+    """SELECT 'raw_daily_prices' AS table_name, 'failed' AS status, count(*) AS row_count,
+       'raw_daily_prices: ' || (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM dirty GROUP BY symbol, date, source HAVING count(*) > 1)) || ' duplicate rows by symbol, date, source' AS error
+       FROM dirty UNION ALL SELECT 'raw_daily_prices', 'passed', count(*), NULL FROM bars""",
+)
 def validation_report(spark, sf):
+    """Reports of a table that breaks its contract and of one that keeps it, less run time and examples."""
     dirty = workspace.stored(panel.dirty(spark, sf))
     path = workspace.new_path(spark, "reports")
     for rows in (dirty, workspace.stored(panel.bars(spark, sf))):
@@ -223,7 +231,8 @@ def validation_report(spark, sf):
             contracts.validate(rows, contracts.RAW_CONTRACT, path)
         except contracts.ContractError:
             pass
-    return spark.read.json(path)
+    reports = spark.read.schema("table_name string, status string, row_count long, error string").json(path)
+    return reports.withColumn("error", F.regexp_replace("error", r" \(such as.*", ""))
 
 
 # ---- sources and sinks
@@ -273,7 +282,12 @@ def union_vendor(spark, sf):
     "SELECT p_brand AS symbol, max(p_type) AS name, min(p_type) AS asset_class, 'USD' AS currency, 'orders' AS source, (SELECT count(*) FROM bars WHERE bars.symbol = p_brand) AS n_bars FROM part GROUP BY p_brand",
 )
 def asset_universe(spark, sf):
-    assets = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.col("p_brand").alias("symbol")).agg(F.max("p_type").alias("name"), F.min("p_type").alias("asset_class"), F.lit("USD").alias("currency"), F.lit(panel.SOURCE).alias("source"))
+    """The assets of a settings file, which is written from the parts' brands, with their bars."""
+    brands = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.col("p_brand").alias("symbol")).agg(F.max("p_type").alias("name"), F.min("p_type").alias("asset_class"), F.lit("USD").alias("currency"), F.lit(panel.SOURCE).alias("source"))
+    with tempfile.NamedTemporaryFile("w", prefix="spark-", suffix=".yaml") as f:  # settings are the driver's
+        json.dump({"assets": [r.asDict() for r in brands.orderBy("symbol").collect()]}, f)
+        f.flush()
+        assets = config.asset_table(spark, config.load_assets(f.name))
     return assets.join(explore.rows_per(panel.bars(spark, sf)).withColumnRenamed("n_rows", "n_bars"), "symbol", "left").fillna(0, ["n_bars"])
 
 
@@ -333,11 +347,11 @@ def eda_scan(spark, sf):
     return explore.rounded(out.drop("created_at"))
 
 
-@query("bars", "SELECT date, symbol, adj_close * CASE WHEN year(date) = 1997 THEN 2 ELSE 1 END AS adj_close, volume, CAST(year(date) AS INTEGER) AS year FROM bars WHERE year(date) <> 1999")
+@query("bars", "SELECT date, symbol, adj_close * CASE WHEN year(date) = 1997 THEN 2 ELSE 1 END AS adj_close, volume, CAST(year(date) AS INTEGER) AS year FROM bars")
 def write_roundtrip(spark, sf):
-    """All years but one are stored; then one year is replaced, and rows without a date are added, which aren't stored."""
+    """All years are stored; then one year is replaced, and rows without a date are added, which aren't stored."""
     path = workspace.new_path(spark, "roundtrip")
-    rows = panel.bars(spark, sf).select("date", "symbol", "adj_close", "volume").where("year(date) <> 1999")
+    rows = panel.bars(spark, sf).select("date", "symbol", "adj_close", "volume")
     lake.write_by_year(rows, path)
     again = rows.where("year(date) = 1997").withColumn("adj_close", F.col("adj_close") * 2)
     undated = again.withColumn("date", F.lit(None).cast("date"))
@@ -412,7 +426,10 @@ def distinct_symbols(spark, sf):
     return explore.distinct_values(_features(spark, sf))
 
 
-@query()
+_KINDS = [(f.name, f.dataType.simpleString()) for f in FEATURES.fields]
+
+
+@query("features", " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS position, '{n}' AS column_name, '{t}' AS data_type, count(*) AS n_rows, CAST({len(_KINDS)} AS INTEGER) AS n_columns FROM features" for i, (n, t) in enumerate(_KINDS)))
 def profile_shape(spark, sf):
     return explore.shape(_features(spark, sf))
 
@@ -458,9 +475,9 @@ def volatility_histogram(spark, sf):
     return explore.histogram(_features(spark, sf), "volatility_21d")
 
 
-@query("features", "SELECT gap_days, count(*) AS n FROM (SELECT CAST(date - lag(date) OVER (ORDER BY date) AS INTEGER) AS gap_days FROM (SELECT DISTINCT date FROM features WHERE symbol = 'Brand#1')) WHERE gap_days IS NOT NULL GROUP BY gap_days")
+@query("features", "SELECT gap_days, count(*) AS n FROM (SELECT CAST(date - lag(date) OVER (ORDER BY date) AS INTEGER) AS gap_days FROM (SELECT DISTINCT date FROM features)) WHERE gap_days IS NOT NULL GROUP BY gap_days")
 def date_gaps(spark, sf):
-    return explore.date_gaps(_features(spark, sf).where("symbol = 'Brand#1'"))
+    return explore.date_gaps(_features(spark, sf))
 
 
 @query(

@@ -6,7 +6,7 @@ import operator
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,14 +53,18 @@ FEATURE_CONTRACT = Contract("asset_daily_features", FEATURES, tuple(KEY), ("date
 def violations(df: DataFrame, contract: Contract) -> DataFrame:
     """(table_name, column_name, rule, failures) for every rule, none left out; a
     missing column counts once under "missing"."""
+    return _counted(df, contract).drop("row_count")
+
+
+def _counted(df: DataFrame, contract: Contract) -> DataFrame:
+    """``violations`` with row_count, the rows of ``df``, in one pass."""
     absent = [c for c in contract.schema.names if c not in df.columns]
     rules = {k: v for k, v in contract.rules().items() if k[0] in df.columns and not (k[1][:2] in (">=", "<=") and k[1][3:] in absent)}
     named = list(rules)
-    counts = contract.coerced(df).agg(*[F.count_if(rules[k]).alias(f"r{i}") for i, k in enumerate(named)]) if named else None
+    counts = contract.coerced(df).agg(F.count(F.lit(1)).alias("row_count"), *[F.count_if(rules[k]).alias(f"r{i}") for i, k in enumerate(named)])
     entry = lambda c, r, n: F.struct(F.lit(c).alias("column_name"), F.lit(r).alias("rule"), n.cast("long").alias("failures"))
     entries = [entry(c, r, F.col(f"r{i}")) for i, (c, r) in enumerate(named)] + [entry(c, "missing", F.lit(1)) for c in absent]
-    base = counts if counts is not None else df.sparkSession.range(1)
-    return base.select(F.explode(F.array(*entries)).alias("x")).select(F.lit(contract.table).alias("table_name"), "x.*")
+    return counts.select("row_count", F.explode(F.array(*entries)).alias("x")).select(F.lit(contract.table).alias("table_name"), "x.*", "row_count")
 
 
 def duplicate_keys(df: DataFrame, key: list[str] | tuple[str, ...]) -> DataFrame:
@@ -71,28 +75,29 @@ def duplicate_keys(df: DataFrame, key: list[str] | tuple[str, ...]) -> DataFrame
 def validate(df: DataFrame, contract: Contract, reports: str | None = None, at: datetime | None = None) -> DataFrame:
     """``df`` with declared types, if it keeps its contract; else ContractError.
 
-    Keys are checked first, then all rules. ``df`` is read twice here, so give
-    a stored table. With ``reports`` one JSON row is added there either way.
+    Broken keys are told first, then all rules. ``df`` is read twice here, for
+    its keys and for its rules, so give a stored table. With ``reports`` one
+    JSON row is added there either way.
     """
     error = ""
+    counted = _counted(df, contract).collect()  # a row for each rule
     if set(contract.key) <= set(df.columns):
         twice = duplicate_keys(df, contract.key)
         n = twice.agg(F.sum("copies")).first()[0]
         if n:
-            some = [r.asDict() for r in twice.select(*contract.key).limit(5).collect()]
-            error = f"[{contract.table}] Found {n} duplicate rows on key {list(contract.key)}. Example duplicates: {some}"
-    if not error:
-        broken = [f"{r['column_name']} {r['rule']}: {r['failures']}" for r in violations(df, contract).where("failures > 0").collect()]
-        error = f"[{contract.table}] " + "; ".join(broken) if broken else ""
+            some = ["/".join(map(str, r)) for r in twice.select(*contract.key).orderBy(*contract.key).limit(5).collect()]
+            error = f"{contract.table}: {n} duplicate rows by {', '.join(contract.key)} (such as {'; '.join(some)})"
+    broken = [f"{r['column_name']} {r['rule']}: {r['failures']}" for r in counted if r["failures"]]
+    if broken and not error:
+        error = f"{contract.table}: " + "; ".join(broken)
     if reports:
-        report(df, contract, error, at).write.mode("append").json(reports)
+        report(df.sparkSession, contract, counted[0]["row_count"], error, at).write.mode("append").json(reports)
     if error:
         raise ContractError(error)
     return contract.coerced(df)
 
 
-def report(df: DataFrame, contract: Contract, error: str, at: datetime | None = None) -> DataFrame:
+def report(spark: SparkSession, contract: Contract, row_count: int, error: str, at: datetime | None = None) -> DataFrame:
     """One row: table_name, status, timestamp, row_count, error (null if it passed)."""
-    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
-        F.lit(contract.table).alias("table_name"), F.lit("failed" if error else "passed").alias("status"), F.lit(at or run_time()).alias("timestamp"), "row_count", F.lit(error or None).cast("string").alias("error")
-    )
+    row = (contract.table, "failed" if error else "passed", at or run_time(), row_count, error or None)
+    return spark.createDataFrame([row], "table_name string, status string, timestamp timestamp, row_count long, error string")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import workspace
 from ..functions.numbers import correlation
 
+#: Rows of at most three numbers and a key that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def rows_per(df: DataFrame, by: str = "symbol") -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -39,11 +45,36 @@ def null_profile(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column_name", "nulls").orderBy(F.desc("nulls"), "column_name")
 
 
+def percentiles(values: DataFrame, column: str, shares: list[float], pieces: int = 256) -> DataFrame:
+    """One row with an array ``q``: the exact, interpolated percentiles of ``column``.
+
+    Equal values are counted together. About even pieces of the order (from
+    approximate percentiles, which only shape the pieces) are summed, and
+    running sums within each piece give the ranks, so no task sees all values.
+    ``values`` is read more than once: give a stored table.
+    """
+    counts = values.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    cuts = values.agg(F.array_distinct(F.percentile_approx(F.col(column).cast("double"), [k / pieces for k in range(1, pieces)], F.lit(4 * pieces))).alias("cuts"))
+    dealt = counts.crossJoin(F.broadcast(cuts)).select("x", "n", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("piece"))  # one row of cuts
+    piece = Window.orderBy("piece")
+    sums = dealt.groupBy("piece").agg(F.sum("n").alias("own")).select(  # ``pieces`` rows at most
+        "piece", (F.sum("own").over(piece) - F.col("own")).alias("earlier"), F.sum("own").over(piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total")
+    )
+    last = F.col("earlier") + F.sum("n").over(Window.partitionBy("piece").orderBy("x"))
+    ranked = dealt.join(F.broadcast(sums), "piece").select("x", (last - F.col("n")).alias("first"), last.alias("last"), "total")
+    place = [F.lit(float(s)) * (F.col("total") - 1) for s in shares]
+    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("last")), F.col("x")))
+    found = ranked.agg(*[at(F.floor(p)).alias(f"lo{k}") for k, p in enumerate(place)], *[at(F.ceil(p)).alias(f"hi{k}") for k, p in enumerate(place)], F.max("total").alias("total"))
+    between = lambda k, p: F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (p - F.floor(p))
+    return found.select(F.array(*[between(k, p) for k, p in enumerate(place)]).alias("q"))
+
+
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std, min, exact quartiles (interpolated) and max."""
-    q = F.percentile(column, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    out = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
-    return out.select("count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    own = workspace.stored(df.select(column))
+    out = own.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    both = out.crossJoin(F.broadcast(percentiles(own, column, [0.25, 0.5, 0.75])))  # a row each
+    return both.select("count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def mean_by(df: DataFrame, value: str, by: str = "symbol") -> DataFrame:
@@ -68,11 +99,49 @@ def date_gaps(df: DataFrame) -> DataFrame:
     return df.select("date").distinct().select(gap.alias("gap_days")).where("gap_days IS NOT NULL").groupBy("gap_days").agg(F.count(F.lit(1)).alias("n"))
 
 
-def correlation_matrix(df: DataFrame, value: str = "return_1d") -> DataFrame:
-    """(symbol_a, symbol_b, corr) over dates that both have; half of the pairs are computed and mirrored."""
-    own = df.select("date", F.col("symbol").alias("symbol_a"), F.col(value).alias("a")).where("a IS NOT NULL")
-    other = own.select("date", F.col("symbol_a").alias("symbol_b"), F.col("a").alias("b"))
-    half = own.join(other, "date").where("symbol_a <= symbol_b").groupBy("symbol_a", "symbol_b").agg(correlation(F.col("a"), F.col("b")).alias("corr"))
+_SUMS = ["sa", "sb", "saa", "sbb", "sab"]
+
+
+def _gram(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums of products of two blocks of symbols over one period's dates that both symbols have."""
+
+    def table(part):
+        wide = part.drop_duplicates(["date", "symbol"], keep="last").pivot(index="date", columns="symbol", values="v").reindex(dates)
+        have = wide.notna().to_numpy(float)
+        return wide.columns.to_numpy(), have, wide.fillna(0.0).to_numpy(float)
+
+    dates = np.sort(rows["date"].unique())
+    (a, have_a, x), (b, have_b, y) = table(rows[rows["left"]]), table(rows[rows["right"]])
+    sums = {"n": have_a.T @ have_b, "sa": x.T @ have_b, "sb": have_a.T @ y, "saa": (x * x).T @ have_b, "sbb": have_a.T @ (y * y), "sab": x.T @ y}
+    keep = (sums["n"] > 0) & (a[:, None] <= b[None, :]) if rows["a"].iloc[0] == rows["b"].iloc[0] else sums["n"] > 0
+    i, j = np.nonzero(keep)
+    low, high = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+    turned = a[i] > b[j]  # the lesser symbol comes first
+    pair = lambda p, q: (np.where(turned, sums[q][i, j], sums[p][i, j]), np.where(turned, sums[p][i, j], sums[q][i, j]))
+    (sa, sb), (saa, sbb) = pair("sa", "sb"), pair("saa", "sbb")
+    return pd.DataFrame({"symbol_a": low, "symbol_b": high, "n": sums["n"][i, j].astype(int), "sa": sa, "sb": sb, "saa": saa, "sbb": sbb, "sab": sums["sab"][i, j]})
+
+
+def correlation_matrix(df: DataFrame, value: str = "return_1d", block: int = 512) -> DataFrame:
+    """(symbol_a, symbol_b, corr) over dates that both have; half of the pairs are computed and mirrored.
+
+    Symbols are put in blocks of about ``block``. Each pair of blocks and each
+    year is a matrix product, and the products' sums are added up, so a task
+    holds a year of two blocks and rows don't grow with the number of dates.
+    """
+    own = workspace.stored(df.select("date", "symbol", F.col(value).alias("v")).where("v IS NOT NULL"))
+    least = own.groupBy("symbol").agg(F.min("v").alias("least"))
+    n_blocks = -(-max(1, least.count()) // block)
+    # the least value is taken off, which changes no correlation and keeps the sums of squares exact for constants
+    rows = own.join(least, "symbol").select("symbol", "date", (F.col("v") - F.col("least")).alias("v"), F.pmod(F.xxhash64("symbol"), F.lit(n_blocks)).cast("int").alias("own"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    dealt = rows.select("*", others.alias("other")).select("symbol", "date", "v", (F.col("own") == F.least("own", "other")).alias("left"), (F.col("own") == F.greatest("own", "other")).alias("right"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.trunc("date", "year").alias("period"))
+    sums = dealt.groupBy("a", "b", "period").applyInPandas(_gram, ", ".join(["symbol_a string", "symbol_b string", "n long", *[f"{c} double" for c in _SUMS]]))
+    total = sums.groupBy("symbol_a", "symbol_b").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS])
+    spread = lambda s, ss: F.col("n") * F.col(ss) - F.col(s) * F.col(s)
+    varies = (spread("sa", "saa") > 1e-13 * F.col("n") * F.col("saa")) & (spread("sb", "sbb") > 1e-13 * F.col("n") * F.col("sbb"))
+    corr = (F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(spread("sa", "saa") * spread("sb", "sbb"))
+    half = total.select("symbol_a", "symbol_b", F.when(varies, corr).alias("corr"))
     both = F.array(F.struct("symbol_a", "symbol_b"), F.struct(F.col("symbol_b").alias("symbol_a"), F.col("symbol_a").alias("symbol_b")))
     return half.select(F.explode(F.array_distinct(both)).alias("x"), "corr").select("x.*", "corr")
 
@@ -88,9 +157,9 @@ def quantile_means(df: DataFrame, by: str, value: str, parts: int = 10, digits:
     """(part, low, high, n, mean_value): ``by`` cut at exact quantiles, right-closed,
     the first part closed on both sides. Equal edges raise. Values and edges are
     rounded alike, so that the last bit of an edge decides nothing."""
-    x = df.select(F.round(by, digits).alias("x"), F.col(value).alias("y")).where("x IS NOT NULL")
-    cuts = F.percentile("x", F.array(*[F.lit(k / parts) for k in range(parts + 1)]))
-    edges = x.agg(F.transform(cuts, lambda e: F.round(e, digits)).alias("edges"))
+    x = workspace.stored(df.select(F.round(by, digits).alias("x"), F.col(value).alias("y")).where("x IS NOT NULL"))
+    cuts = percentiles(x, "x", [k / parts for k in range(parts + 1)])
+    edges = cuts.select(F.transform("q", lambda e: F.round(e, digits)).alias("edges"))
     edges = edges.select(F.when(F.size(F.array_distinct("edges")) == parts + 1, F.col("edges")).otherwise(F.raise_error(F.lit("bin edges must be unique"))).alias("edges"))
     at = F.size(F.filter(F.slice("edges", 2, parts - 1), lambda e: F.col("x") > e))
     cut = x.crossJoin(F.broadcast(edges)).withColumn("part", at)  # one row of edges
@@ -99,12 +168,16 @@ def quantile_means(df: DataFrame, by: str, value: str, parts: int = 10, digits:
 
 def density(df: DataFrame, value: str = "return_1d", points: int = 200, beyond: float = 3.0) -> DataFrame:
     """(symbol, point, x, density): Gaussian kernel density on an even grid that
-    reaches ``beyond`` bandwidths past the values; bandwidth = sd * n^(-1/5)."""
-    values = df.select("symbol", F.col(value).alias("v")).where("v IS NOT NULL")
+    reaches ``beyond`` bandwidths past the values; bandwidth = sd * n^(-1/5).
+
+    The grid is broadcast while its counted rows are few; kernels are summed by
+    (symbol, point) before the shuffle either way."""
+    values = workspace.stored(df.select("symbol", F.col(value).alias("v")).where("v IS NOT NULL"))
     facts = values.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("sd > 0")
     bw = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     grid = facts.withColumn("bw", bw).select("symbol", "n", "bw", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), (F.col("lo") - beyond * F.col("bw")).alias("from"), (F.col("hi") + beyond * F.col("bw")).alias("to"))
     grid = grid.select("symbol", "n", "bw", "point", (F.col("from") + F.col("point") * (F.col("to") - F.col("from")) / (points - 1)).alias("x"))
+    grid = F.broadcast(grid) if points * facts.limit(BROADCAST_ROWS // points + 1).count() <= BROADCAST_ROWS else grid
     u = (F.col("x") - F.col("v")) / F.col("bw")
     kernel = F.exp(-u * u / 2)
     return values.join(grid, "symbol").groupBy("symbol", "point", "x", "bw").agg(F.avg(kernel).alias("k")).select("symbol", "point", "x", (F.col("k") / (F.col("bw") * F.sqrt(2 * F.pi()))).alias("density"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from ..operators.clean import clean_prices, run_time
 from ..operators.contracts import CLEAN_CONTRACT, FEATURE_CONTRACT, RAW_CONTRACT, validate
 from ..operators.features import asset_features
+from .. import workspace
 from ..schemas import CLEAN_STORED, FEATURES_STORED, RAW_STORED
-from ..sources import lake
+from ..sources import config, lake
 from ..sources.vendor import restricted
 
 
@@ -25,6 +27,10 @@ class Lake:
     features: str
     reports: str | None = None
 
+    @classmethod
+    def of(cls, settings: config.Settings) -> Lake:
+        return cls(settings.raw_data_dir, lake.clean_path(settings.processed_data_dir), lake.features_path(settings.marts_data_dir), settings.validation_reports_dir)
+
 
 def ingest(spark: SparkSession, fetch: Callable, symbols: list[str], start, end, path: str, interval: str = "1d") -> None:
     lake.write_raw(fetch(spark, symbols, start, end), path, interval)
@@ -47,9 +53,19 @@ def daily_job(spark: SparkSession, fetch: Callable, symbols: list[str], start, e
     return features
 
 
+def run_from_settings(spark: SparkSession, fetch: Callable, settings_path: str, assets_path: str) -> DataFrame:
+    """The daily job for the assets and the dates, folders and interval of two YAML files."""
+    settings = config.load_settings(settings_path)
+    wanted = config.symbols(config.load_assets(assets_path))
+    return daily_job(spark, fetch, wanted, config.parse_date(settings.start_date), config.resolve_end_date(settings.end_date), Lake.of(settings), settings.interval)
+
+
 def _gated(spark, df: DataFrame, path: str, schema, contract, reports, now) -> DataFrame:
-    staging = f"{path}_staging"
-    df.write.mode("overwrite").parquet(staging)
-    checked = validate(spark.read.schema(df.schema).parquet(staging), contract, reports, now)
-    lake.write_by_year(checked, path)
+    staging = f"{path}_staging_{uuid.uuid4().hex}"
+    df.write.parquet(staging)
+    try:
+        checked = validate(spark.read.schema(df.schema).parquet(staging), contract, reports, now)
+        lake.write_by_year(checked, path)
+    finally:
+        workspace.drop(spark, staging)
     return lake.read_dataset(spark, path, schema)

@@ -17,12 +17,8 @@ RAW_PARTITIONS = ["source", "interval", "symbol", "year"]
 VIEWS = {"raw_daily_prices": RAW_STORED, "clean_daily_prices": CLEAN_STORED, "asset_daily_features": FEATURES_STORED}
 
 
-def raw_path(base: str) -> str:
-    return f"{base}/prices"
-
-
 def clean_path(base: str) -> str:
-    return f"{base}/prices"
+    return f"{base}/daily_prices"
 
 
 def features_path(base: str) -> str:
