@@ -1,27 +1,35 @@
-"""Near copies by the share of five-word shingles: exact, without a fingerprint.
+"""Near copies by the share of five-word shingles: SimHash first, then all the rest.
 
 Two documents are linked if the Jaccard similarity of their sets of shingles is
-4/5 or more; documents belong to the components that links make. No link is
-lost: with the shingles of all documents in one common order, two linked ones
-share a shingle among the first n - ceil(4n/5) + 1 of each (n is a set's size).
-
-1. Each document deals those first shingles out. Shingles that many documents
+4/5 or more; documents belong to the components that links make. At 4/5 the
+SimHash fingerprints of two sets differ in about 10 of 64 bits, more than a
+trie join can follow, so fingerprints alone would lose links (README has the
+recall). Hence candidates come from two sides, and both are verified exactly:
+
+1. The trie self-join of ``simhash`` gives pairs within ``budget`` bits.
+2. With the shingles of all documents in one common order, two linked ones
+   share a shingle among the first n - ceil(4n/5) + 1 of each (n is a set's
+   size), so each document deals those out. Shingles that many documents
    of a sample share come last in the order, so that common passages meet only
    where hardly anything else stands; any order gives the same result.
-2. In each shingle's group the sets are linked to the smallest one that can be
-   near enough by size, and those pairs are verified. That joins a large group
-   of near copies without its pairs.
-3. All other pairs of a group are verified whose sets aren't in one component
+3. In each shingle's group the sets are linked to the smallest one that can be
+   near enough by size, and these pairs are verified with those of the trie.
+   That joins a large group of near copies without its pairs.
+4. All other pairs of a group are verified whose sets aren't in one component
    by then.
 
-Before a pair is verified, the parities of both sets' shingles over BITS places
-are held against each other: they differ in no more places than the sets differ
-in shingles, so no link is lost, and few other pairs need their sets.
-Verifying counts the shingles that both sets hold. Sets are named by 64-bit
-hashes, and so are shingles; equal sets are one.
+Before a pair is verified, the parities of both sets' shingles over two to four
+cells for each shingle are held against each other: they differ in no more
+cells than the sets differ in shingles, so no link is lost, and few other pairs
+need their sets. Verifying counts the shingles that both sets hold, and only
+documents in such a pair are read for it. Sets are named by 64-bit hashes, and
+so are shingles; equal sets are one.
 
 Defined cases: words are those of ``simhash``; one to four words are one
-shingle; documents without words are copies of each other.
+shingle; documents without words (null, empty) are copies of each other;
+repeated rows and rows that share a doc_id each keep a row; very long texts
+have as many shingles as they have, none is left out; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,23 +41,15 @@ from pyspark.sql import functions as F
 
 from .common import keep_nothing, list_array, sized_broadcast, slices, stored, text_bytes
 from .components import connected
-from .simhash import BROADCAST_ROWS
+from .simhash import BROADCAST_ROWS, majority, near_pairs, shingle_hashes
 
 WORDS = 5
+#: Bits by which fingerprints of the trie's candidates may differ.
+BUDGET = 3
 #: One of so many documents is looked at for common shingles; those found in COMMON of them come last, at most MOST.
 SAMPLE = 16
 COMMON = 8
 MOST = 200_000
-BITS = 1024
-
-
-def shingles(text: bytes) -> np.ndarray:
-    """The different hashes of a text's shingles, ascending."""
-    from xxhash import xxh3_64_intdigest
-
-    words = text.lower().split()
-    parts = map(b" ".join, zip(*(words[k:] for k in range(WORDS)))) if len(words) >= WORDS else [b" ".join(words)] if words else []
-    return np.unique(np.array([xxh3_64_intdigest(s) for s in parts], "<u8").view("<i8"))
 
 
 def name_of(found: np.ndarray) -> int:
@@ -58,41 +58,61 @@ def name_of(found: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(found.tobytes())).view(np.int64)) if len(found) else 0
 
 
+def shingles(text: bytes) -> np.ndarray:
+    """The different hashes of a text's shingles, ascending."""
+    return np.unique(shingle_hashes(text, WORDS).view("<i8"))
+
+
 def parities(found: np.ndarray) -> bytes:
-    """For each of BITS places whether an odd number of the hashes fall there."""
-    return np.packbits(np.bincount(found & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    """For each of a power of two of cells, two to four for each hash, whether an odd number of them fall there."""
+    cells = 1 << max(6, (2 * len(found) - 1).bit_length())
+    return np.packbits(np.bincount(found & (cells - 1), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many cells two parities differ; the longer ones are folded to the length of the others."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 4 * len(a)
+    while size >= 8 * len(b):
+        x, size = x >> size ^ x & (1 << size) - 1, size // 2
+    return (x ^ y).bit_count()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    """(doc_id, key, text); the key of a row without doc_id comes from its text."""
+    doc = F.col("doc_id").cast("long")
+    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.xxhash64("text")).alias("key"), text_bytes().alias("text"))
 
 
 def names(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, bits) for each row: the name of its set, its size and parities."""
+    """(doc_id, key, fp, sim, n, bits) for each row: the name of its set, its fingerprint, size and parities."""
 
     def name(batches):
         keep_nothing()
         for b in slices(batches):
-            own = [shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(name_of, own), pa.int64()), pa.array(map(len, own), pa.int64()), pa.array(map(parities, own), pa.binary())], ["doc_id", "fp", "n", "bits"])
+            every = [shingle_hashes(t, WORDS) for t in b.column(2).to_pylist()]
+            own = [np.unique(x.view("<i8")) for x in every]
+            numbers = [pa.array(map(f, x), pa.int64()) for f, x in ((name_of, own), (majority, every), (len, own))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers, pa.array(map(parities, own), pa.binary())], ["doc_id", "key", "fp", "sim", "n", "bits"])
 
-    return _texts(docs).mapInArrow(name, "doc_id long, fp long, n long, bits binary")
+    return _texts(docs).mapInArrow(name, "doc_id long, key long, fp long, sim long, n long, bits binary")
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(fp, own): each row's set under its name."""
+def sets(texts: DataFrame) -> DataFrame:
+    """(fp, own): the set of each row of ``texts`` (as by ``_texts``) under its name."""
 
     def take(batches):
         keep_nothing()
         for b in slices(batches, 300):
-            own = [shingles(t) for t in b.column(1).to_pylist()]
+            own = [shingles(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in own], pa.int64()), list_array(own, pa.int64())], ["fp", "own"])
 
-    return _texts(docs).mapInArrow(take, "fp long, own array<long>")
+    return texts.mapInArrow(take, "fp long, own array<long>")
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    some = sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)).dropDuplicates(["fp"])
+    some = sets(_texts(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0))).dropDuplicates(["fp"])
     found = some.select(F.explode("own").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     return np.sort(found.orderBy(F.desc("n"), "h").limit(MOST).select("h").toArrow().column(0).to_numpy())
 
@@ -106,7 +126,7 @@ def first_shingles(docs: DataFrame) -> DataFrame:
         last, seen = common.value, set()
         for b in slices(batches, 300):
             h, n, fp = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 own = shingles(t)
                 name, size = name_of(own), len(own)
                 if not size or name in seen:
@@ -210,30 +230,42 @@ def _others(g: np.ndarray):
 
 
 def likely(pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """The pairs whose parities allow a link."""
+    """The pairs whose sizes and parities allow a link."""
 
     def hold(batches):
         for b in slices(batches, 2000):
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (3, 4))
-                both = b.column(2).to_numpy(zero_copy_only=False)
-                keep = pa.array(9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= both)
-                yield pa.RecordBatch.from_arrays([b.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
+            n_a, n_b, x, y = (b.column(k).to_pylist() for k in (2, 3, 4, 5))
+            keep = pa.array([9 * min(i, j) >= 4 * (i + j) and 9 * differing(p, q) <= i + j for i, j, p, q in zip(n_a, n_b, x, y)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
     one = named.select("fp", "n", "bits").dropDuplicates(["fp"])
     both = pairs.join(one.toDF("a", "n_a", "bits_a"), "a").join(one.toDF("b", "n_b", "bits_b"), "b")
-    return both.select("a", "b", F.col("n_a") + F.col("n_b"), "bits_a", "bits_b").mapInArrow(hold, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(hold, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs (a, b) of names whose sets are near enough."""
     pairs = stored(likely(pairs, named))
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-    own = stored(sets(docs).join(sized_broadcast(ids, BROADCAST_ROWS), "fp", "left_semi").dropDuplicates(["fp"]))
+    # a document for each set in a pair
+    keys = stored(named.join(sized_broadcast(ids, BROADCAST_ROWS), "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("key")).select("key"))
+    own = stored(sets(_texts(docs).join(sized_broadcast(keys, BROADCAST_ROWS), "key", "left_semi").select("doc_id", "key", "text")).join(sized_broadcast(ids, BROADCAST_ROWS), "fp", "left_semi").dropDuplicates(["fp"]))
     both = pairs.join(own.toDF("a", "own_a"), "a").join(own.toDF("b", "own_b"), "b")
     return both.where(9 * F.size(F.array_intersect("own_a", "own_b")) >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b")
 
 
-def links(docs: DataFrame, named: DataFrame) -> DataFrame:
+def print_pairs(named: DataFrame, budget: int) -> DataFrame:
+    """Pairs (a, b) of names whose fingerprints differ in ``budget`` bits or fewer: those
+    of one fingerprint with its least name, and the least names of linked fingerprints."""
+    each = named.where("n > 0").select("fp", "sim").distinct()
+    least = stored(each.groupBy("sim").agg(F.min("fp").alias("least")))
+    links = near_pairs(least.select(F.col("sim").alias("fp")), budget)
+    ends = links.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    own = each.join(least, "sim").where("fp <> least").select(F.least("fp", "least").alias("a"), F.greatest("fp", "least").alias("b"))
+    return ends.unionByName(own)
+
+
+def links(docs: DataFrame, named: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Pairs (a, b) of names of linked sets, which make all components."""
 
     def several(batches):
@@ -248,17 +280,17 @@ def links(docs: DataFrame, named: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held).T], ["h", "n", "fp", "at"])
 
     rows = stored(first_shingles(docs).repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(several, "h long, n long, fp long, at long"))
-    near = stored(verified(_pairs(rows, _first, 4), docs, named))
+    near = stored(verified(print_pairs(named, budget).unionByName(_pairs(rows, _first, 4)).distinct(), docs, named))
     roots = connected(near)
     rooted = rows.join(roots, rows["fp"] == roots["node"], "left").select("h", "n", "fp", "at", F.coalesce("root", "fp").alias("root"))
     return near.unionByName(verified(_pairs(rooted, _others, 5), docs, named))
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(doc_id, component_id) for each row: component_id is the least doc_id that links reach."""
     own = stored(names(docs))
     each = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected(links(docs, own))
+    roots = connected(links(docs, own, budget))
     named = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")

@@ -46,18 +46,19 @@ BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PLACE = (np.arange(8) * 256)[None, :]
 
 
-def fingerprint(text: bytes) -> int:
-    """The fingerprint, as a signed 64-bit integer."""
+def shingle_hashes(text: bytes, size: int = WORDS) -> np.ndarray:
+    """The hash of each run of ``size`` words, repeats included; fewer words are one run."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
-    if not words:
+    runs = map(b" ".join, zip(*(words[k:] for k in range(size)))) if len(words) >= size else [b" ".join(words)] if words else []
+    return np.array([xxh64_intdigest(s, SEED) for s in runs], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes, as a signed 64-bit integer."""
+    if not len(hashes):
         return 0
-    if len(words) < WORDS:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(words, words[1:], words[2:]))
-    hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles], "<u8")
     # how often each value occurs in each of the eight bytes, and from that each bit
     counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ BYTE_BITS
     return int(np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").view("<i8")[0])
@@ -69,7 +70,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def prints(batches):
         keep_nothing()
         for b in slices(batches):
-            fp = [fingerprint(t) for t in b.column(1).to_pylist()]
+            fp = [majority(shingle_hashes(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(prints, "doc_id long, fp long")

@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import re
 import zlib
 
 import numpy as np
@@ -178,6 +177,16 @@ def test_simhash(docs, empty):
     assert len(ids) == len(set(ids) - {None}) + ids.count(None) and 1 in ids and 2 not in ids
 
 
+def test_parities_bound_the_difference():
+    """Cells never differ more often than sets do, whatever the sizes."""
+    r = random.Random(8)
+    for _ in range(300):
+        a = {r.getrandbits(63) for _ in range(r.choice([1, 30, 33, 400, 3000]))}
+        b = set(r.sample(sorted(a), r.randint(0, len(a)))) | {r.getrandbits(63) for _ in range(r.randint(0, 60))}
+        found = [near_copies.parities(np.array(sorted(x), np.int64)) for x in (a, b)]
+        assert near_copies.differing(*found) <= len(a ^ b) and near_copies.differing(found[0], found[0]) == 0
+
+
 @pytest.mark.parametrize("common", [8, 1])
 def test_near_copies(spark, docs, empty, common, monkeypatch):
     """Components of Jaccard similarity 0.8 against all pairs, with few or most shingles put last."""
@@ -190,12 +199,7 @@ def test_near_copies(spark, docs, empty, common, monkeypatch):
             rows.append((100 + 10 * k + c, " ".join(words)))
             for _ in range(r.randint(0, 3)):
                 words[r.randrange(len(words))] = f"x{r.randrange(900)}"
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (brute.words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows)]
-    up = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
-                up = [up[j] if x == up[i] else x for x in up]
+    up = brute.near_components([t for _, t in rows])
     least: dict = {}
     for (d, _), u in zip(rows, up):
         least[u] = min(d, least.get(u, d))

@@ -41,7 +41,7 @@ def kept_by_quality(rows: list[dict]) -> list[dict]:
 
 def plain(rows: list[dict], items: list[tuple]) -> dict:
     rows = sorted(kept_by_quality(rows), key=lambda r: r["doc_id"])
-    roots = brute.components([brute.fingerprint(r["text"]) for r in rows])
+    roots = brute.near_components([r["text"] for r in rows])
     rows = [r for k, r in enumerate(rows) if roots[k] == k]
     cut = []
     for r, (_, gone, kept) in zip(rows, brute.substring([(r["doc_id"], r["text"]) for r in rows])):
