@@ -37,7 +37,10 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut there."""
+    """``df`` written to the shared folder and read back: lineage is cut there.
+    Its folder is in ``stored_at``."""
     path = new_path(df.sparkSession, "stored")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
