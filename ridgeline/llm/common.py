@@ -76,6 +76,12 @@ def stored(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables from ``stored`` that nothing will read again."""
+    for t in tables:
+        workspace.drop(t.sparkSession, t.stored_at)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000):
     """Arrow batches in pieces of at most ``rows`` rows, which bounds what Python holds."""
     for batch in batches:

@@ -3,17 +3,23 @@
 A word goes if it lies in a window of ``size`` words whose sequence also
 starts in a document with a smaller doc_id. Windows are judged on the input.
 
-Suffixes that can share a window are found as in ``winnow`` and come to one
-task by the least gram of their first ``size`` words. There, prefixes of words
-split the suffixes, each prefix as long as it takes for its group to fit in
+Candidates are found as in ``winnow`` and dealt over the cluster by prefixes:
+a window's first prefix is its least gram, on which its suffix starts; groups
+that are too large for a task are dealt by 2, 4, 8 or 12 words of the windows
+themselves, the shortest that makes them small. In a task prefixes of words
+split the suffixes once more, each as long as it takes for its group to fit in
 memory, and a group's suffix tree grows breadth first: each step adds a word
-to the paths of all nodes that still have two suffixes. The internal nodes at
-depth ``size`` are the repeats, and a node's least document settles its windows.
+to the paths of all internal nodes, those with two places or more. The internal
+nodes at depth ``size`` are the repeats, and nothing else removes a word: a
+node's least document settles the windows of all its suffixes.
 
 Defined cases: a null or empty text has no words and loses none; a null doc_id
 counts as larger than any; rows that share a doc_id are one document and don't
-remove each other's words; texts shorter than a window stay whole; an empty
-table gives an empty result; further columns are kept by ``deduplicated_documents``.
+remove each other's words; of documents with equal passages that with the
+smallest doc_id keeps its own (ties are such rows); texts shorter than a window
+stay whole; a very long text is cut into blocks like any other, and one unbroken
+run of letters is one word; an empty table gives an empty result; further
+columns are kept by ``deduplicated_documents``.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,8 +92,11 @@ class WordWindows:
     def part(self, units: list[bytes], start: int, windows: int) -> bytes:
         return b" ".join(units[start : start + windows + self.size - 1])
 
-    def count(self, content: bytes) -> int:
-        return content.count(b" ") + 2 - self.size
+    #: Lengths of the prefixes that split a large group.
+    prefixes = (2, 4, 8, 12)
+
+    def prefix(self, window: Column, length: int) -> Column:
+        return F.substring_index(window.cast("string"), " ", length)
 
     def windows(self, content: bytes) -> list[bytes]:
         words = content.split(b" ")
@@ -108,25 +117,30 @@ def prefix_groups(units: np.ndarray, suffixes: np.ndarray, depth: int, most: int
         waiting.extend((part, length + 1) for part in np.split(group[order], cuts))
 
 
-def deep_nodes(units: np.ndarray, suffixes: np.ndarray, prefix: int, depth: int) -> np.ndarray:
-    """For each suffix its node at ``depth`` in the tree of the suffixes, -1 where it is alone.
+def deep_nodes(units: np.ndarray, suffixes: np.ndarray, places: np.ndarray, prefix: int, depth: int) -> np.ndarray:
+    """For each suffix its node at ``depth`` in the tree of the suffixes, -1 where it is a leaf.
 
-    All suffixes share their first ``prefix`` units. A step splits the nodes
-    with two suffixes or more by the next unit; single suffixes are leaves.
+    All suffixes share their first ``prefix`` units; each stands for ``places``
+    equal ones. A step splits the internal nodes, those with two places or
+    more, by the next unit; what has one place only is a leaf. Repeats of more
+    units lie below the nodes at ``depth``, which cover the same windows, so
+    the tree ends there.
     """
     node, alive = np.zeros(len(suffixes), np.int64), np.arange(len(suffixes))
-    if len(suffixes) == 1:
-        return np.full(1, -1)
+    if places.sum() < 2:
+        return np.full(len(suffixes), -1)
     top = int(units.max()) + 1 if len(units) else 1
     for length in range(prefix, depth):
-        _, child, count = np.unique(node[alive] * top + units[suffixes[alive] + length], return_inverse=True, return_counts=True)
+        _, child = np.unique(node[alive] * top + units[suffixes[alive] + length], return_inverse=True)
+        count = np.bincount(child, weights=places[alive])
         node[alive] = np.where(count[child] > 1, child, -1)
         alive = alive[node[alive] >= 0]
     return node
 
 
 def first_documents(contents: list[bytes], first_docs: np.ndarray, places: np.ndarray, size: int, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of each passage the least document that has its words, and each passage's number of windows."""
+    """For each window of each passage the least document of its node in the suffix
+    tree (NEVER for a leaf), and each passage's number of windows."""
     known: dict[bytes, int] = {}
     parts = [[known.setdefault(w, len(known)) for w in c.split(b" ")] for c in contents]
     lengths = np.array([len(p) for p in parts])
@@ -135,14 +149,14 @@ def first_documents(contents: list[bytes], first_docs: np.ndarray, places: np.nd
     owner = np.repeat(np.arange(len(parts)), counts)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     suffixes = np.repeat(np.cumsum(lengths) - lengths, counts) + within
-    least = first_docs[owner].copy()
+    firsts, weights, least = first_docs[owner], places[owner], np.full(len(owner), NEVER)
     for group, prefix in prefix_groups(units, suffixes, size, most):
-        node = deep_nodes(units, suffixes[group], prefix, size)
+        node = deep_nodes(units, suffixes[group], weights[group], prefix, size)
         shared = np.flatnonzero(node >= 0)
         if len(shared):
             order = shared[np.argsort(node[shared], kind="stable")]
             starts = np.flatnonzero(np.append(True, np.diff(node[order]) != 0))
-            low = np.minimum.reduceat(least[group[order]], starts)
+            low = np.minimum.reduceat(firsts[group[order]], starts)
             least[group[order]] = np.repeat(low, np.diff(np.append(starts, len(order))))
     return least, counts
 
@@ -155,7 +169,7 @@ def _gone(words: int, spans: list[dict] | None, doc: int | None, size: int) -> n
 
 
 def _known(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    return winnow.with_spans(winnow.keyed(docs), WordWindows(size, gram), False, resolve=lambda c, f, p: first_documents(c, f, p, size), fold=lambda first, places: first, base=lambda first, places: first)
+    return winnow.with_spans(winnow.keyed(docs), WordWindows(size, gram), False, resolve=lambda c, f, p: first_documents(c, f, p, size), fold=lambda first, places: F.when(places > 1, first).otherwise(F.lit(NEVER)))
 
 
 def removed_words(docs: DataFrame, size: int = 13, gram: int = 5) -> DataFrame:

@@ -4,16 +4,21 @@ A byte goes if a string of ``size`` bytes that covers it also starts anywhere
 else, in the same document or another. Strings are judged on the input and
 never cross documents; overlapping places count.
 
-Positions that can share a string are found as in ``winnow``. In a task their
-suffixes are put in buckets by their first eight bytes; then each bucket with
-two suffixes or more is refined by sorting on the bucket identifiers that its
-suffixes have one bucket length further on. Identifiers are updated in place,
-so each round's buckets serve the next at twice the length, up to ``size``.
+Positions that can share a string are found as in ``winnow`` and dealt over the
+cluster in the buckets of their least grams; a bucket that is too large for a
+task is refined there, by 8, 16 ... 128 bytes of the strings themselves. In a
+task the suffixes are put in buckets by their first eight bytes; then each
+bucket with two suffixes or more is refined by sorting on the bucket identifiers
+that its suffixes have one bucket length further on. Identifiers are updated in
+place, so each round's buckets serve the next at twice the length, up to
+``size``. Nothing but the last buckets removes a byte.
 
 Defined cases: a null or empty text has no bytes; repeated rows are separate
 places, so their strings repeat; rows without a doc_id take part and keep null
-as theirs; texts shorter than ``size`` stay whole; an empty table gives an
-empty result; further columns are not read. What is kept may split a character,
+as theirs; all of several equal strings go, whichever document they are in;
+texts shorter than ``size`` stay whole; a very long text, one byte repeated
+included, is cut into blocks like any other; an empty table gives an empty
+result; further columns are not read. What is kept may split a character,
 so it is binary.
 """
 
@@ -21,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
@@ -49,8 +54,11 @@ class ByteWindows:
 
     part = content
 
-    def count(self, content: bytes) -> int:
-        return len(content) - self.size + 1
+    #: Lengths of the prefixes that split a large group.
+    prefixes = (8, 16, 32, 64, 128)
+
+    def prefix(self, window: Column, length: int) -> Column:
+        return F.substring(window, 1, length)
 
     def windows(self, content: bytes) -> list[bytes]:
         return [content[k : k + self.size] for k in range(len(content) - self.size + 1)]
@@ -95,7 +103,7 @@ def removed_bytes(docs: DataFrame, size: int = 200, gram: int = 64) -> DataFrame
     """(doc_id, kept, n_bytes, spans) for each row of ``docs``: spans are the removed (start, end), flattened."""
     scheme = ByteWindows(size, gram)
     rows = winnow.keyed(docs)
-    known = winnow.with_spans(rows, scheme, True, resolve=lambda c, f, p: repeats(c, f, p, size), fold=lambda first, places: places > 1, base=lambda first, places: places > 1)
+    known = winnow.with_spans(rows, scheme, True, resolve=lambda c, f, p: repeats(c, f, p, size), fold=lambda first, places: places > 1)
 
     def remove(batches):
         for b in slices(batches, 500):

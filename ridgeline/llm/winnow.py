@@ -4,16 +4,18 @@ Both exact substring operators ask which windows of a fixed number of units
 (words or bytes) occur elsewhere. Every window is named after the least hash
 among its grams. Equal windows have equal grams and so the same name, and
 neighbouring windows mostly share one, so the names that occur more than once
-lead to all repeats at a few rows for each hundred bytes:
+lead to all repeats at a few rows for each hundred bytes. Names only filter:
 
 1. ``repeated_names`` gathers (name, document) and keeps names seen twice;
 2. ``blocks`` cuts from each document the stretches of windows with such
    names, at places that the names themselves set, so that copies are cut
-   alike; equal blocks are then taken together, however many there are;
-3. among the distinct blocks the names that occur twice again lead to the
-   ``passages`` that different blocks may share, and an operator tells which
-   of their windows are equal (its own method);
-4. ``told_back`` brings that to the blocks and to each document's row.
+   alike; equal blocks travel on as one, with the number of their places;
+3. ``runs`` deals each block's windows to the groups of their names: suffixes
+   from a window's least gram on, which is their first prefix. A group of more
+   than ``most`` is dealt by longer prefixes of its windows (``by_prefix``);
+4. in a group the operator's own method decides which windows repeat, those of
+   copies included, as each row counts for all its places;
+5. ``told_back`` brings that to the blocks and to each document's row.
 
 Nothing is dropped on the way: a window whose name occurs once occurs once.
 """
@@ -27,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_nothing, slices, stored, text_bytes
+from .common import forget, keep_nothing, sized_broadcast, slices, stored, text_bytes
 
+#: Groups, or windows of at most some 200 bytes, that may be broadcast.
+BROADCAST_ROWS = 300_000
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,16 +120,37 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(doc, F.xxhash64("text")).alias("key"), doc.alias("doc_id"), text_bytes().alias("text"), rest.alias("row"))
 
 
-def repeated_names(rows: DataFrame, scheme, within: bool) -> DataFrame:
+#: What a row of ``repeated_names`` is: a name met once in its lot, one told twice already, a document's share of such a one.
+SINGLE, KNOWN, SETTLED = 0, 1, 2
+
+
+def repeated_names(rows: DataFrame, scheme, within: bool, lot: int = 300_000) -> DataFrame:
     """(key, names): for each document the names that occur at two places.
 
     ``within`` counts places in one document; otherwise two documents are
-    needed. Rows are dealt by name and sorted; only neighbours are compared, so
-    a name of any number of documents takes no memory.
+    needed. A task first compares lots of about ``lot`` names of its own: what
+    occurs twice there is settled and only tells the others so, in one row for a
+    lot, so that a name of any number of documents is no hot key. The rest is
+    dealt by name and sorted, and only neighbours are compared.
     """
 
+    def told(keys: np.ndarray, names: np.ndarray):
+        x = np.stack([names, keys], axis=1)
+        x = x[np.lexsort([keys, names])]
+        if not within:
+            x = x[np.append(True, (x[1:] != x[:-1]).any(axis=1))]
+        same = x[1:, 0] == x[:-1, 0]
+        twice = np.append(False, same) | np.append(same, False)
+        once, many = x[~twice], x[twice]
+        first = many[np.append(True, many[1:, 0] != many[:-1, 0])] if len(many) else many
+        for kind, part, deal in ((SINGLE, once, 0), (KNOWN, first, 0), (SETTLED, many, 1)):
+            for at in range(0, len(part), 20_000):
+                p = part[at : at + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, deal]), pa.array(p[:, 0]), pa.array(np.full(len(p), kind, np.int32)), pa.array(p[:, 1])], ["deal", "name", "kind", "key"])
+
     def gather(batches):
         keep_nothing()
+        held, size = [], 0
         for b in slices(batches, 500):
             own = []
             for text in b.column(1).to_pylist():
@@ -133,16 +158,25 @@ def repeated_names(rows: DataFrame, scheme, within: bool) -> DataFrame:
                 names = window_names(grams, scheme.width)
                 values = np.unique(names)
                 own.append(np.concatenate([values, own_twice(grams, names, scheme.width)]) if within and len(names) else values)
-            keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own])
-            names = np.concatenate(own) if own else np.zeros(0, np.uint64)
-            for at in range(0, len(keys), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 20_000].view(np.int64)), pa.array(keys[at : at + 20_000], pa.int64())], ["name", "key"])
+            if own:
+                keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own])
+                held.append((keys, np.concatenate(own).view(np.int64)))
+                size += len(keys)
+            if size > lot:
+                yield from told(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if size:
+            yield from told(*map(np.concatenate, zip(*held)))
 
     def twice(batches):
-        held = np.zeros((0, 2), np.int64)
+        held = np.zeros((0, 3), np.int64)
         known = False  # whether the held row's name was seen before it
         for b in batches:
-            x = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)])
+            x = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3)], axis=1)
+            settled = x[:, 1] == SETTLED
+            if settled.any():
+                yield _names(x[settled])
+            x = np.concatenate([held, x[~settled]])
             if not within and len(x) > 1:
                 x = x[np.append(True, (x[1:] != x[:-1]).any(axis=1))]
             if len(x):
@@ -154,18 +188,21 @@ def repeated_names(rows: DataFrame, scheme, within: bool) -> DataFrame:
         if len(held) and known:
             yield _names(held)
 
-    dealt = rows.select("key", "text").mapInArrow(gather, "name long, key long").repartition("name").sortWithinPartitions("name", "key")
+    dealt = rows.select("key", "text").mapInArrow(gather, "deal long, name long, kind int, key long").repartition("deal").sortWithinPartitions("name", F.desc("kind"), "key")
     return dealt.mapInArrow(twice, "key long, name long").groupBy("key").agg(F.collect_set("name").alias("names"))
 
 
 def _names(x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 0])], ["key", "name"])
+    """(key, name) of rows of (name, kind, key), less those without a document of their own."""
+    x = x[x[:, 1] != KNOWN]
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 2]), pa.array(x[:, 0])], ["key", "name"])
 
 
 #: A block starts at one in so many names, and has at most so many runs.
 CUT, MOST_RUNS = np.uint64(8), 64
 BLOCK = "block binary, key long, text_hash long, doc_id long, start long, content binary, names array<long>, sizes array<long>"
-PASSAGE = {"name": pa.int64(), "passage": pa.int64(), "block": pa.binary(), "start": pa.int64(), "content": pa.binary(), "first_doc": pa.int64(), "places": pa.int64()}
+RUN = {"name": pa.int64(), "block": pa.binary(), "start": pa.int64(), "content": pa.binary(), "first_doc": pa.int64(), "places": pa.int64()}
+RUNS = ", ".join(f"{n} {'binary' if pa.types.is_binary(t) else 'long'}" for n, t in RUN.items())
 
 
 def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -217,43 +254,30 @@ def blocks(rows: DataFrame, repeated: DataFrame, scheme, within: bool) -> DataFr
     return both.mapInArrow(cut, BLOCK)
 
 
-def distinct_blocks(found: DataFrame) -> DataFrame:
-    """(key, block, text, names, sizes, first_doc, places): equal blocks taken together."""
-    own = found.groupBy("block", "content", "names", "sizes").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first_doc"), F.count(F.lit(1)).alias("places"))
-    return own.select(F.xxhash64("block").alias("key"), "block", F.col("content").alias("text"), "names", "sizes", "first_doc", "places")
-
-
-def shared_names(each: DataFrame, within: bool) -> DataFrame:
-    """(key, shared): the names that a block shares with another one, or has twice if ``within``."""
-    own = each.select("key", F.explode("names" if within else F.array_distinct("names")).alias("name"))
-    twice = own.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    return own.join(twice, "name").groupBy("key").agg(F.collect_set("name").alias("shared"))
-
+def runs(found: DataFrame, scheme) -> DataFrame:
+    """A row for each run of windows of one name of the distinct blocks.
 
-def passages(each: DataFrame, shared: DataFrame, scheme) -> DataFrame:
-    """A row for each run of a block's windows with a shared name."""
-    both = each.join(shared, "key").select("block", "text", "first_doc", "places", "names", "sizes", "shared")
+    Equal blocks are one, with the least of their documents and their number.
+    """
+    columns = ["block", "content", "names", "sizes", "first_doc", "places"]
+    each = found.groupBy(*columns[:4]).agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first_doc"), F.count(F.lit(1)).alias("places"))
 
     def cut(batches):
-        from xxhash import xxh3_64_intdigest
-
         for b in slices(batches, 1000):
             out: list[tuple] = []
-            for row, (block, text, first, places) in enumerate(zip(*[b.column(k).to_pylist() for k in range(4)])):
-                names, sizes, known = (b.column(k)[row].values.to_numpy(zero_copy_only=False) for k in (4, 5, 6))
-                take, starts, units = np.flatnonzero(among(names, np.sort(known))), np.cumsum(sizes) - sizes, scheme.units(text)
-                for name, s, n in zip(names[take].tolist(), starts[take].tolist(), sizes[take].tolist()):
-                    content = scheme.part(units, s, n)
-                    out.append((name, xxh3_64_intdigest(content) - (1 << 63), block, s, content, first, places))
+            for row, (block, text, first, places) in enumerate(zip(*[b.column(k).to_pylist() for k in (0, 1, 4, 5)])):
+                names, sizes = (b.column(k)[row].values.to_numpy(zero_copy_only=False) for k in (2, 3))
+                units = scheme.units(text)
+                for name, s, n in zip(names.tolist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
+                    out.append((name, block, s, scheme.part(units, s, n), first, places))
             for at in range(0, len(out), 5_000):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[at : at + 5_000]), PASSAGE.values())], list(PASSAGE))
+                yield _run_rows(out[at : at + 5_000])
 
-    return both.mapInArrow(cut, ", ".join(f"{n} {'binary' if pa.types.is_binary(t) else 'long'}" for n, t in PASSAGE.items()))
+    return each.select(*columns).mapInArrow(cut, RUNS)
 
 
-def distinct_passages(found: DataFrame) -> DataFrame:
-    """(name, passage, content, first_doc, places): equal passages taken together."""
-    return found.groupBy("name", "passage", "content").agg(F.min("first_doc").alias("first_doc"), F.sum("places").alias("places"))
+def _run_rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), RUN.values())], list(RUN))
 
 
 def run_lengths(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -279,119 +303,131 @@ def window_starts(spans: list[dict] | None, wanted: Callable) -> np.ndarray:
     return np.concatenate(out)
 
 
-TOLD = "name long, passage long, told array<long>"
+TOLD = "block binary, start long, told array<long>"
 
 
-def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, base: Callable, lot: int = 2_000, hot: int = 20_000) -> DataFrame:
-    """(name, passage, told): what is known of each distinct passage's windows, as run lengths.
+def in_groups(found: DataFrame, by: str, resolve: Callable, lot: int) -> DataFrame:
+    """(block, start, told) for rows of ``runs``: what ``resolve`` tells of their windows, as run lengths.
 
-    ``resolve(contents, first_docs, places)`` gets the passages of whole names,
-    about ``lot`` at a time, and returns a value for each window of each, and
-    how many windows each has. A name with more than ``hot`` distinct passages isn't brought together:
-    ``_one_by_one`` deals its windows out and folds equal ones.
+    ``resolve(contents, first_docs, places)`` gets the rows of whole groups of
+    equal ``by``, about ``lot`` at a time, and returns a value for each window
+    of each, and how many windows each has.
     """
-    each = distinct_passages(found)  # of a stored table
-    crowded = stored(each.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("name"))
-    columns = ["name", "passage", "content", "first_doc", "places"]
-    some = not crowded.isEmpty()
-    few = each.join(crowded, "name", "left_anti") if some else each
-
-    def own_places(contents: list[bytes], firsts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.array([scheme.count(c) for c in contents])
-        return np.repeat(np.array([base(f, p) for f, p in zip(firsts.tolist(), places.tolist())], np.int64), counts), counts
 
     def told(t: pa.Table):
-        names = t.column("name").to_numpy()
-        alone = np.append(True, names[1:] != names[:-1]) & np.append(names[1:] != names[:-1], True)
-        if alone.any():  # the only passage of its name: its windows occur where it does
-            yield rows(t.filter(pa.array(alone)), own_places)
-        t, names = t.filter(pa.array(~alone)), names[~alone]
-        cuts = np.unique(np.searchsorted(names, names[np.arange(0, len(names), lot)])).tolist()
-        for a, z in zip(cuts, [*cuts[1:], len(names)]):
-            yield rows(t.slice(a, z - a), resolve)
-
-    def rows(x: pa.Table, tell: Callable) -> pa.RecordBatch:
-        values, counts = tell(x.column("content").to_pylist(), x.column("first_doc").to_numpy(), x.column("places").to_numpy())
-        ids = [pa.array(x.column(k).to_numpy()) for k in ("name", "passage")]
-        return pa.RecordBatch.from_arrays([*ids, run_lengths(values, counts)], ["name", "passage", "told"])
+        groups = t.column(0).to_numpy()
+        cuts = np.unique(np.searchsorted(groups, groups[np.arange(0, len(groups), lot)])).tolist()
+        for a, z in zip(cuts, [*cuts[1:], len(groups)]):
+            x = t.slice(a, z - a)
+            values, counts = resolve(x.column("content").to_pylist(), x.column("first_doc").to_numpy(), x.column("places").to_numpy())
+            yield pa.RecordBatch.from_arrays([x.column(k).combine_chunks() for k in ("block", "start")] + [run_lengths(values, counts)], ["block", "start", "told"])
 
     def lots(batches):
         held: list = []
         for b in batches:
+            if not b.num_rows:
+                continue
             held.append(b)
             if sum(h.num_rows for h in held) < lot:
                 continue
             t = pa.Table.from_batches(held)
-            names = t.column("name").to_numpy()
-            last = int(np.searchsorted(names, names[-1]))  # this name may go on in the next batch
+            groups = t.column(0).to_numpy()
+            last = int(np.searchsorted(groups, groups[-1]))  # this group may go on in the next batch
             if last:
                 yield from told(t.slice(0, last))
                 held = t.slice(last).to_batches()
         if held:
             yield from told(pa.Table.from_batches(held))
 
-    dealt = few.select(*columns).repartition("name").sortWithinPartitions("name")
-    out = dealt.mapInArrow(lots, TOLD)
-    return out.unionByName(_one_by_one(each.join(crowded, "name", "left_semi"), scheme, fold)) if some else out
+    dealt = found.select(F.col(by).alias("group"), "block", "start", "content", "first_doc", "places").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(lots, TOLD)
 
 
-def _one_by_one(each: DataFrame, scheme, fold: Callable) -> DataFrame:
-    """As ``resolved``: windows are dealt by a 128-bit hash, and equal ones are folded."""
+def apart(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` whose group of equal ``by`` has at most ``most`` rows, and the others or None."""
+    large = stored(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(by))
+    if large.isEmpty():
+        return rows, None
+    few = sized_broadcast(large, BROADCAST_ROWS)
+    return rows.join(few, by, "left_anti"), rows.join(few, by, "left_semi")
 
-    def windows(batches):
-        from xxhash import xxh3_128_digest
 
-        for b in slices(batches, 500):
-            for name, passage, content, first, places in zip(*[b.column(k).to_pylist() for k in range(5)]):
-                parts = scheme.windows(content)
-                n = len(parts)
-                numbers = [pa.array(x, pa.int64()) for x in ([name] * n, [passage] * n, range(n), [first] * n, [places] * n)]
-                yield pa.RecordBatch.from_arrays([*numbers, pa.array([xxh3_128_digest(p) for p in parts], pa.binary())], ["name", "passage", "at", "first_doc", "places", "window"])
+def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, lot: int = 2_000, most: int = 20_000) -> DataFrame:
+    """(block, start, told): what is known of the windows of each row of ``runs`` (a stored table)."""
+    few, large = apart(found, "name", most)
+    out = in_groups(few, "name", resolve, lot)
+    return out if large is None else out.unionByName(by_prefix(large, scheme, resolve, fold, lot, most))
 
-    rows = each.select("name", "passage", "content", "first_doc", "places").mapInArrow(windows, "name long, passage long, at long, first_doc long, places long, window binary")
-    totals = rows.groupBy("window").agg(fold(F.min("first_doc"), F.sum("places")).cast("long").alias("value"))
-    told = F.sort_array(F.collect_list(F.struct("at", "value")))
-    own = rows.join(totals, "window").groupBy("name", "passage").agg(told.alias("told"))
-    return own.select("name", "passage", F.flatten(F.transform("told", lambda x: F.array(x["value"], F.lit(1).cast("long")))).alias("told"))
 
+def by_prefix(large: DataFrame, scheme, resolve: Callable, fold: Callable, lot: int, most: int) -> DataFrame:
+    """As ``resolved``, for groups of more than ``most`` rows: their windows are
+    dealt one by one, by the shortest of ``scheme.prefixes`` whose group is
+    small enough. Where even the longest isn't, the whole window is its prefix:
+    such windows are equal, and their rows are added up on the way."""
 
-def told_blocks(each: DataFrame, found: DataFrame, told: DataFrame, scheme, base: Callable) -> DataFrame:
-    """(block, told) for every block: ``base(first_doc, places)`` for each window, or what its passages tell."""
-    own = found.select("name", "passage", "block", "start").join(told, ["name", "passage"]).groupBy("block").agg(F.collect_list(F.struct("start", "told")).alias("spans"))
-    both = each.select("block", "text", "first_doc", "places").join(own, "block", "left")
+    def windows(batches):
+        for b in slices(batches, 500):
+            out = [(0, block, start + k, w, first, places) for block, start, content, first, places in zip(*[b.column(k).to_pylist() for k in range(5)]) for k, w in enumerate(scheme.windows(content))]
+            for at in range(0, len(out), 5_000):
+                yield _run_rows(out[at : at + 5_000])
+
+    rest: DataFrame | None = stored(large.select("block", "start", "content", "first_doc", "places").mapInArrow(windows, RUNS).drop("name"))
+    parts: list[DataFrame] = []
+    for length in scheme.prefixes:
+        rows = rest.withColumn("prefix", F.xxhash64(scheme.prefix(F.col("content"), length)))
+        few, rest = apart(rows, "prefix", most)
+        parts.append(in_groups(few, "prefix", resolve, lot))
+        if rest is None:
+            break
+        rest = stored(rest.drop("prefix"))
+    if rest is not None:
+        totals = stored(rest.groupBy("content").agg(fold(F.min("first_doc"), F.sum("places")).cast("long").alias("value")))
+        parts.append(rest.join(sized_broadcast(totals, BROADCAST_ROWS), "content").select("block", "start", F.array("value", F.lit(1).cast("long")).alias("told")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def told_blocks(told: DataFrame) -> DataFrame:
+    """(block, told): the runs of each block put together."""
+    own = told.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("start", "told"))).alias("parts"))
+    joined = own.select("block", F.flatten(F.transform("parts", lambda p: p["told"])).alias("told"))
 
     def merge(batches):
-        for b in slices(batches, 1000):
-            texts, firsts, places = (b.column(k).to_pylist() for k in (1, 2, 3))
-            counts = np.array([scheme.count(t) for t in texts])
-            at = np.cumsum(counts) - counts
-            values = np.repeat(np.array([base(f, p) for f, p in zip(firsts, places)], np.int64), counts)
-            for row, spans in enumerate(b.column(4)):
-                if not spans.is_valid:
-                    continue
-                for s, told in zip(spans.values.field("start").to_pylist(), spans.values.field("told")):
-                    value, n = told.values.to_numpy(zero_copy_only=False).reshape(-1, 2).T
-                    s += at[row]
-                    values[s : s + int(n.sum())] = value[0] if len(n) == 1 else np.repeat(value, n)
-            yield pa.RecordBatch.from_arrays([b.column(0), run_lengths(values, counts)], ["block", "told"])
+        for b in slices(batches, 2000):
+            if not b.num_rows:
+                continue
+            counts = b.column(1).value_lengths().to_numpy(zero_copy_only=False) // 2
+            value, n = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2).T
+            change = np.append(True, value[1:] != value[:-1])
+            change[np.cumsum(counts) - counts] = True
+            at = np.flatnonzero(change)
+            flat = np.stack([value[at], np.add.reduceat(n, at)], axis=1).ravel()
+            border = np.searchsorted(at, np.append(0, np.cumsum(counts)))
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(flat, 2 * np.diff(border))], ["block", "told"])
 
-    return both.mapInArrow(merge, "block binary, told array<long>")
+    return joined.mapInArrow(merge, "block binary, told array<long>")
 
 
 def told_back(rows: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
     """(doc_id, text, spans, row) for each of ``rows``; spans is an array of (start, told) or null."""
-    own = found.select("block", "key", "text_hash", "start").distinct()
-    spans = own.join(told, "block").groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "told")).alias("spans"))
+    own = found.select("block", "key", "text_hash", "start")
+    spans = own.join(told, "block").groupBy("key", "text_hash").agg(F.collect_set(F.struct("start", "told")).alias("spans"))  # a set: repeated rows have the same
     whole = rows.withColumn("text_hash", F.xxhash64("text"))
     return whole.join(spans.hint("shuffle_hash"), ["key", "text_hash"], "left").select("doc_id", "text", "spans", "row")
 
 
-def with_spans(rows: DataFrame, scheme, within: bool, resolve: Callable, fold: Callable, base: Callable) -> DataFrame:
-    """All the steps: ``rows`` (key, doc_id, text) with what is known of their windows."""
+def with_spans(rows: DataFrame, scheme, within: bool, resolve: Callable, fold: Callable) -> DataFrame:
+    """All the steps: ``rows`` (key, doc_id, text) with what is known of their windows.
+
+    ``fold(least first_doc, number of places)`` tells of equal windows what ``resolve`` would.
+    """
     found = stored(blocks(rows, repeated_names(rows, scheme, within), scheme, within))
-    each = stored(distinct_blocks(found))
-    parts = stored(passages(each, shared_names(each, within), scheme))
-    return told_back(rows, found, stored(told_blocks(each, parts, resolved(parts, scheme, resolve, fold, base), scheme, base)))
+    parts = stored(runs(found, scheme))
+    told = stored(told_blocks(resolved(parts, scheme, resolve, fold)))
+    forget(parts)
+    return told_back(rows, found, told)
 
 
 def covered(n_units: int, starts: Iterable[int], size: int) -> np.ndarray:

@@ -141,11 +141,12 @@ def test_suffix_array(docs, empty):
     assert suffix_array_dedup.suffix_array_report(empty).count() == 0
 
 
-@pytest.mark.parametrize("lot,hot", [(3, 10_000), (1, 0)])
-def test_small_lots_and_hot_names(spark, lot, hot, monkeypatch):
-    """Lots that end within names, and windows dealt one by one, change nothing."""
-    resolved = winnow.resolved
-    monkeypatch.setattr(winnow, "resolved", lambda *a, **k: resolved(*a, **k, lot=lot, hot=hot))
+@pytest.mark.parametrize("lot,most,names", [(3, 10_000, 50), (1, 0, 300_000), (2, 3, 1)])
+def test_small_lots_and_large_groups(spark, lot, most, names, monkeypatch):
+    """Lots that end within groups, and windows dealt by longer prefixes up to whole ones, change nothing."""
+    resolved, repeated = winnow.resolved, winnow.repeated_names
+    monkeypatch.setattr(winnow, "resolved", lambda *a, **k: resolved(*a, **k, lot=lot, most=most))
+    monkeypatch.setattr(winnow, "repeated_names", lambda *a, **k: repeated(*a, **k, lot=names))
     shared = [prose(15, 100 + k) for k in range(4)]
     rows = [(k, prose(5, k) + shared[k % 4] + prose(3, 50 + k) + shared[(k * 3) % 4] + prose(4, 90 + k)) for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -155,11 +156,23 @@ def test_small_lots_and_hot_names(spark, lot, hot, monkeypatch):
     assert order((r.doc_id, r.n_bytes - len(r.kept)) for r in out) == order((d, x[1]) for (d, _), x in zip(rows, brute.repeated_bytes([t for _, t in rows], 60)))
 
 
+def test_the_tree_and_the_buckets_decide(spark, docs, monkeypatch):
+    """Without them nothing is removed, copies of whole texts included."""
+    words = lambda contents, size: np.array([len(c.split(b" ")) - size + 1 for c in contents])
+    counts = lambda contents, size: np.array([len(c) - size + 1 for c in contents])
+    monkeypatch.setattr(substring_dedup, "first_documents", lambda c, f, p, size: (np.full(words(c, size).sum(), substring_dedup.NEVER), words(c, size)))
+    monkeypatch.setattr(suffix_array_dedup, "repeats", lambda c, f, p, size: (np.zeros(counts(c, size).sum(), np.int64), counts(c, size)))
+    assert {r.n_removed for r in substring_dedup.substring_report(docs).collect()} == {0}
+    assert {r.n_removed for r in suffix_array_dedup.suffix_array_report(docs).collect()} == {0}
+
+
 def test_prefix_groups():
     units = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 9])
     groups = [sorted(g.tolist()) for g, _ in substring_dedup.prefix_groups(units, np.array([0, 3, 6]), 3, 1)]
     assert sorted(groups) == [[0, 2], [1]]
-    assert substring_dedup.deep_nodes(units, np.array([0, 3, 6]), 0, 3).tolist() == [0, -1, 0]
+    one = np.ones(3, np.int64)
+    assert substring_dedup.deep_nodes(units, np.array([0, 3, 6]), one, 0, 3).tolist() == [0, -1, 0]
+    assert substring_dedup.deep_nodes(units, np.array([3]), one[:1], 0, 3).tolist() == [-1] and substring_dedup.deep_nodes(units, np.array([3]), 2 * one[:1], 0, 3).tolist() == [0]
 
 
 def test_simhash(docs, empty):
