@@ -1,18 +1,26 @@
 """Document scores under a hashed maximum-entropy language model.
 
 A token's probability is factored: P(class | what stands before) times
-P(token | class). The class softmax has hashed n-gram and skip features: the
-token before, the pair of the two tokens before, the second and the third
-token before. Within a class tokens have their smoothed training counts.
+P(part of the class | class, what stands before) times the token's share of
+that part. Both softmaxes have hashed n-gram and skip features of the tokens
+themselves: the token before, the pair of the two tokens before, the second
+token before on its own (a skip), and the classes of the three tokens before; in
+the second softmax each feature is joined with the class. Most frequent tokens have
+a part of their own, all others share one with some of their kind, where they
+have their smoothed training counts.
 
 1. Training tokens are counted. The ``HEAD`` most frequent types (a fixed
    bound) go to all tasks; the rest stay in a table and are joined.
-2. Units - the most frequent tokens, and buckets of word endings for all
+2. All texts are turned into token codes once, and these are stored.
+3. Units - the most frequent tokens, and buckets of word endings for all
    others - get classes by k-means over how often each stands near the most
-   frequent tokens, counted over all training texts.
-3. Class counts are gathered for every hashed context. Gradient updates of the
-   class weights are summed over the contexts' partitions, round by round.
-4. All texts are scored in numpy batches. Tokens beyond the head are scored by
+   frequent tokens, counted over all training texts; a class's units are dealt
+   to its parts by their counts.
+4. Features are hashed to ``table_rows`` rows, a number that grows with the
+   training tokens up to a bound. What was seen of each row and class is summed over
+   all training texts; then, round by round, what the weights expect, and the
+   weights move towards making the two equal. Sums go through two levels.
+5. All texts are scored in numpy batches. Tokens beyond the head are scored by
    a join of (document, token) with the counts.
 
 What goes to the driver is bounded: HEAD counts, UNITS x ANCHORS sums, and the
@@ -21,7 +29,9 @@ weights. Everything else follows the corpus and stays in tables.
 Defined cases: a null or empty text is its end token alone; without training
 rows every count is 0 and scores are those of the smoothing; a null doc_id
 hashes as the empty text; repeated rows are scored alike and each counts for
-training; an empty table gives an empty result; further columns are not read.
+training; types with equal counts are ordered by their hashes; a very long text
+is one row of codes like any other, and so is one unbroken run of letters, which
+is one token; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -34,21 +44,27 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, list_array, slices, stored, text_bytes
+from .common import forget, kept, list_array, slices, stored, text_bytes
 
 #: Bounds and sizes of the model.
 HEAD = 1 << 18
-TOP = 1024
+TOP = 2048
 ENDINGS = 4096
 UNITS = TOP + ENDINGS
 ANCHORS = 128
 CLASSES = 32
-GROUPS = 8
-BEFORE = 256
-PAIRS = 1 << 12
+PARTS = 32
 NEAR = (1, 2, 3)
-ROUNDS = 12
-#: Added to each count within a class, one more type standing for unseen ones.
+ROUNDS = 2
+#: Weights stay within it either way: five of them are within what a float32 exponential can hold.
+LIMIT = 16.0
+#: A row of a weight table for so many training tokens; least and largest number of rows.
+TOKENS_A_ROW = 1024
+ROWS = (1 << 12, 1 << 18)
+#: Tokens that a task works on at once, and feature rows in a piece of a sum.
+CHUNK = 1 << 14
+PIECE = 1 << 12
+#: Added to each count within a part, one more type standing for unseen ones.
 ADDED = 1.0
 END = b""
 
@@ -92,8 +108,8 @@ def _type_rows(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(map(word_hash, seen), pa.int64()), pa.array(map(ending, seen), pa.int32()), pa.array(seen.values(), pa.int64())], ["h", "ending", "c"])
 
 
-def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent types, at most ``most``: all from some count on."""
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and endings of the most frequent types, at most ``most``: all from some count on."""
     by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     # no more than ``most`` counts can matter: each has a type at least
     left, least = most, None
@@ -103,15 +119,18 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
             break
         least = r["c"]
     if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = counts.where(F.col("c") >= least).select("h", "c").toArrow()
-    h, c = found.column("h").to_numpy(), found.column("c").to_numpy()
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = counts.where(F.col("c") >= least).select("h", "c", "ending").toArrow()
+    h, c, e = (found.column(k).to_numpy().astype(np.int64) for k in ("h", "c", "ending"))
     order = np.lexsort([h, -c])
-    return h[order], c[order]
+    return h[order], c[order], e[order]
 
 
-class Units(dict):
-    """word -> its unit, and its place in the head (or -1), as unit << 32 | place + 1.
+# ---- codes
+
+
+class Codes(dict):
+    """word -> its place in the head, or -1 - (ending << 19 | 19 bits of its hash).
 
     The first ``limit`` different words are kept.
     """
@@ -121,69 +140,131 @@ class Units(dict):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        place = self.place.get(word_hash(word), -1)
-        unit = place if 0 <= place < TOP else TOP + ending(word)
+        h = word_hash(word)
+        code = self.place.get(h, -1)
+        if code < 0:
+            code = -1 - (ending(word) << 19 | h & 0x7FFFF)
         if len(self) < self.limit and len(word) < 64:
-            self[word] = unit << 32 | place + 1
-        return unit << 32 | place + 1
+            self[word] = code
+        return code
+
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return x >> 32, (x & 0xFFFFFFFF) - 1
+CODED = "doc_id long, row long, train boolean, codes binary, rare array<long>"
 
 
-def _units(head, name: str) -> Units:
-    """One for each model in a worker; ``name`` tells models apart."""
-    return kept(f"lm_scoring {name}", name, lambda: Units(head.value))
+def coded(rows: DataFrame, head, name: str) -> DataFrame:
+    """(doc_id, row, train, codes, rare) for each of ``rows`` (doc_id, text, train): the
+    texts' codes, and the hashes of the tokens beyond the head. ``name`` tells models apart in a worker."""
+
+    def encode(batches):
+        codes, part, row_id = kept(f"lm_scoring {name}", name, lambda: Codes(head.value)), TaskContext.get().partitionId(), 0
+        for b in slices(batches, 500):
+            data, rare = [], []
+            for text in b.column(1).to_pylist():
+                words = tokens(text)
+                own = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
+                data.append(own.tobytes())
+                rare.append(np.array([word_hash(words[k]) for k in np.flatnonzero(own < 0).tolist()], np.int64))
+            ids = np.arange(row_id, row_id + b.num_rows) + (part << 40)
+            row_id += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), b.column(2), pa.array(data, pa.binary()), list_array(rare, pa.int64())], ["doc_id", "row", "train", "codes", "rare"])
+
+    return rows.mapInArrow(encode, CODED)
+
+
+def _lots(batches, column: int):
+    """Codes, places in the text and row numbers of about CHUNK tokens of whole texts at a time."""
+    held, size = [], 0
+    for b in slices(batches, 200):
+        for data in b.column(column).to_pylist():
+            held.append(np.frombuffer(data, np.int32))
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in parts])
+    return np.concatenate(parts), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(len(parts)), sizes)
+
+
+def units_of(codes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+    """The unit of each code; ``endings`` are those of the head's types."""
+    inside = codes >= 0
+    own = np.where(inside, 0, -1 - codes) >> 19
+    if len(endings):
+        place = np.where(inside, codes, 0)
+        return np.where(inside & (codes < TOP), codes, TOP + np.where(inside, endings[place], own))
+    return TOP + own
 
 
 # ---- classes
 
 
-def near_anchors(train: DataFrame, head, name: str) -> np.ndarray:
+def near_anchors(train: DataFrame, endings) -> np.ndarray:
     """UNITS x ANCHORS: how often an anchor stands up to NEAR places beside a unit."""
 
     def count(batches):
-        units, sums = _units(head, name), np.zeros(UNITS * ANCHORS, np.int64)
-        for b in slices(batches, 500):
-            lot: list[bytes] = []
-            for text in b.column(0).to_pylist():
-                lot += tokens(text)
-            u, place = units.of(lot)
+        sums = np.zeros(UNITS * ANCHORS, np.int64)
+        for codes, _, _ in _lots(batches, 0):
+            u = units_of(codes, endings.value)
             for gap in NEAR:
-                for a, z in ((place[:-gap], u[gap:]), (place[gap:], u[:-gap])):
+                for a, z in ((codes[:-gap], u[gap:]), (codes[gap:], u[:-gap])):
                     is_anchor = (a >= 0) & (a < ANCHORS)
-                    sums += np.bincount(z[is_anchor] * ANCHORS + a[is_anchor], minlength=len(sums))
-        for at in range(0, UNITS, TOP):
-            part = sums[at * ANCHORS : (at + TOP) * ANCHORS]
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part.astype("<i8").tobytes()], pa.binary())], ["part", "sums"])
+                    np.add.at(sums, z[is_anchor] * ANCHORS + a[is_anchor], 1)
+        yield from _pieces(sums.reshape(UNITS, ANCHORS), 0)
+
+    return _table(added_up(train.mapInArrow(count, SUMS)), [(UNITS, ANCHORS)])[0]
+
 
-    parts = added_up(train.select("text").mapInArrow(count, "part long, sums binary"), "<i8")
-    out = np.zeros(UNITS * ANCHORS)
-    for r in parts.collect():  # UNITS / TOP rows
-        x = np.frombuffer(r["sums"], "<i8")
-        out[r["part"] * ANCHORS : r["part"] * ANCHORS + len(x)] = x
-    return out.reshape(UNITS, ANCHORS)
+SUMS = "part long, sub long, sums binary"
 
 
-def added_up(rows: DataFrame, kind: str) -> DataFrame:
-    """(part, sums): arrays of equal ``part`` added element by element, one at a time."""
+def _pieces(sums: np.ndarray, table: int):
+    """A table of sums, in pieces of PIECE rows; empty pieces are left out."""
+    sub = TaskContext.get().partitionId() // 32
+    for at in range(0, len(sums), PIECE):
+        part = sums[at : at + PIECE]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([table << 32 | at]), pa.array([sub], pa.int64()), pa.array([part.astype("<f4").tobytes()], pa.binary())], ["part", "sub", "sums"])
+
+
+def added_up(rows: DataFrame) -> DataFrame:
+    """(part, sub, sums): arrays of equal ``part`` added element by element, one
+    at a time; first those of some tasks (``sub``), then all."""
 
     def add(batches):
         at, total = None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([0], pa.int64()), pa.array([total.astype("<f4").tobytes()], pa.binary())], ["part", "sub", "sums"])
         for b in batches:
-            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(data, kind)
-                if part == at:
-                    total = total + x
+            for part, sub, data in zip(*[b.column(k).to_pylist() for k in range(3)]):
+                x = np.frombuffer(data, "<f4")
+                if (part, sub) == at:
+                    total += x
                     continue
                 if at is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
-                at, total = part, x
+                    yield done()
+                at, total = (part, sub), x.astype(float)
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
+            yield done()
+
+    some = rows.repartition("part", "sub").sortWithinPartitions("part", "sub").mapInArrow(add, SUMS)
+    return some.repartition("part").sortWithinPartitions("part", "sub").mapInArrow(add, SUMS)
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, sums binary")
+
+def _table(sums: DataFrame, shapes: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The summed tables, on the driver; their sizes are fixed or bounded."""
+    found = stored(sums)
+    out = [np.zeros(shape, np.float32) for shape in shapes]
+    for r in found.select("part", "sums").toLocalIterator():
+        x = np.frombuffer(r["sums"], "<f4").reshape(-1, shapes[r["part"] >> 32][1])
+        at = r["part"] & 0xFFFFFFFF
+        out[r["part"] >> 32][at : at + len(x)] = x
+    forget(found)
+    return out
 
 
 def grouped(x: np.ndarray, weight: np.ndarray, k: int, steps: int = 25) -> np.ndarray:
@@ -201,168 +282,211 @@ def grouped(x: np.ndarray, weight: np.ndarray, k: int, steps: int = 25) -> np.nd
     return own
 
 
-def classes(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each unit and the group of each class."""
-    weight = np.log1p(near.sum(1))
+def classes(near: np.ndarray) -> np.ndarray:
+    """The class of each unit."""
+    weight = np.log1p(near.sum(1, dtype=float))
     x = np.sqrt((near + 0.01) / (near + 0.01).sum(1, keepdims=True))
-    own = grouped(x, weight, CLASSES)
-    total = np.bincount(own, weights=weight, minlength=CLASSES)
-    middle = np.stack([np.bincount(own, weights=weight * x[:, j], minlength=CLASSES) for j in range(x.shape[1])], axis=1) / np.maximum(total, 1e-9)[:, None]
-    return own, grouped(middle, total + 1e-9, GROUPS)
+    return grouped(x, weight, CLASSES)
+
+
+def parts(class_of: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The part of each unit in its class: the largest units have one of their own, the others share the rest."""
+    out = np.zeros(len(class_of), np.int64)
+    for c in range(CLASSES):
+        own = np.flatnonzero(class_of == c)
+        own = own[np.argsort(-size[own], kind="stable")]
+        alone = len(own) if len(own) <= PARTS else PARTS * 3 // 4
+        shared = PARTS - alone
+        k = np.arange(len(own))
+        out[own] = np.where(k < alone, k, alone + (k - alone) % max(shared, 1))
+    return out
+
+
+# ---- features and weights
+
 
+def table_rows(n_tokens: int) -> int:
+    """Rows of a weight table: a power of two that follows the training tokens within ROWS."""
+    return max(ROWS[0], min(ROWS[1], 1 << (n_tokens // TOKENS_A_ROW).bit_length()))
 
-# ---- contexts and weights
 
+def _hashed(x: np.ndarray, template: int) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(template * 0x632BE59BD9B4E019 % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
 
-def contexts(unit: np.ndarray, class_of: np.ndarray, group_of: np.ndarray, start: np.ndarray, end_unit: int) -> np.ndarray:
-    """The hashed context of each token: before (256) x second before (32) x third before (8).
 
-    ``start`` is each token's place in its text; before a text there are ends.
+#: The templates' shares of a table's rows, in eighths.
+SHARES = (3, 2, 2, 1)
+
+
+def features(codes: np.ndarray, cls: np.ndarray, start: np.ndarray, end: tuple[int, int], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of both weight tables that each token's past switches on: (templates, tokens) each.
+
+    ``start`` is each token's place in its text; before a text there are ends,
+    whose code and class are ``end``.
     """
 
-    def earlier(gap: int) -> np.ndarray:
-        x = np.concatenate([np.full(min(gap, len(unit)), end_unit), unit[:-gap]])
-        return np.where(start >= gap, x, end_unit)
+    def earlier(x: np.ndarray, gap: int, fill: int) -> np.ndarray:
+        return np.where(start >= gap, np.concatenate([np.full(min(gap, len(x)), fill, x.dtype), x[:-gap]]), fill).astype(np.int64) & 0xFFFFFFFF
 
-    u1 = earlier(1)
-    c1 = class_of[u1]
-    before = np.where(u1 < ANCHORS, u1, ANCHORS + c1 * 4 + u1 % 4)
-    return (before * CLASSES + class_of[earlier(2)]) * GROUPS + group_of[class_of[earlier(3)]]
+    t1, t2 = earlier(codes, 1, end[0]), earlier(codes, 2, end[0])
+    c1, c2, c3 = (earlier(cls, g, end[1]) for g in NEAR)
+    keys = t1, t1 << 31 ^ t2, t2, (c1 * CLASSES + c2) * CLASSES + c3
+    at, first, within = 0, [], []
+    for k, (share, key) in enumerate(zip(SHARES, keys)):
+        size = np.uint64(rows * share // 8)
+        first.append(at + (_hashed(key, k) % size).astype(np.int64))
+        within.append(at + (_hashed(key * CLASSES + cls, k) % size).astype(np.int64))
+        at += int(size)
+    # what holds everywhere: one row, and one for each class
+    return np.stack([*first, np.full(len(codes), rows)]), np.stack([*within, rows + cls])
 
 
-CONTEXTS = BEFORE * CLASSES * GROUPS
+def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """log P of each outcome (natural), for each token. Weights keep within LIMIT, so no sum of them overflows."""
+    s = weights.take(rows[0], axis=0)
+    for k in rows[1:]:
+        s += weights.take(k, axis=0)
+    s -= np.log(np.exp(s).sum(1, keepdims=True))
+    return s
 
 
-def feature_rows(context: np.ndarray) -> np.ndarray:
-    """Rows of the weight table that a context switches on: one for each template."""
-    third, second, before = context % GROUPS, context // GROUPS % CLASSES, context // (GROUPS * CLASSES)
-    pair = (before * CLASSES + second) * 2654435761 % (1 << 32) >> 20
-    n = np.zeros_like(context)
-    return np.stack([n, 1 + before, 1 + BEFORE + second, 1 + BEFORE + CLASSES + third, 1 + BEFORE + CLASSES + GROUPS + pair], axis=1)
+def shapes(rows: int) -> list[tuple[int, int]]:
+    return [(rows + 1, CLASSES), (rows + CLASSES, PARTS)]
 
 
-ROWS = 1 + BEFORE + CLASSES + GROUPS + PAIRS
+def _rows_added(total: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    """total[rows] += x, rows that occur more than once added up; by single numbers, which numpy does fastest."""
+    np.add.at(total.reshape(-1), (rows[:, None] * x.shape[1] + np.arange(x.shape[1])).reshape(-1), x.reshape(-1))
 
 
-def class_scores(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """log P(class | context), natural, for each context."""
-    s = weights[feature_rows(context)].sum(1)
-    s -= s.max(1, keepdims=True)
-    return s - np.log(np.exp(s).sum(1, keepdims=True))
+class Layout:
+    """What tells classes, parts and features of codes."""
 
+    def __init__(self, endings: np.ndarray, class_of: np.ndarray, part_of: np.ndarray, end_code: int, rows: int):
+        self.endings, self.class_of, self.part_of, self.rows = endings, class_of, part_of, rows
+        self.end = end_code, int(class_of[units_of(np.array([end_code]), endings)][0])
 
-def _token_lots(batch: pa.RecordBatch, column: int, units: Units):
-    """Units, head places, places in the text and row numbers of all tokens of a batch."""
-    lists = [tokens(t) for t in batch.column(column).to_pylist()]
-    sizes = np.array([len(x) for x in lists])
-    u, place = units.of([w for x in lists for w in x])
-    row = np.repeat(np.arange(len(lists)), sizes)
-    return lists, u, place, np.arange(len(u)) - np.repeat(np.cumsum(sizes) - sizes, sizes), row
+    def __call__(self, codes: np.ndarray, start: np.ndarray):
+        u = units_of(codes, self.endings)
+        cls = self.class_of[u]
+        return cls, self.part_of[u], *features(codes, cls, start, self.end, self.rows)
 
 
-def context_counts(train: DataFrame, head, name: str, class_of: np.ndarray, group_of: np.ndarray, end_unit: int) -> DataFrame:
-    """(context, counts): counts are of the classes that follow, as binary."""
+def seen_sums(train: DataFrame, layout) -> list[np.ndarray]:
+    """How often each row met each outcome, for both tables."""
 
     def count(batches):
-        units, sums = _units(head, name), np.zeros(CONTEXTS * CLASSES, np.int64)
-        for b in slices(batches, 500):
-            _, u, _, start, _ = _token_lots(b, 0, units)
-            sums += np.bincount(contexts(u, class_of, group_of, start, end_unit) * CLASSES + class_of[u], minlength=len(sums))
-        sums = sums.reshape(CONTEXTS, CLASSES)
-        used = np.flatnonzero(sums.any(1))
-        for at in range(0, len(used), 5_000):
-            rows = used[at : at + 5_000]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([x.tobytes() for x in sums[rows].astype("<i8")], pa.binary())], ["part", "sums"])
-
-    return added_up(train.select("text").mapInArrow(count, "part long, sums binary"), "<i8")
-
-
-def train_weights(counted: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Class weights by gradient updates. In a round each partition of contexts
-    sums what was seen and what the weights expect of each feature and class;
-    the step is their difference over the expectation."""
-    spark = counted.sparkSession
-    weights = np.zeros((ROWS, CLASSES))
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(weights)
-
-        def gradient(batches, shared=shared):
-            seen, expected = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                context = b.column(0).to_numpy(zero_copy_only=False)
-                n = np.stack([np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]).astype(float)
-                want = np.exp(class_scores(shared.value, context)) * n.sum(1, keepdims=True)
-                for k in feature_rows(context).T:
-                    np.add.at(seen, k, n)
-                    np.add.at(expected, k, want)
-            yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([seen.tobytes(), expected.tobytes()], pa.binary())], ["part", "sums"])
-
-        sums = {r["part"]: np.frombuffer(r["sums"]).reshape(ROWS, CLASSES) for r in added_up(counted.mapInArrow(gradient, "part long, sums binary"), "<f8").collect()}
-        shared.unpersist()
-        if not sums:
-            break
-        step = (sums[0] - sums[1]) / (np.maximum(sums[0], sums[1]) + 5.0)
-        weights = weights + 0.5 * step - 1e-4 * weights
-    return weights
+        lay = layout.value
+        sums = [np.zeros(a * b) for a, b in shapes(lay.rows)]
+        for codes, start, _ in _lots(batches, 0):
+            cls, part, f1, f2 = lay(codes, start)
+            for total, f, wide, own in zip(sums, (f1, f2), (CLASSES, PARTS), (cls, part)):
+                for k in f:
+                    np.add.at(total, k * wide + own, 1.0)
+        for k, shape in enumerate(shapes(lay.rows)):
+            yield from _pieces(sums[k].reshape(shape), k)
+
+    return _table(added_up(train.mapInArrow(count, SUMS)), shapes(layout.value.rows))
+
+
+def expected_sums(train: DataFrame, layout, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """How often the weights expect each row to meet each outcome, for both tables."""
+    shared = train.sparkSession.sparkContext.broadcast(weights)
+
+    def count(batches):
+        lay, (w1, w2) = layout.value, shared.value
+        sums = [np.zeros(shape) for shape in shapes(lay.rows)]
+        for codes, start, _ in _lots(batches, 0):
+            _, _, f1, f2 = lay(codes, start)
+            for total, f, w in zip(sums, (f1, f2), (w1, w2)):
+                p = np.exp(log_softmax(w, f)).astype(float)
+                for k in f:
+                    _rows_added(total, k, p)
+        for k in (0, 1):
+            yield from _pieces(sums[k], k)
+
+    out = _table(added_up(train.mapInArrow(count, SUMS)), shapes(layout.value.rows))
+    shared.unpersist()
+    return out
+
+
+def first_weights(seen: list[np.ndarray], prior: float = 20.0, share: float = 0.4) -> list[np.ndarray]:
+    """Log shares of the outcomes in the rows that hold everywhere; in all others
+    ``share`` of the log ratio to them, less where little was seen."""
+    out = []
+    for k, s in enumerate(seen):
+        everywhere = slice(len(s) - (CLASSES if k else 1), len(s))
+        total = s[everywhere] + 0.1
+        base = np.log(total / total.sum(1, keepdims=True))
+        mean = total.sum(0) / total.sum()
+        w = share * np.log((s + prior * mean) / (s.sum(1, keepdims=True) + prior) / mean)
+        if k:  # rows within classes: their classes' own shares are the measure, unknown here, so they start at 0
+            w[:] = 0.0
+        w[everywhere] = np.maximum(base, -LIMIT)
+        out.append(w.astype(np.float32))
+    return out
+
+
+def next_weights(weights: list[np.ndarray], seen: list[np.ndarray], expected: list[np.ndarray], rate: float = 0.25, prior: float = 15.0) -> list[np.ndarray]:
+    """A gradient step, scaled row by row: the log ratio of what was seen to what
+    was expected, shrunk by ``prior`` expected tokens more."""
+    out = []
+    for w, s, e in zip(weights, seen, expected):
+        extra = prior * (e + 1e-6) / (e.sum(1, keepdims=True) + 1e-6 * e.shape[1])
+        out.append(np.clip(w + rate * np.log((s + extra) / (e + extra)), -LIMIT, LIMIT).astype(np.float32))
+    return out
 
 
 # ---- scores
 
 
-def scores(docs: DataFrame, train: Column, name: str) -> DataFrame:
+def scores(docs: DataFrame, train: Column, name: str, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row
     of ``docs``; ``train``, over doc_id, marks the rows to learn from."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    learn = rows.where(train)
-    counts = stored(type_counts(learn))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), train.alias("train"))
+    counts = stored(type_counts(rows.where("train")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = int(total[0]), int(total[1])
-    hashes, c = most_frequent(counts, HEAD)
-    head = spark.sparkContext.broadcast(hashes)
-    known = Units(hashes)
-    end_unit = int(known[END] >> 32)
-    class_of, group_of = classes(near_anchors(learn, head, name)) if n else (np.zeros(UNITS, np.int64), np.zeros(CLASSES, np.int64))
-    # tokens and types of each class: endings' sums, less the types that are units themselves
-    size, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():  # ENDINGS rows at most
-        size[class_of[TOP + r["ending"]]] += r["c"]
-        types[class_of[TOP + r["ending"]]] += r["n"]
-    own = counts.where(F.col("h").isin([int(h) for h in hashes[:TOP]])).select("h", "ending", "c").collect() if n else []
-    place = {int(h): k for k, h in enumerate(hashes[:TOP])}
-    for r in own:
-        for cls, sign in ((class_of[TOP + r["ending"]], -1), (class_of[place[r["h"]]], 1)):
-            size[cls] += sign * r["c"]
-            types[cls] += sign
-    weights = train_weights(stored(context_counts(learn, head, name, class_of, group_of, end_unit))) if n else np.zeros((ROWS, CLASSES))
-    by_class = np.log10(size + ADDED * (types + 1))
-    model = spark.sparkContext.broadcast((c, class_of, group_of, weights))
+    hashes, c, endings = most_frequent(counts, HEAD)
+    head, own_endings = spark.sparkContext.broadcast(hashes), spark.sparkContext.broadcast(endings)
+    texts = stored(coded(rows, head, name))
+    # a task's sums are as large as the tables, however little it reads
+    learn = texts.where("train").select("codes").coalesce(2 * spark.sparkContext.defaultParallelism)
+    class_of = classes(near_anchors(learn, own_endings)) if n else np.zeros(UNITS, np.int64)
+    size, types = unit_totals(counts, hashes, c, endings)
+    part_of = parts(class_of, size)
+    layout = spark.sparkContext.broadcast(Layout(endings, class_of, part_of, Codes(hashes)[END], table_rows(n)))
+    weights = [np.zeros(shape, np.float32) for shape in shapes(table_rows(n))]
+    if n:
+        seen = seen_sums(learn, layout)
+        weights = first_weights(seen)
+        for _ in range(rounds):
+            weights = next_weights(weights, seen, expected_sums(learn, layout, weights))
+    leaf = class_of * PARTS + part_of
+    by_leaf = np.log10(np.bincount(leaf, weights=size, minlength=CLASSES * PARTS) + ADDED * (np.bincount(leaf, weights=types, minlength=CLASSES * PARTS) + 1))
+    model = spark.sparkContext.broadcast((c, by_leaf, weights))
     base_all = float(np.log10(n + v + 1))
 
     def score(batches):
-        units, (c, class_of, group_of, weights) = _units(head, name), model.value
-        table = class_scores(weights, np.arange(CONTEXTS)) / np.log(10)
-        log_head, part, row_id = np.log10(c + 1.0), TaskContext.get().partitionId(), 0
-        log_own = np.log10(c + ADDED)
-        for b in slices(batches, 500):
-            lists, u, place, start, row = _token_lots(b, 1, units)
-            k, cls = b.num_rows, class_of[u]
-            log_class = table[contexts(u, class_of, group_of, start, end_unit), cls] - by_class[cls]
-            inside = place >= 0
-            base = np.bincount(row, weights=np.where(inside, log_head[place] if len(c) else 0.0, 0.0) - base_all, minlength=k)
-            full = np.bincount(row, weights=np.where(inside, log_own[place] if len(c) else 0.0, 0.0) + log_class, minlength=k)
-            rare: list[list[int]] = [[] for _ in range(k)]
-            for t in np.flatnonzero(~inside).tolist():
-                rare[row[t]].append(word_hash(lists[row[t]][start[t]]))
-            numbers = [np.arange(row_id, row_id + k) + (part << 40), np.bincount(row, minlength=k), np.bincount(row, weights=inside, minlength=k).astype(np.int64)]
-            row_id += k
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in numbers], pa.array(base), pa.array(full), list_array([np.array(x, np.int64) for x in rare], pa.int64())], ["doc_id", "row", "n_tokens", "n_head", "base", "full", "rare"])
-
-    out = stored(rows.mapInArrow(score, "doc_id long, row long, n_tokens long, n_head long, base double, full double, rare array<long>"))
-    rare = out.select("row", F.explode("rare").alias("h")).join(counts.select("h", "c"), "h")  # types without a count add log10(1) = 0
-    rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("k"), F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.sum(F.log10(F.col("c") + ADDED)).alias("own"))
+        (c, by_leaf, weights), lay = model.value, layout.value
+        log_head, log_own = np.log10(np.append(c, 0) + 1.0), np.log10(np.append(c, 0) + ADDED)  # the last is for tokens beyond the head
+        for b in slices(batches, 200):
+            full, base, inside, size = (np.zeros(b.num_rows, t) for t in (float, float, np.int64, np.int64))
+            at = 0
+            for codes, start, row in _lots([b], 2):
+                f, s, known, number = score_lot(codes, start, row, lay, weights, by_leaf, log_own, log_head)
+                k = slice(at, at + len(f))
+                full[k], base[k], inside[k], size[k] = f, s - base_all * number, known, number
+                at += len(f)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (size, inside, base, full)), b.column(3)], ["doc_id", "row", "n_tokens", "n_head", "base", "full", "rare"])
+
+    out = stored(texts.select("doc_id", "row", "codes", "rare").mapInArrow(score, "doc_id long, row long, n_tokens long, n_head long, base double, full double, rare array<long>"))
+    forget(texts)
+    # a document's share of a token comes as one row with its number
+    rare = out.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count(F.lit(1)).alias("k")).join(counts.select("h", "c"), "h")  # types without a count add log10(1) = 0
+    rare = rare.groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + ADDED)).alias("own"))
     both = out.drop("rare").join(rare, "row", "left")
     unseen = (F.col("n_tokens") - F.col("n_head") - F.coalesce("k", F.lit(0))) * float(np.log10(ADDED))
     return both.select(
@@ -371,6 +495,32 @@ def scores(docs: DataFrame, train: Column, name: str) -> DataFrame:
     )
 
 
+def score_lot(codes, start, row, layout, weights, by_leaf, log_own, log_head):
+    """For each text of a lot: its log10 probability and its sum of log10 (count + 1),
+    both less what tokens beyond the head have of their own, its tokens in the head and all its tokens."""
+    cls, part, f1, f2 = layout(codes, start)
+    token = np.arange(len(codes))
+    inside = codes >= 0
+    place = np.where(inside, codes, len(log_own) - 1)
+    each = (log_softmax(weights[0], f1)[token, cls] + log_softmax(weights[1], f2)[token, part]) / np.log(10) - by_leaf[cls * PARTS + part]
+    own = np.where(inside, log_own[place], 0.0)
+    texts = int(row[-1]) + 1
+    add = lambda x: np.bincount(row, weights=x, minlength=texts)
+    return add(each + own), add(np.where(inside, log_head[place], 0.0)), add(inside).astype(np.int64), np.bincount(row, minlength=texts)
+
+
+def unit_totals(counts: DataFrame, hashes: np.ndarray, c: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and types of each unit: endings' sums, less the types that are units themselves."""
+    size, types = np.zeros(UNITS), np.zeros(UNITS)
+    for r in counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():  # ENDINGS rows at most
+        size[TOP + r["ending"]], types[TOP + r["ending"]] = r["c"], r["n"]
+    k = min(TOP, len(hashes))
+    np.add.at(size, TOP + endings[:k], -c[:k])
+    np.add.at(types, TOP + endings[:k], -1)
+    size[:k], types[:k] = c[:k], 1
+    return size, types
+
+
 def lm_report(docs: DataFrame, name: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     out = scores(docs, ~held_out, name)

@@ -270,6 +270,53 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.lm_report(empty, "none").count() == 0
 
 
+def test_lm_scores_are_a_model_s(spark, docs, monkeypatch):
+    """With the weights it was given a score is what plain Python finds, and probabilities sum to 1 over all types and an unseen one."""
+    r = np.random.default_rng(3)
+    rows, types = 64, sorted({w for _, t, _ in ROWS for w in lm_scoring.tokens((t or "").encode())})
+    hashes = np.array([lm_scoring.word_hash(w) for w in types])
+    class_of, part_of = (r.integers(0, k, lm_scoring.UNITS) for k in (lm_scoring.CLASSES, lm_scoring.PARTS))
+    w1, w2 = (r.normal(0, 1, shape).astype(np.float32) for shape in lm_scoring.shapes(rows))
+    counts = r.integers(1, 50, len(types))
+    codes, endings = lm_scoring.Codes(hashes), np.array([lm_scoring.ending(w) for w in types])
+    layout = lm_scoring.Layout(endings, class_of, part_of, codes[lm_scoring.END], rows)
+    leaf = lambda w: (lambda u: (int(class_of[u]), int(part_of[u])))(codes[w] if 0 <= codes[w] < lm_scoring.TOP else lm_scoring.TOP + lm_scoring.ending(w))
+    sizes: dict = {}
+    for w, c in zip(types, counts.tolist()):
+        n, k = sizes.get(leaf(w), (0, 0))
+        sizes[leaf(w)] = n + c, k + 1
+
+    def softmax(weights, active):
+        s = [sum(float(weights[f, j]) for f in active) for j in range(weights.shape[1])]
+        z = sum(np.exp(s))
+        return [np.exp(x) / z for x in s]
+
+    by_leaf = np.log10([sum(sizes.get((c, p), (0, 0))) + 1.0 for c in range(lm_scoring.CLASSES) for p in range(lm_scoring.PARTS)])
+    log_count = np.log10(np.append(counts, 0) + 1.0)
+    for text in (b"one two", b"", PASSAGE.encode()[:150]):
+        words = lm_scoring.tokens(text)
+        own = np.array([codes[w] for w in words], np.int32)
+        cls, part, f1, f2 = layout(own, np.arange(len(own)))
+        want = 0.0
+        for k, w in enumerate(words):
+            p1, p2 = softmax(w1, f1[:, k].tolist()), softmax(w2, f2[:, k].tolist())
+            n, kinds = sizes[leaf(w)]
+            want += np.log10(p1[cls[k]] * p2[part[k]] * (counts[types.index(w)] + 1) / (n + kinds + 1))
+            assert (cls[k], part[k]) == leaf(w) and abs(sum(p1) - 1) < 1e-9 and abs(sum(p2) - 1) < 1e-9
+        got = lm_scoring.score_lot(own, np.arange(len(own)), np.zeros(len(own), int), layout, [w1, w2], by_leaf, log_count, log_count)
+        assert abs(got[0][0] - want) < 1e-4 * abs(want) and got[2][0] == len(words)
+    for n, kinds in sizes.values():  # a part's types and one unseen share it
+        assert sum((c + 1) / (n + kinds + 1) for w, c in zip(types, counts.tolist()) if sizes[leaf(w)] == (n, kinds)) >= (n + kinds) / (n + kinds + 1) - 1e-9
+    # each feature of a token changes with what stands before it
+    a, b = (layout(np.array(x, np.int32), np.arange(4))[2] for x in ([1, 2, 3, 4], [9, 2, 3, 4]))
+    assert (a[:, 1] != b[:, 1]).any() and (a[:, 2] != b[:, 2]).any() and (a[:, 0] == b[:, 0]).all()
+
+
+def test_lm_tables_grow_with_the_tokens():
+    sizes = [lm_scoring.table_rows(n) for n in (0, 10**7, 10**8, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == lm_scoring.ROWS[0] and sizes[1] < sizes[2] < sizes[3] == lm_scoring.ROWS[1]
+
+
 def test_lm_beats_counts(spark):
     """Two kinds of texts with words of their own: what stands before tells which."""
     r = random.Random(2)
