@@ -2,9 +2,11 @@
 
 Each document is measured and held against rules; failures are added up by
 host (the ``source`` column). A host's rate of failure under a rule is shrunk
-towards all hosts with a beta prior fitted to the hosts' rates by moments, so
-a host with few documents isn't judged on them alone. A document goes if it
-breaks a rule itself or if its host's shrunk rate passes ``host_limit``.
+towards the other hosts with a beta prior fitted to their rates by moments, so
+a host with few documents isn't judged on them alone. A host is rejected, with
+all its documents, when a shrunk rate lies more than ``spread`` standard
+deviations of that prior above its mean and above ``floor``; hosts that are
+alike keep theirs. A document also goes if it breaks a rule itself.
 
 All of it is built-in expressions. Words in repeated windows are found in the
 row: the windows' hashes are compared, and only texts with a repeat have their
@@ -12,8 +14,10 @@ windows sorted with their positions. Measures are written once and read for
 the hosts' sums and for the verdicts, as the texts are read only once.
 
 Defined cases: a null or empty text has no words and fails for it; a null
-source is a host of its own; repeated rows are judged alike; an empty table
-gives an empty result; further columns stay in ``kept_documents``.
+source is a host of its own; a single host has no others to be judged by and
+isn't; repeated rows are judged alike, and a rate at a limit passes; a very
+long text is measured whole, in arrays of its own row; an empty table gives an
+empty result; further columns stay in ``kept_documents``.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ from .common import WORD_GAP, stored
 WINDOW = 5
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: A host goes when its shrunk rate is above FLOOR and more than SPREAD standard deviations above the mean.
+FLOOR, SPREAD = 0.3, 4.0
+
 #: name -> whether a measured document fails.
 RULES: dict[str, str] = {
     "base": "n_words < 10 OR 100 * n_repeat_words > 20 * n_words",
@@ -72,44 +79,50 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "source", F.struct(*[c.alias(k) for k, c in measures.items()]).alias("q"))
 
 
-def host_rates(judged: DataFrame) -> DataFrame:
-    """(source, host_rate): the highest of a host's shrunk failure rates.
+def host_rates(judged: DataFrame, floor: float = FLOOR, spread: float = SPREAD) -> DataFrame:
+    """(source, host_rate, host_rejected): the highest of a host's shrunk failure rates, and its verdict.
 
     ``judged`` has source and a Boolean fail_<rule> for each rule. For each
-    rule the prior's mean and strength follow from the mean m and variance v
-    of the hosts' rates: strength m(1-m)/v - 1, kept within 1 and 1e6; where
-    the rates don't differ it is 1e6.
+    rule and host the prior's mean and strength follow from the mean m and
+    variance v of the other hosts' rates: strength m(1-m)/v - 1, at least 1 and
+    at most the mean number of their documents, which bounds how well rates are known.
     """
     sums = judged.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"fail_{r}").alias(r) for r in RULES])
-    moments = sums.agg(*[f(F.col(r) / F.col("n")).alias(f"{k}_{r}") for r in RULES for k, f in (("m", F.avg), ("v", F.var_pop))])
+    rate = {r: F.col(r) / F.col("n") for r in RULES}
+    moments = sums.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("all_n"), *[F.sum(rate[r] ** p).alias(f"s{p}_{r}") for r in RULES for p in (1, 2)])
+    # the one row of moments goes to every host
+    both = sums.crossJoin(F.broadcast(moments)).withColumn("others", F.nullif(F.col("hosts") - 1, F.lit(0)))
+    documents = (F.col("all_n") - F.col("n")) / F.col("others")
 
-    def shrunk(r: str) -> Column:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        strength = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / v - 1))).otherwise(F.lit(1e6))
-        return (F.col(r) + m * strength) / (F.col("n") + strength)
+    def judgement(r: str) -> Column:
+        m = F.greatest(F.lit(0.0), (F.col(f"s1_{r}") - rate[r]) / F.col("others"))
+        v = (F.col(f"s2_{r}") - rate[r] * rate[r]) / F.col("others") - m * m
+        s = F.when(v > 1e-12, F.greatest(F.lit(1.0), F.least(documents, m * (1 - m) / v - 1))).otherwise(documents)
+        limit = F.greatest(F.lit(floor), m + spread * F.sqrt(F.greatest(F.lit(0.0), m * (1 - m)) / (s + 1)))
+        shrunk = (F.col(r) + m * s) / (F.col("n") + s)
+        return F.struct(shrunk.alias("rate"), F.coalesce(shrunk > limit, F.lit(False)).alias("rejected"))
 
-    # the one row of moments goes to every host
-    return sums.crossJoin(F.broadcast(moments)).select("source", F.greatest(*map(shrunk, RULES)).alias("host_rate"))
+    each = both.select("source", *[judgement(r).alias(r) for r in RULES])
+    return each.select("source", F.greatest(*[F.col(r)["rate"] for r in RULES]).alias("host_rate"), F.greatest(*[F.col(r)["rejected"] for r in RULES]).alias("host_rejected"))
 
 
-def judge(rows: DataFrame, host_limit: float) -> DataFrame:
-    """Measured rows (as stored) with fail_<rule>, host_rate and kept."""
+def judge(rows: DataFrame, floor: float, spread: float) -> DataFrame:
+    """Measured rows (as stored) with fail_<rule>, host_rate, host_rejected and kept."""
     failed = rows.withColumns({f"fail_{r}": F.expr(rule) for r, rule in RULES.items()})
-    hosts = host_rates(failed).withColumnRenamed("source", "host")
+    hosts = host_rates(failed, floor, spread).withColumnRenamed("source", "host")
     any_own = F.greatest(*[F.col(f"fail_{r}") for r in RULES])
-    return failed.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left").drop("host").withColumn("kept", ~any_own & (F.col("host_rate") <= host_limit))
+    return failed.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left").drop("host").withColumn("kept", ~any_own & ~F.col("host_rejected"))
 
 
-def quality_report(docs: DataFrame, host_limit: float = 0.75) -> DataFrame:
+def quality_report(docs: DataFrame, floor: float = FLOOR, spread: float = SPREAD) -> DataFrame:
     """For each document its measures, base_failed, kept and host_rejected."""
     rows = measured(docs.select("doc_id", "text", "source")).select(F.col("doc.doc_id").cast("long").alias("doc_id"), "source", "q.*")
-    out = judge(stored(rows), host_limit)
-    return out.select("doc_id", *MEASURES[:5], F.col("fail_base").alias("base_failed"), "kept", (F.col("host_rate") > host_limit).alias("host_rejected"))
+    return judge(stored(rows), floor, spread).select("doc_id", *MEASURES[:5], F.col("fail_base").alias("base_failed"), "kept", "host_rejected")
 
 
-def kept_documents(docs: DataFrame, host_limit: float = 0.75) -> DataFrame:
+def kept_documents(docs: DataFrame, floor: float = FLOOR, spread: float = SPREAD) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    out = judge(stored(measured(docs)).select("doc", "source", "q.*"), host_limit)
+    out = judge(stored(measured(docs)).select("doc", "source", "q.*"), floor, spread)
     return out.where("kept").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
@@ -142,16 +155,20 @@ q_f AS (
          100 * n_dup_lines > 40 * n_lines AS f3, 10 * n_capitals > 3 * word_chars OR 10 * n_exclaims > 3 * n_words AS f4
   FROM q_m),
 q_long AS (
-  SELECT source, r, avg(CAST(f AS INTEGER)) AS rate, count(*) AS n, sum(CAST(f AS INTEGER)) AS k
+  SELECT source, r, avg(CAST(f AS INTEGER)) AS rate, count(*) AS n, CAST(sum(CAST(f AS INTEGER)) AS DOUBLE) AS k
   FROM (SELECT source, 1 AS r, f1 AS f FROM q_f UNION ALL SELECT source, 2, f2 FROM q_f
         UNION ALL SELECT source, 3, f3 FROM q_f UNION ALL SELECT source, 4, f4 FROM q_f)
   GROUP BY source, r),
-q_prior AS (
-  SELECT r, m, CASE WHEN v > 0 THEN greatest(1.0, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS s
-  FROM (SELECT r, avg(rate) AS m, var_pop(rate) AS v FROM q_long GROUP BY r)),
+q_sum AS (SELECT r, count(*) AS h, sum(n) AS an, sum(rate) AS s1, sum(rate * rate) AS s2 FROM q_long GROUP BY r),
+q_m1 AS (
+  SELECT source, l.r, k, n, rate, nullif(h - 1, 0) AS o, (an - n) / nullif(h - 1, 0) AS dn,
+         greatest(0.0, (s1 - rate) / nullif(h - 1, 0)) AS m, s2 FROM q_long l JOIN q_sum USING (r)),
+q_m2 AS (SELECT *, (s2 - rate * rate) / o - m * m AS v FROM q_m1),
+q_prior AS (SELECT *, CASE WHEN v > 1e-12 THEN greatest(1.0, least(dn, m * (1 - m) / v - 1)) ELSE dn END AS s FROM q_m2),
 q_host AS (
-  SELECT source, max((k + m * s) / (n + s)) AS host_rate FROM q_long JOIN q_prior USING (r) GROUP BY source)
+  SELECT source, bool_or(coalesce((k + m * s) / (n + s) > greatest({floor}, m + {spread} * sqrt(greatest(0.0, m * (1 - m)) / (s + 1))), false)) AS host_rejected
+  FROM q_prior WHERE o IS NOT NULL GROUP BY source)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 AS base_failed,
-       NOT (f1 OR f2 OR f3 OR f4) AND host_rate <= {host_limit} AS kept, host_rate > {host_limit} AS host_rejected
-FROM q_f f JOIN q_host h ON f.source IS NOT DISTINCT FROM h.source
+       NOT (f1 OR f2 OR f3 OR f4) AND NOT coalesce(host_rejected, false) AS kept, coalesce(host_rejected, false) AS host_rejected
+FROM q_f f LEFT JOIN q_host h ON f.source IS NOT DISTINCT FROM h.source
 """

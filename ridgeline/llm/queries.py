@@ -79,6 +79,6 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.SQL.replace("{documents}", "documents"),
-        "op2_quality_rules": quality_rules.SQL.replace("{documents}", "documents").replace("{host_limit}", "0.75"),
+        "op2_quality_rules": quality_rules.SQL.replace("{documents}", "documents").replace("{floor}", str(quality_rules.FLOOR)).replace("{spread}", str(quality_rules.SPREAD)),
         "op6_substring_dedup": substring_dedup.SQL.replace("{documents}", "documents"),
     }

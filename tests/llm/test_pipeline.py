@@ -28,15 +28,20 @@ def kept_by_quality(rows: list[dict]) -> list[dict]:
     hosts: dict = {}
     for r, f in zip(rows, failed):
         hosts.setdefault(r["source"], []).append(f)
-    worst = dict.fromkeys(hosts, 0.0)
+    bad = set()
     for k in range(4):
         rates = {h: sum(f[k] for f in x) / len(x) for h, x in hosts.items()}
-        m = sum(rates.values()) / len(rates)
-        v = sum((x - m) ** 2 for x in rates.values()) / len(rates)
-        s = max(1.0, min(1e6, m * (1 - m) / v - 1)) if v > 0 else 1e6
         for h, x in hosts.items():
-            worst[h] = max(worst[h], (sum(f[k] for f in x) + m * s) / (len(x) + s))
-    return [r for r, f in zip(rows, failed) if not any(f) and worst[r["source"]] <= 0.75]
+            others = [rates[o] for o in hosts if o != h]
+            if not others:
+                continue
+            m = sum(others) / len(others)
+            v = sum((y - m) ** 2 for y in others) / len(others)
+            n = sum(len(hosts[o]) for o in hosts if o != h) / len(others)
+            s = max(1.0, min(n, m * (1 - m) / v - 1)) if v > 1e-12 else n
+            if (sum(f[k] for f in x) + m * s) / (len(x) + s) > max(0.3, m + 4 * (m * (1 - m) / (s + 1)) ** 0.5):
+                bad.add(h)
+    return [r for r, f in zip(rows, failed) if not any(f) and r["source"] not in bad]
 
 
 def plain(rows: list[dict], items: list[tuple]) -> dict:
