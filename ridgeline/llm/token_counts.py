@@ -6,8 +6,9 @@ from the long end answer totals, quantiles and truncated totals for every
 context limit.
 
 Defined cases: a null text counts as empty and has length 0; rows with the
-same doc_id count once each; an empty table gives an empty histogram; further
-columns of the input are not read.
+same doc_id count once each, and documents of equal length share a row; a very
+long text is encoded whole, and its piece without spaces at once; an empty table
+gives an empty histogram; further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, slices
+from .common import kept, slices, stored
 
 #: A space after white space: there the split at single spaces isn't a token border.
 _RAGGED = re.compile(r"\s ")
@@ -82,7 +83,8 @@ def length_table(lengths: DataFrame, block: int = 128) -> DataFrame:
     Sums from the long end go in two steps, over blocks of ``block``
     neighbouring lengths and within each block, so no task sees the whole.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    # read twice below; texts are encoded once
+    hist = stored(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / block))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
