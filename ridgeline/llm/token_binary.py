@@ -4,12 +4,13 @@ A shard row holds the ids of consecutive documents as one array (two bytes an
 id where the vocabulary allows) and the documents' end positions as an
 Elias-Fano code: the low bits of each position are packed, the high bits are
 set in unary, and a sparse sample of positions of set bits makes ``select``
-quick. Nothing stores a 64-bit position for each document. Spark's Parquet
+quick. The ascending doc_ids are coded likewise, from the shard's first on.
+Nothing stores a 64-bit number for each document. Spark's Parquet
 writer commits the rows, so a task that is run again leaves no second copy.
 
 Defined cases: a null text is empty and has the end id alone; rows with equal
 doc_id stand next to each other, ordered by text; a null doc_id comes first;
-an empty table gives an empty file; further columns are not read.
+a very long text makes its shard as much longer; an empty table gives an empty file; further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,18 +32,18 @@ SAMPLE = 256
 
 
 class EliasFano:
-    """A non-decreasing sequence of integers from 0 to ``top``."""
+    """A non-decreasing sequence of integers from 0 to ``top``, less than 2^64."""
 
     def __init__(self, n: int, width: int, low: bytes, high: bytes, places: np.ndarray):
         self.n, self.width, self.low, self.high, self.places = n, width, low, high, places
 
     @classmethod
     def of(cls, values: np.ndarray, top: int) -> EliasFano:
-        v, n = np.asarray(values, np.int64), len(values)
+        v, n = np.asarray(values).astype(np.uint64), len(values)
         width = max(0, (int(top) // max(n, 1)).bit_length() - 1)
-        bits = (v[:, None] >> np.arange(width)) & 1
+        bits = (v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
         low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-        set_at = (v >> width) + np.arange(n)
+        set_at = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(set_at[-1]) + 1 if n else 0, np.uint8)
         unary[set_at] = 1
         return cls(n, width, low, np.packbits(unary, bitorder="little").tobytes(), set_at[::SAMPLE].astype(np.int32))
@@ -114,14 +115,24 @@ def word_ids(path: str, width: int) -> WordIds:
     return kept("token_binary", (path, width), lambda: WordIds(path, width))
 
 
-SHARD = "part long, seq long, n_docs long, n_tokens long, id_width int, doc_ids array<long>, ids binary, low_width int, low binary, high binary, places array<int>"
+_CODE = "struct<n:long, width:int, low:binary, high:binary, places:array<int>>"
+SHARD = f"part long, seq long, n_docs long, n_tokens long, id_width int, ids binary, ends {_CODE}, n_null long, first_id long, doc_ids {_CODE}"
+_CODE_TYPE = pa.struct([("n", pa.int64()), ("width", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("places", pa.list_(pa.int32()))])
+
+
+def _coded(values: np.ndarray) -> dict:
+    x = EliasFano.of(values, int(values[-1]) if len(values) else 0)
+    return {"n": x.n, "width": x.width, "low": x.low, "high": x.high, "places": x.places.tolist()}
 
 
 def _shard(part: int, seq: int, ids: list, data: list[bytes], width: int) -> pa.RecordBatch:
+    """Document ends, and doc_ids from the first on, as Elias-Fano codes; rows without a doc_id come first and are counted."""
     ends = np.cumsum([len(x) // width for x in data])
-    code = EliasFano.of(ends, int(ends[-1]))
-    row = {"part": part, "seq": seq, "n_docs": len(ids), "n_tokens": int(ends[-1]), "id_width": width, "doc_ids": ids, "ids": b"".join(data), "low_width": code.width, "low": code.low, "high": code.high, "places": code.places.tolist()}
-    kinds = {"id_width": pa.int32(), "low_width": pa.int32(), "doc_ids": pa.list_(pa.int64()), "ids": pa.binary(), "low": pa.binary(), "high": pa.binary(), "places": pa.list_(pa.int32())}
+    known = np.array([i for i in ids if i is not None], np.int64)
+    first = int(known[0]) if len(known) else 0
+    own = known.view(np.uint64) - np.array([first], np.int64).view(np.uint64)
+    row = {"part": part, "seq": seq, "n_docs": len(ids), "n_tokens": int(ends[-1]), "id_width": width, "ids": b"".join(data), "ends": _coded(ends), "n_null": len(ids) - len(known), "first_id": first, "doc_ids": _coded(own)}
+    kinds = {"id_width": pa.int32(), "ids": pa.binary(), "ends": _CODE_TYPE, "doc_ids": _CODE_TYPE}
     return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.int64())) for k, v in row.items()], list(row))
 
 
@@ -162,19 +173,23 @@ def shard_offsets(shards: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) for each document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) for each document, from the files.
+
+    Boundaries and doc_ids are read through ``select``.
+    """
     shards = spark.read.parquet(path)
 
     def documents(batches):
         for b in slices(batches, 1):
             row = b.to_pylist()[0]
-            code = EliasFano(row["n_docs"], row["low_width"], row["low"], row["high"], np.array(row["places"]))
-            ends = code.values()
+            n = row["n_docs"]
+            ends = np.array(list(map(EliasFano(**row["ends"]).select, range(n))))
             starts = np.concatenate([[0], ends[:-1]])
+            known = map(EliasFano(**row["doc_ids"]).select, range(n - row["n_null"]))
+            doc_ids = [None] * row["n_null"] + [row["first_id"] + x for x in known]
             ids = np.frombuffer(row["ids"], f"<u{row['id_width']}").astype("<u4")
             crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts.tolist(), ends.tolist())]
-            n = len(ends)
-            columns = [pa.array(row["doc_ids"], pa.int64()), pa.array([row["part"]] * n, pa.int64()), pa.array([row["seq"]] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())]
+            columns = [pa.array(doc_ids, pa.int64()), pa.array([row["part"]] * n, pa.int64()), pa.array([row["seq"]] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "seq", "at", "n_tokens", "ids_crc32"])
 
     rows = shards.mapInArrow(documents, "doc_id long, part long, seq long, at long, n_tokens long, ids_crc32 long")
