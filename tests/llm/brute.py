@@ -104,13 +104,19 @@ def base_scores(docs: list[tuple]) -> list[tuple]:
 
 
 def leaks(docs: list[tuple], items: list[tuple], share: float = 0.8) -> set[tuple]:
-    def shingles(text: str | None) -> set[tuple]:
+    """Items of fewer than five words are sought as one run of words."""
+
+    def runs(text: str | None, size: int) -> set[tuple]:
         w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        k = size or min(5, len(w))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
 
-    have = [(i, shingles(t)) for i, t in items]
+    each: dict = {}
+    for i, t in items:
+        each.setdefault(i, set()).update(runs(t, 0))
+    have = list(each.items())
     out = set()
     for d, t in docs:
-        own = shingles(t)
+        own = {x for k in range(1, 6) for x in runs(t, k)}
         out |= {(d, i, len(s), len(s & own)) for i, s in have if s and len(s & own) >= math.ceil(share * len(s))}
     return out
