@@ -5,17 +5,26 @@ log odds, in three tiers of strength. A document's features are the tiers'
 densities, how often such words stand near a second-person word, and the rates
 of capitals, punctuation, obfuscated words and lexicon words behind an
 obfuscation. Spark ML's boosted trees are fitted to them, and isotonic
-regression on labelled rows that the trees did not see calibrates the scores.
+regression calibrates the scores.
+
+Labelled rows are parted before anything is learned. A quarter is for
+calibration alone: neither the lexicon nor the trees see it. The rest is in two
+folds, and each fold's features come from the lexicon of the other one, so that
+the trees are fitted to features of unseen texts, as those that they score. All
+texts are scored with the lexicon of both folds.
 
 The fit uses at most about ``fit_rows`` labelled rows, drawn by a hash of
-doc_id; the lexicon's candidates and its size are bounded too. Scoring reads
-every document once and shuffles features only.
+doc_id. Log odds are taken in Spark for every unit of those rows; the lexicon is
+the ``size`` units with the highest, of those in ``least_docs`` toxic documents
+or more. Scoring reads every document once and shuffles features only.
 
 Defined cases: a null or empty text has zero features and is scored; labels of
 one doc_id count once, as toxic if any is; a null label isn't learned from; a
-null doc_id counts as held out; without labels of both kinds every score is
-the training share of toxic rows (0 without any); further columns, lang and
-source among them, are not read.
+null doc_id counts as held out; with fewer than ``least_labels`` toxic or clean
+labels nothing is fitted and every score is the training share of toxic rows (0
+without any); units with equal odds are taken in their own order, and equal
+texts score alike; a very long text is one row of features; an empty table gives
+an empty result; further columns, lang and source among them, are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +41,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_bytes
+from .common import forget, slices, stored, text_bytes
 
 #: Second-person words (fixed values).
 SECOND_PERSON = frozenset("you your yours yourself you're ur u tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie ihnen tú ti usted ustedes vosotros vuestro tus".split())
@@ -62,41 +71,44 @@ def units(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
-def _counted(rows: DataFrame, kept: set[str] | None) -> DataFrame:
-    """(unit, docs): in how many texts of ``rows`` a unit occurs; only units in ``kept`` if that is given."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """(unit, kind, docs): in how many texts of ``rows`` (text, kind) of each kind a unit occurs."""
 
     def count(batches):
-        seen: Counter = Counter()
+        seen: dict[int, Counter] = {}
         for b in slices(batches, 500):
-            for t in b.column(0).to_pylist():
-                u = units(t or "")
-                seen.update(u if kept is None else u & kept)
-            if len(seen) > 400_000:
-                yield _counts(seen)
-                seen = Counter()
-        if seen:
-            yield _counts(seen)
+            for t, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen.setdefault(kind, Counter()).update(units(t or ""))
+            if sum(map(len, seen.values())) > 400_000:
+                yield from map(_counts, seen, seen.values())
+                seen = {}
+        yield from map(_counts, seen, seen.values())
 
-    return rows.select("text").mapInArrow(count, "unit string, docs long").groupBy("unit").agg(F.sum("docs").alias("docs"))
+    return rows.select("text", "kind").mapInArrow(count, "unit string, kind int, docs long").groupBy("unit", "kind").agg(F.sum("docs").alias("docs"))
 
 
-def _counts(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["unit", "docs"])
+def _counts(kind: int, seen: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([kind] * len(seen), pa.int32()), pa.array(seen.values(), pa.int64())], ["unit", "kind", "docs"])
 
 
-def learn_lexicon(labelled: DataFrame, n_toxic: int, n_clean: int, least_docs: int = 4, candidates: int = 100_000, size: int = 5_000) -> dict[str, int]:
-    """unit -> tier (3 strong, 2 medium, 1 weak) of the ``size`` units with the highest log odds.
+def learn_lexicons(labelled: DataFrame, least_docs: int = 4, size: int = 5_000) -> list[dict[str, int]]:
+    """unit -> tier (3 strong, 2 medium, 1 weak) of the ``size`` units with the highest
+    log odds, learned from fold 0, from fold 1 and from both of ``labelled`` (text, fold, toxic).
 
-    Units in fewer than ``least_docs`` toxic documents aren't taken, and of the
-    others at most ``candidates``, the most frequent; both bounds keep what
-    goes to the driver and back small.
+    Odds are those of being in a toxic text; a unit in fewer than ``least_docs`` toxic texts has none.
     """
-    toxic = _counted(labelled.where("toxic = 1"), None).where(F.col("docs") >= least_docs)
-    most = {r["unit"]: r["docs"] for r in toxic.orderBy(F.desc("docs"), "unit").limit(candidates).toLocalIterator()}
-    clean = {r["unit"]: r["docs"] for r in _counted(labelled.where("toxic = 0"), set(most)).toLocalIterator()}
-    odds = {u: float(np.log((d + 0.5) / (n_toxic + 1)) - np.log((clean.get(u, 0) + 0.5) / (n_clean + 1))) for u, d in most.items()}
-    best = sorted((u for u in odds if odds[u] > 1.0), key=lambda u: (-odds[u], u))[:size]
-    return {u: 3 if odds[u] > 4 else 2 if odds[u] > 2.5 else 1 for u in best}
+    total = {(r["fold"], r["toxic"]): r["n"] for r in labelled.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # 4 rows
+    counts = stored(_counted(labelled.withColumn("kind", (2 * F.col("fold") + F.col("toxic")).cast("int"))))
+    out = []
+    for folds in ([0], [1], [0, 1]):
+        n = [sum(total.get((f, toxic), 0) for f in folds) for toxic in (0, 1)]
+        in_docs = [F.coalesce(F.sum(F.when(F.col("kind").isin([2 * f + toxic for f in folds]), F.col("docs"))), F.lit(0)).alias(name) for toxic, name in ((0, "clean"), (1, "toxic"))]
+        each = counts.groupBy("unit").agg(*in_docs).where(F.col("toxic") >= least_docs)
+        odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
+        best = each.select("unit", odds.alias("odds")).where("odds > 1").orderBy(F.desc("odds"), "unit").limit(size).collect()
+        out.append({r["unit"]: 3 if r["odds"] > 4 else 2 if r["odds"] > 2.5 else 1 for r in best})
+    forget(counts)
+    return out
 
 
 class _Codes(dict):
@@ -154,43 +166,59 @@ def features(text: bytes, codes: _Codes) -> list[float]:
     ]
 
 
-def feature_table(docs: DataFrame, lexicon: dict[str, int]) -> DataFrame:
-    """(doc_id, one double for each of FEATURES) for each row of ``docs``."""
+def feature_table(docs: DataFrame, lexicons: list[dict[str, int]], which: str | None = None) -> DataFrame:
+    """(doc_id, one double for each of FEATURES) for each row of ``docs``, by the
+    lexicon whose number is in the column ``which``, or by the only one."""
+    at = F.lit(0) if which is None else F.col(which)
 
     def rows(batches):
-        codes = _Codes(lexicon)
+        codes = [_Codes(x, 400_000 // len(lexicons)) for x in lexicons]
         for b in slices(batches, 500):
-            x = np.array([features(t, codes) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([features(t, codes[k]) for t, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, k]) for k in range(len(FEATURES))]], ["doc_id", *FEATURES])
 
     schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), at.cast("int").alias("which")).mapInArrow(rows, schema)
 
 
 def bucket(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def scores(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int = 200_000, trees: int = 30, depth: int = 4) -> DataFrame:
+#: Parts of the labelled rows: folds 0 and 1 for the lexicons and the trees, this one for calibration.
+CALIBRATION = 2
+
+
+def part_of(doc_id: str = "doc_id") -> Column:
+    """3/8 of the ids each for the two folds, a quarter for calibration."""
+    k = F.pmod(F.xxhash64(doc_id, F.lit("part")), F.lit(8))
+    return F.when(k < 3, 0).when(k < 6, 1).otherwise(CALIBRATION).cast("int")
+
+
+def scores(docs: DataFrame, labels: DataFrame, held_out: Column, fit_rows: int = 200_000, trees: int = 30, depth: int = 4, least_labels: int = 10) -> DataFrame:
     """(doc_id, score) for each row of ``docs``; ``held_out``, over doc_id, marks rows whose labels stay unread."""
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(n, 1)))
-    known = stored(known.where(draw))
+    known = stored(known.where(draw).withColumn("fold", part_of()))
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     n_toxic, n_clean = share.get(1, 0), share.get(0, 0)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if min(n_toxic, n_clean) < least_labels:
+        return own.select("doc_id", F.lit(n_toxic / max(n_toxic + n_clean, 1)).alias("score"))
     labelled = own.join(F.broadcast(known), "doc_id")  # at most about fit_rows ids
-    lexicon = learn_lexicon(labelled, n_toxic, n_clean) if min(n_toxic, n_clean) >= 10 else {}
-    table = stored(feature_table(docs, lexicon))
-    if not lexicon:
-        return table.select("doc_id", F.lit(n_toxic / max(n_toxic + n_clean, 1)).alias("score"))
+    lexicons = learn_lexicons(labelled.where(F.col("fold") != CALIBRATION).select("text", "fold", "toxic"))
+    table = stored(feature_table(docs, lexicons[2:]))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="x")
-    ready = stored(vectors.transform(table.join(F.broadcast(known), "doc_id").coalesce(8)).select("doc_id", "x", F.col("toxic").cast("double").alias("toxic")))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4))
-    trees_model = GBTClassifier(featuresCol="x", labelCol="toxic", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=7, minInstancesPerNode=5).fit(ready.where(part != 0))
+    # each fold by the other's lexicon, calibration rows by that of both
+    unseen = feature_table(labelled.withColumn("which", F.when(F.col("fold") == CALIBRATION, 2).otherwise(1 - F.col("fold"))), lexicons, "which")
+    ready = stored(vectors.transform(unseen.join(F.broadcast(known), "doc_id").coalesce(8)).select("doc_id", "x", "fold", F.col("toxic").cast("double").alias("toxic")))
+    fitted, rest = ready.where(F.col("fold") != CALIBRATION), ready.where(F.col("fold") == CALIBRATION)
+    trees_model = GBTClassifier(featuresCol="x", labelCol="toxic", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=7, minInstancesPerNode=5).fit(fitted)
     raw = lambda df: trees_model.transform(df).withColumn("p", vector_to_array("probability")[1])
-    calibrate = IsotonicRegression(featuresCol="p", labelCol="toxic", predictionCol="c").fit(raw(ready.where(part == 0)).select("p", "toxic"))
+    if rest.isEmpty():  # a few labels, none of them drawn for calibration
+        return raw(vectors.transform(table)).select("doc_id", F.col("p").alias("score"))
+    calibrate = IsotonicRegression(featuresCol="p", labelCol="toxic", predictionCol="c").fit(raw(rest).select("p", "toxic"))
     out = calibrate.transform(raw(vectors.transform(table)).select("doc_id", "p"))
     # a thousandth of the trees' own score keeps the order within the flat parts
     return out.select("doc_id", (0.999 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), "c")) + 0.001 * F.col("p")).alias("score"))

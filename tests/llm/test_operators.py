@@ -273,8 +273,11 @@ def test_long_chain_is_one_component(spark):
 
 
 def test_decontamination(spark, docs, empty):
-    items = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[5:40])), (3, None), (4, "one two"), (5, prose(30, 77)), (6, "..."), (6, "!"), (None, " ".join(PASSAGE.split()[:20]))]
+    short = "three four five"
+    items = [(7, short), (8, "b"), (1, PASSAGE), (2, " ".join(PASSAGE.split()[5:40])), (3, None), (4, "one two"), (5, prose(30, 77)), (6, "..."), (6, "!"), (None, " ".join(PASSAGE.split()[:20]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    inside = spark.createDataFrame([(1, "one two three, FOUR five six seven eight"), (2, "three four six five")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(inside, bench.where("item_id IN (1, 7)")).collect()] == [(1, 7)]
     found = decontaminate.leaks(docs, bench)
     got = {(r.doc_id, r.item_id, r.item_shingles, r.shared) for r in found.collect()}
     assert got == brute.leaks([r[:2] for r in ROWS], items) and len(got) > 5
@@ -399,6 +402,30 @@ def test_toxicity_on_held_out(spark):
     assert all(x.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, x in out.items())
 
 
+def test_no_calibration_row_reaches_the_lexicon_or_the_trees(spark, monkeypatch):
+    """Each part of the labelled rows has a word of its own; what is learned from shows by them."""
+    names = ["zero", "one", "two"]
+    part = {r.id: r.p for r in spark.range(600).select("id", toxicity.part_of("id").alias("p")).collect()}
+    rows = [(k, f"{names[part[k]]}{'bad' if k % 3 == 0 else 'good'} filler{k % 7} filler{k % 5}", int(k % 3 == 0)) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = {}
+    learn, table = toxicity.learn_lexicons, toxicity.feature_table
+    monkeypatch.setattr(toxicity, "learn_lexicons", lambda labelled, **k: seen.setdefault("lexicons", learn(labelled, **k)))
+    monkeypatch.setattr(toxicity, "feature_table", lambda docs, lexicons, which=None: seen.setdefault(which or "all", (docs, table(docs, lexicons, which)))[1])
+    out = toxicity.toxicity_report(df.drop("toxic"), df.select("doc_id", "toxic")).collect()
+    assert len(out) == 600
+    words = [{w for w in x if not w.endswith("*")} for x in seen["lexicons"]]
+    assert words == [{"zerobad"}, {"onebad"}, {"zerobad", "onebad"}]
+    used = {(part[r.doc_id], r.which) for r in seen["which"][0].select("doc_id", "which").collect()}
+    assert used == {(0, 1), (1, 0), (2, 2)}
+
+
+def test_few_labels_give_one_score(spark):
+    df = spark.createDataFrame([(k, "a b" if k % 2 else "c d") for k in range(60)], "doc_id long, text string")
+    labels = spark.range(30).selectExpr("id AS doc_id", "CAST(id < 8 AS int) AS toxic")
+    assert len({r.score for r in toxicity.toxicity_report(df, labels).collect()}) == 1
+
+
 def test_unmasked():
     assert toxicity.unmasked("l0s3r") == "loser" and toxicity.unmasked("i.d.i.o.t") == "idiot" and toxicity.unmasked("scuuuum") == "scum"
 
