@@ -81,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": decontaminate.SQL.replace("{documents}", "documents"),
         "op2_quality_rules": quality_rules.SQL.replace("{documents}", "documents").replace("{floor}", str(quality_rules.FLOOR)).replace("{spread}", str(quality_rules.SPREAD)),
         "op6_substring_dedup": substring_dedup.SQL.replace("{documents}", "documents"),
+        "op8_suffix_array": suffix_array_dedup.SQL.replace("{documents}", "documents"),
     }

@@ -122,3 +122,27 @@ def removed_bytes(docs: DataFrame, size: int = 200, gram: int = 64) -> DataFrame
 def suffix_array_report(docs: DataFrame, size: int = 200) -> DataFrame:
     out = removed_bytes(docs, size)
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL for ``suffix_array_report`` over ``{documents}``; texts are cut in overlapping stretches, as long strings are slow to index.
+SQL = r"""
+WITH b_d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM {documents}),
+b_c AS (
+  SELECT doc_id, n, c, substr(h, 2 * c + 1, 1398) AS piece
+  FROM (SELECT doc_id, h, n, unnest(range(0, greatest(n - 199, 0), 500)) AS c FROM b_d)),
+b_w AS (
+  SELECT doc_id, c + k AS i, md5(substr(piece, 2 * k + 1, 400)) AS w
+  FROM (SELECT doc_id, c, piece, unnest(range(0, least(500, n - 199 - c))) AS k FROM b_c)),
+b_rep AS (SELECT doc_id, i FROM b_w QUALIFY count(*) OVER (PARTITION BY w) > 1),
+b_run AS (
+  SELECT doc_id, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM b_rep)),
+b_span AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM b_run GROUP BY doc_id, g),
+b_gap AS (
+  SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_, z FROM b_span),
+b_kept AS (
+  SELECT b_d.doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS k, sum(z - a) AS gone, count(*) AS spans
+  FROM b_d JOIN b_gap USING (doc_id) GROUP BY b_d.doc_id)
+SELECT b_d.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM b_d LEFT JOIN b_kept ON b_kept.doc_id = b_d.doc_id
+"""

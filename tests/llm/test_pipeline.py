@@ -82,3 +82,21 @@ def test_near_copies_go(spark):
     far = [*words[:75], *(f"z{k}" for k in range(75))]
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([words, other, far])], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [0, 2]
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null, empty and repeated texts, repeated and null doc_ids and columns with clashing names go through all stages."""
+    words = [f"w{k * k % 1009}" for k in range(300)]
+    text = lambda a, z: " ".join(words[a:z])
+    rows = [(1, text(0, 80)), (2, text(0, 80)), (3, None), (4, ""), (5, "   "), (None, text(80, 140)), (6, text(140, 200)), (6, text(140, 200)), (7, text(200, 240) + " " + text(0, 40)), (8, text(240, 300))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "x", 1, "k") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, name string, h int, `key` string")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    items = spark.createDataFrame([(1, text(250, 270)), (2, None), (None, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, f"{tmp_path}/a").collect()}
+    assert set(out) == {1, None, 6, 7} and all(r.round_trip for r in out.values())
+    model = pieces.piece_model(tokenizers.path("piece_bpe_32k.model"), pieces.PieceTexts)
+    assert model.decode(out[7].ids).split() == words[200:240] and model.decode(out[1].ids).split() == words[:80]
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    items.write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
