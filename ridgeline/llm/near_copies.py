@@ -15,8 +15,9 @@ recall). Hence candidates come from two sides, and both are verified exactly:
 3. In each shingle's group the sets are linked to the smallest one that can be
    near enough by size, and these pairs are verified with those of the trie.
    That joins a large group of near copies without its pairs.
-4. All other pairs of a group are verified whose sets aren't in one component
-   by then.
+4. In groups with more than one component by then, all other pairs of different
+   components are compared by small parities, and those that these allow are
+   verified. Nothing but such pairs leaves a group's task.
 
 Before a pair is verified, the parities of both sets' shingles over two to four
 cells for each shingle are held against each other: they differ in no more
@@ -50,6 +51,9 @@ BUDGET = 3
 SAMPLE = 16
 COMMON = 8
 MOST = 200_000
+#: Cells of the parities that are compared within a shingle's group.
+SMALL = 256
+SKETCH = [f"s{k}" for k in range(SMALL // 64)]
 
 
 def name_of(found: np.ndarray) -> int:
@@ -69,6 +73,11 @@ def parities(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount(found & (cells - 1), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def small_parities(found: np.ndarray) -> np.ndarray:
+    """Parities over SMALL cells, as 64-bit numbers."""
+    return np.packbits(np.bincount(found & (SMALL - 1), minlength=SMALL).astype(np.uint8) & 1).view("<i8")
+
+
 def differing(a: bytes, b: bytes) -> int:
     """In how many cells two parities differ; the longer ones are folded to the length of the others."""
     if len(a) < len(b):
@@ -86,7 +95,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def names(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, fp, sim, n, bits) for each row: the name of its set, its fingerprint, size and parities."""
+    """(doc_id, key, fp, sim, n, bits, s0 ...) for each row: the name of its set, its fingerprint, size and parities."""
 
     def name(batches):
         keep_nothing()
@@ -94,9 +103,10 @@ def names(docs: DataFrame) -> DataFrame:
             every = [shingle_hashes(t, WORDS) for t in b.column(2).to_pylist()]
             own = [np.unique(x.view("<i8")) for x in every]
             numbers = [pa.array(map(f, x), pa.int64()) for f, x in ((name_of, own), (majority, every), (len, own))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers, pa.array(map(parities, own), pa.binary())], ["doc_id", "key", "fp", "sim", "n", "bits"])
+            small = np.array([small_parities(x) for x in own]).reshape(-1, len(SKETCH))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers, pa.array(map(parities, own), pa.binary()), *map(pa.array, small.T)], ["doc_id", "key", "fp", "sim", "n", "bits", *SKETCH])
 
-    return _texts(docs).mapInArrow(name, "doc_id long, key long, fp long, sim long, n long, bits binary")
+    return _texts(docs).mapInArrow(name, "doc_id long, key long, fp long, sim long, n long, bits binary, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def sets(texts: DataFrame) -> DataFrame:
@@ -218,13 +228,18 @@ def _first(g: np.ndarray):
 
 
 def _others(g: np.ndarray):
-    """Pairs of different components (column 4), less those of ``_first``."""
-    if len(g) < 3 or (g[:, 4] == g[0, 4]).all():
+    """Pairs of different components (column 4) whose parities (the columns
+    after it) allow a link, less those of ``_first``. A group is compared in its
+    task, but only such pairs leave it."""
+    if len(g) < 3:
         return
     centre, ends = _centres(g[:, 1]), np.searchsorted(g[:, 1], g[:, 1] * 5 // 4, side="right")
+    n, root, sketch = g[:, 1], g[:, 4], g[:, 5:].view(np.uint64)
     for a in range(len(g) - 1):
         b = np.arange(a + 1, ends[a])
-        b = b[(g[b, 4] != g[a, 4]) & (centre[b] != a)]
+        b = b[(root[b] != root[a]) & (centre[b] != a)]
+        if len(b):
+            b = b[9 * np.bitwise_count(sketch[b] ^ sketch[a]).sum(1, dtype=np.int64) <= n[b] + n[a]]
         if len(b):
             yield np.full(len(b), a), b
 
@@ -268,22 +283,32 @@ def print_pairs(named: DataFrame, budget: int) -> DataFrame:
 def links(docs: DataFrame, named: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Pairs (a, b) of names of linked sets, which make all components."""
 
-    def several(batches):
+    rows = stored(_whole_groups(first_shingles(docs), 4))
+    near = stored(verified(print_pairs(named, budget).unionByName(_pairs(rows, _first, 4)).distinct(), docs, named))
+    roots = connected(near)
+    rooted = rows.where("size > 2").join(roots, rows["fp"] == roots["node"], "left").select("h", "n", "fp", "at", F.coalesce("root", "fp").alias("root"))
+    mixed = _whole_groups(rooted, 5, lambda g: (g[:, 4] != g[0, 4]).any()).drop("size")
+    sketched = mixed.join(named.select("fp", *SKETCH).dropDuplicates(["fp"]), "fp").select("h", "n", "fp", "at", "root", *SKETCH)
+    return near.unionByName(verified(_pairs(sketched, _others, 5 + len(SKETCH)), docs, named))
+
+
+def _whole_groups(rows: DataFrame, columns: int, keep=lambda g: True) -> DataFrame:
+    """The rows of whole groups of two or more, with the group's ``size``, where ``keep`` of the group is true."""
+    names = rows.columns[:columns] + ["size"]
+
+    def take(batches):
         held, size = [], 0
-        for g in _groups(batches, 4):
-            held.append(g)
-            size += len(g)
+        for g in _groups(batches, columns):
+            if keep(g):
+                held.append(np.column_stack([g, np.full(len(g), len(g))]))
+                size += len(g)
             if size > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held).T], ["h", "n", "fp", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held).T], names)
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held).T], ["h", "n", "fp", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held).T], names)
 
-    rows = stored(first_shingles(docs).repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(several, "h long, n long, fp long, at long"))
-    near = stored(verified(print_pairs(named, budget).unionByName(_pairs(rows, _first, 4)).distinct(), docs, named))
-    roots = connected(near)
-    rooted = rows.join(roots, rows["fp"] == roots["node"], "left").select("h", "n", "fp", "at", F.coalesce("root", "fp").alias("root"))
-    return near.unionByName(verified(_pairs(rooted, _others, 5), docs, named))
+    return rows.repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(take, ", ".join(f"{n} long" for n in names))
 
 
 def components(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
