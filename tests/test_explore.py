@@ -4,6 +4,9 @@ from datetime import date, timedelta
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from ridgeline import workspace
 from ridgeline.operators import explore
 
 DAY = date(2024, 1, 1)
@@ -65,3 +68,44 @@ def test_density_is_about_one(spark):
     df = table(spark, {"A": [k / 10 for k in range(-20, 21)]})
     rows = explore.density(df).orderBy("x").collect()
     assert len(rows) == 200 and sum(r.density for r in rows) * (rows[1].x - rows[0].x) == pytest.approx(1, abs=0.01)
+
+
+def test_percentiles_of_ties_and_of_one_value(spark):
+    df = spark.createDataFrame([(float(v),) for v in [5, 1, 1, 1, 2, 9, 9, 3]], "v double")
+    q = explore.percentiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0], pieces=3).first().q
+    assert q == pytest.approx([1.0, 1.0, 2.5, 9.0, 9.0])
+    assert explore.percentiles(df.limit(1), "v", [0.5]).first().q[0] in (5.0, 1.0, 2.0, 9.0, 3.0)
+    assert explore.percentiles(df.limit(0), "v", [0.5]).first().q == [None]
+
+
+def test_correlation_in_several_blocks(spark):
+    """Blocks of symbols and dates of several years give what one block does."""
+    rows = [(f"S{s}", DAY + timedelta(40 * k), ((s * 7 + k * k) % 11) / 10) for s in range(9) for k in range(30) if (s + k) % 6]
+    df = spark.createDataFrame(rows, "symbol string, date date, return_1d double")
+    one, many = ({(r.symbol_a, r.symbol_b): r["corr"] for r in explore.correlation_matrix(df, block=b).collect()} for b in (512, 2))
+    assert set(one) == set(many) and len(one) == 81 and all(many[k] == pytest.approx(one[k]) for k in one)
+    a, b = (spark.createDataFrame(rows, df.schema).where(F.col("symbol") == s).select("date", F.col("return_1d").alias(s)) for s in ("S1", "S4"))
+    assert one["S1", "S4"] == pytest.approx(a.join(b, "date").stat.corr("S1", "S4"))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_hold_at_scale(spark, monkeypatch):
+    """No percentile buffer in one task, a broadcast grid only while it is small, and the input's own work done once."""
+    df = table(spark, {"A": [k / 10 for k in range(40)], "B": [k / 7 for k in range(40)]}).withColumn("t", F.col("return_1d") * 2)
+    for out in (explore.describe(df, "return_1d"), explore.quantile_means(df, "return_1d", "t", 4)):
+        assert "percentile(" not in plan(out).replace("percentile_approx(", "")
+    assert "BroadcastHashJoin" in plan(explore.density(df))
+    with monkeypatch.context() as m:
+        m.setattr(explore, "BROADCAST_ROWS", 100)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "BroadcastHashJoin" not in plan(explore.density(df))
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    stored, seen = workspace.stored, []
+    monkeypatch.setattr(workspace, "stored", lambda x: seen.append(plan(x)) or stored(x))
+    windowed = df.withColumn("return_1d", F.col("return_1d") - F.lag("return_1d", 1, 0.0).over(explore.Window.partitionBy("symbol").orderBy("date")))
+    for make in (explore.correlation_matrix, explore.density, lambda x: explore.describe(x, "return_1d")):
+        seen.clear()
+        assert "lag(" not in plan(make(windowed)) and sum("lag(" in p for p in seen) == 1

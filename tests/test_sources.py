@@ -3,6 +3,7 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.plans import job, sqlapi
 from ridgeline.schemas import CLEAN_STORED, FEATURES_STORED, RAW, RAW_STORED
@@ -128,3 +129,19 @@ def test_stream_takes_new_files_only(spark, folder, tmp_path):
     (tmp_path / "landing" / "DIA.csv").write_text(HEADER + "2024-01-02,1,1,1,1,1,5,0,DIA\n")
     landing.ingest_stream(spark, folder, kind, "vendor", out, check).awaitTermination()
     assert spark.read.parquet(out).count() == 25
+
+
+def test_job_from_settings(spark, tmp_path):
+    """Two YAML files decide symbols, dates and folders."""
+    lines = [(f"2024-01-{d:02}", s, 10.0 + d, 11.0 + d, 9.0 + d, 10.5 + d, 10.5 + d, 100.0) for d in range(1, 12) for s in ("A", "B", "C")]
+    landing = spark.createDataFrame(lines, "Date string, Symbol string, Open double, High double, Low double, Close double, `Adj Close` double, Volume double")
+    landing.write.option("header", True).csv(str(tmp_path / "landing"))
+    (tmp_path / "assets.yaml").write_text("assets:\n" + "".join(f"  - {{symbol: {s}, name: n, asset_class: equity, currency: USD, source: files}}\n" for s in "AB"))
+    folders = {k: str(tmp_path / k) for k in ("raw_data_dir", "processed_data_dir", "marts_data_dir", "validation_reports_dir", "duckdb_path")}
+    (tmp_path / "pipeline.yaml").write_text("pipeline:\n  start_date: 2024-01-02\n  end_date: 2024-01-10\n  interval: 1d\n" + "".join(f"  {k}: {v}\n" for k, v in folders.items()))
+    out = job.run_from_settings(spark, vendor.landed(str(tmp_path / "landing"), "files"), str(tmp_path / "pipeline.yaml"), str(tmp_path / "assets.yaml"))
+    assert {(r.symbol, r.n) for r in out.groupBy("symbol").agg(F.count("*").alias("n")).collect()} == {("A", 9), ("B", 9)}
+    found = sorted(p.name for p in tmp_path.iterdir())
+    assert {"raw_data_dir", "processed_data_dir", "marts_data_dir"} <= set(found)
+    assert not list(tmp_path.rglob("*_staging*")) and (tmp_path / "processed_data_dir" / "daily_prices").is_dir() and (tmp_path / "marts_data_dir" / "features").is_dir()
+    assert spark.read.json(folders["validation_reports_dir"]).where("status = 'passed'").count() == 3
