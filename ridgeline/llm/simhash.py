@@ -10,16 +10,17 @@ fingerprints agree in at least one segment, so there is one trie for each
 segment, over the fingerprints turned so that the segment comes first. Below
 a common first segment pairs of nodes are traversed together: each step goes
 one bit down, adds the bit by which two nodes differ, and drops the pair when
-the budget is passed. A hot first segment (more than ``hot`` fingerprints) is
-cut further, by pairs of subtrees ``deep`` bits below whose paths differ in no
-more than the budget, so no task gets it whole.
+the budget is passed. A node pair of more than ``most`` fingerprints is cut
+before it is dealt, into pairs of subtrees ``deep`` bits below whose paths
+differ in no more than the budget, and so on until all are small enough.
 
 A task reports no list of all pairs but a spanning forest of the links in its
 subtree, which keeps every component and at most one row for a fingerprint.
 
 Defined cases: words are in lower case (A-Z only); one or two words are one
 shingle; a null text, an empty one or one without words has fingerprint zero,
-linked like any other; documents without an id take part but get no row of
+linked like any other; a very long text is hashed whole; a bit set in just half
+of the hashes is 0; documents without an id take part but get no row of
 their own in the components' least ids; repeated rows fall together; an empty
 table gives an empty result; further columns are not read.
 """
@@ -159,31 +160,37 @@ def _starts(group: np.ndarray) -> np.ndarray:
 
 def _whole_groups(batches):
     """Arrow batches as tables of numbers (segment, left, first, right, key), cut between groups."""
-    held = np.zeros((0, 5), np.int64)
+    held: list[np.ndarray] = []
     for b in batches:
+        if not b.num_rows:
+            continue
         rows = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(5)], axis=1)
-        held = np.concatenate([held, rows])
-        starts = _starts(held[:, :4])
-        if len(starts) > 2:  # the last group may go on in the next batch
-            yield held[: starts[-2]]
-            held = held[starts[-2] :]
-    if len(held):
-        yield held
+        if held and (rows[-1, :4] == held[0][-1, :4]).all():
+            held.append(rows)  # the last group goes on
+            continue
+        rows = np.concatenate([*held, rows])
+        starts = _starts(rows[:, :4])
+        if len(starts) > 2:
+            yield rows[: starts[-2]]
+        held = [rows[starts[-2] :]]
+    if held:
+        yield np.concatenate(held)
 
 
-def _subtree_links(batches, budget: int, width: int, deep: int):
+def _subtree_links(batches, budget: int, width: int):
     """(key, key, segment) of the links within groups of sorted rows.
 
     A group with left = right = -1 is all of a first segment's subtree; such
     groups of one segment follow each other in the order of their keys and are
-    traversed at once. The rows of any other group lie in the subtrees
-    ``left`` and ``right``, and pairs are sought between the two.
+    traversed at once. The rows of any other group lie in the subtrees ``left``
+    and ``right``, whose depth is in ``segment``, and pairs are sought between the two.
     """
     for rows in _whole_groups(batches):
         lots = _starts(np.where(rows[:, 1:2] < 0, np.stack([rows[:, 0], rows[:, 1] * 0 - 1, rows[:, 1], rows[:, 1]], axis=1), rows[:, :4]))
         for lo, hi in zip(lots[:-1].tolist(), lots[1:].tolist()):
             own, forest = np.ascontiguousarray(rows[lo:hi, 4]).view(np.uint64), Forest(hi - lo)
             segment, left, _, right = rows[lo, :4].tolist()
+            depth = segment >> DEPTH_AT
             if left < 0:
                 starts = _starts(rows[lo:hi, 2:3])
                 pairs = np.zeros((len(starts) - 1, 6), np.int64)
@@ -192,42 +199,61 @@ def _subtree_links(batches, budget: int, width: int, deep: int):
                 pairs[:, 5] = width
                 trie_pairs(own, pairs[pairs[:, 1] - pairs[:, 0] > 1], budget, forest.join)
             elif left == right:
-                trie_pairs(own, np.array([[0, hi - lo, 0, hi - lo, 0, width]]), budget, forest.join)
+                trie_pairs(own, np.array([[0, hi - lo, 0, hi - lo, 0, width + depth]]), budget, forest.join)
             else:
-                path = (own >> np.uint64(BITS - width - deep)) & np.uint64((1 << deep) - 1)
+                path = (own >> np.uint64(BITS - width - depth)) & np.uint64((1 << depth) - 1)
                 cut = int(np.searchsorted(path, np.uint64(right)))
                 if 0 < cut < hi - lo:
-                    trie_pairs(own, np.array([[0, cut, cut, hi - lo, (left ^ right).bit_count(), width + deep]]), budget, forest.join)
+                    trie_pairs(own, np.array([[0, cut, cut, hi - lo, (left ^ right).bit_count(), width + depth]]), budget, forest.join)
             for x, y in forest.links:
-                yield own[x], own[y], segment
+                yield own[x], own[y], segment & ((1 << DEPTH_AT) - 1)
+
+
+#: The column ``segment`` holds the segment's number, and from this bit on the depth of the subtrees below it.
+DEPTH_AT = 8
 
 
-def near_pairs(prints: DataFrame, budget: int = 2, hot: int = 20_000, deep: int = 8) -> DataFrame:
+def _cut(rows: DataFrame, budget: int, width: int, depth: int, deep: int) -> DataFrame:
+    """Rows of node pairs at ``depth`` below the first segment, dealt to the pairs of nodes ``deep`` bits below."""
+    number = lambda x: F.lit(x).cast("long")
+    path = lambda d: F.shiftrightunsigned("key", BITS - width - d).bitwiseAND(number((1 << d) - 1))
+    own, lower = path(depth) if depth else number(0), F.shiftrightunsigned("key", BITS - width - depth - deep).bitwiseAND(number((1 << deep) - 1))
+    left, right = (F.greatest(number(0), F.col(c)) for c in ("left", "right"))  # -1 stands for the whole subtree
+    other = F.when(own == left, right).otherwise(left)
+    spent = F.bit_count(left.bitwiseXOR(right))
+    flips = [sum(1 << i for i in c) for r in range(budget + 1) for c in combinations(range(deep), r)]
+    below = F.explode(F.array(*[F.when(spent + x.bit_count() <= budget, number(x)) for x in flips])).alias("flip")
+    found = rows.select("segment", "first", "key", F.shiftleft(own, deep).bitwiseOR(lower).alias("own"), F.shiftleft(other, deep).alias("other"), lower.alias("lower"), below).where("flip IS NOT NULL")
+    other = F.col("other").bitwiseOR(F.col("lower").bitwiseXOR(F.col("flip")))
+    return found.select((F.col("segment") + (deep << DEPTH_AT)).alias("segment"), F.least("own", other).alias("left"), "first", F.greatest("own", other).alias("right"), "key")
+
+
+def near_pairs(prints: DataFrame, budget: int = 2, most: int = 20_000, deep: int = 8) -> DataFrame:
     """Links (a, b) between the distinct values of ``fp``: a spanning forest of each subtree's pairs."""
     parts = segments(budget)
     turned = [prints.select(F.lit(k).cast("long").alias("segment"), _turned(start).alias("key")) for k, (start, _) in enumerate(parts)]
     rows = turned[0]
     for t in turned[1:]:
         rows = rows.unionByName(t)
-    width = min(w for _, w in parts)
-    rows = rows.withColumn("first", F.shiftrightunsigned("key", BITS - width))
-    sizes = rows.groupBy("segment", "first").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
-    rows = rows.join(sizes, ["segment", "first"], "left")
-    # node pairs below a hot segment: the own path with each path within the budget, lesser first
-    own = F.shiftrightunsigned("key", BITS - width - deep).bitwiseAND(F.lit((1 << deep) - 1).cast("long"))
-    flips = [sum(1 << i for i in c) for r in range(budget + 1) for c in combinations(range(deep), r)]
-    others = F.array(*[own.bitwiseXOR(F.lit(x).cast("long")) for x in flips])
-    other = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(others))
-    rows = rows.select("segment", "first", "key", "n", own.alias("own"), other.alias("other"))
-    left = F.when(F.col("n").isNull(), F.lit(-1).cast("long")).otherwise(F.least("own", "other"))
-    right = F.when(F.col("n").isNull(), F.lit(-1).cast("long")).otherwise(F.greatest("own", "other"))
-    rows = rows.select("segment", left.alias("left"), "first", right.alias("right"), "key")
+    width, whole = min(w for _, w in parts), F.lit(-1).cast("long")
+    rows = rows.select("segment", whole.alias("left"), F.shiftrightunsigned("key", BITS - width).alias("first"), whole.alias("right"), "key")
+    node, depth, done = ["segment", "left", "first", "right"], 0, []
+    while width + depth + deep <= BITS:
+        large = stored(rows.groupBy(*node).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*node))
+        if large.isEmpty():
+            break
+        some = sized_broadcast(large, BROADCAST_ROWS)
+        done.append(rows.join(some, node, "left_anti"))
+        rows = stored(_cut(rows.join(some, node, "left_semi"), budget, width, depth, deep))
+        depth += deep
+    for part in done:
+        rows = rows.unionByName(part)
     # keys as unsigned: the order of the key with its first bit flipped
     order = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
-    dealt = rows.repartition("segment", "first", "left", "right").sortWithinPartitions("segment", "left", "first", "right", order)
+    dealt = rows.select(*node, "key").repartition(*node).sortWithinPartitions(*node, order)
 
     def search(batches):
-        found = _subtree_links(batches, budget, width, deep)
+        found = _subtree_links(batches, budget, width)
         lot: list[tuple] = []
         for x in found:
             lot.append(x)

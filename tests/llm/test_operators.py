@@ -243,8 +243,8 @@ def test_near_copies(spark, docs, empty, common, monkeypatch):
     assert near_copies.components(empty).count() == 0 and near_copies.components(docs).count() == len(ROWS)
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_trie_pairs_hot_and_not(spark, hot):
+@pytest.mark.parametrize("most,deep", [(20_000, 8), (2, 8), (1, 3)])
+def test_trie_pairs_cut_and_not(spark, most, deep):
     r = random.Random(4)
     values = [r.getrandbits(64) for _ in range(60)]
     for v in list(values):
@@ -256,7 +256,7 @@ def test_trie_pairs_hot_and_not(spark, hot):
     values += [k for k in range(40)]
     values = sorted(set(values))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = simhash.near_pairs(spark.createDataFrame([(v,) for v in signed], "fp long"), hot=hot)
+    links = simhash.near_pairs(spark.createDataFrame([(v,) for v in signed], "fp long"), most=most, deep=deep)
     root = {r.node: r.root for r in connected(links).collect()}
     want: dict = {}
     for v, c in zip(signed, brute.components(values)):
