@@ -352,7 +352,7 @@ def apart(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame | N
     return rows.join(few, by, "left_anti"), rows.join(few, by, "left_semi")
 
 
-def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, lot: int = 2_000, most: int = 20_000) -> DataFrame:
+def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, lot: int = 2_000, most: int = 2_500) -> DataFrame:
     """(block, start, told): what is known of the windows of each row of ``runs`` (a stored table)."""
     few, large = apart(found, "name", most)
     out = in_groups(few, "name", resolve, lot)
