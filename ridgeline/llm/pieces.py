@@ -4,7 +4,9 @@ The automaton over the model's pieces reads a text once; its output links name
 all pieces that end at each position. How a path is chosen among them follows
 the training of the model file:
 
-- merging pairs: the merges are replayed. Of all neighbours that together are
+- merging pairs: at each position the piece is settled that can follow the
+  encoding of what stands before it; whether two pieces can be neighbours is
+  found by replaying merges over the two alone: of all neighbours that together are
   a piece, those with the highest score (of equal ones the leftmost) become
   one, until there are none (`MergeModel`). The ids are the library's.
 - else each piece relaxes the best score of the position where it ends
@@ -22,7 +24,9 @@ segmented on their own, once, and kept.
 Decoding is exact for either.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty
-text; a text's own U+2581 becomes byte pieces, so that it survives decoding;
+text; a text's own U+2581 becomes byte pieces, so that it survives decoding; of
+equal scores the leftmost merge, or the path with the longer last piece, is
+taken; a very long text is encoded whole, an unbroken run of letters included;
 columns named like an output are replaced, all others pass through.
 """
 
@@ -183,9 +187,47 @@ class PieceModel:
 
 
 class MergeModel(PieceModel):
-    """Encodes by replaying merges, as the library does for a model trained so."""
+    """Encodes as the library does for a model trained by merging pairs.
+
+    Merging is local: pieces are a text's encoding if each two neighbours, taken
+    alone, are encoded as those two. So of the pieces that end at a position
+    just one can follow the encoding of what stands before it, and the position
+    is settled as soon as an output link names that piece. Whether two pieces
+    may be neighbours is found by replaying their merges, once for each pair.
+    """
+
+    def __init__(self, path: str, limit: int = 120_000):
+        super().__init__(path, limit)
+        self.text_of = {v[2]: p for p, v in self.automaton.items()}
+        self.pairs: dict[int, bool] = {}
 
     def path(self, text: str) -> list[int]:
+        if not self.single.issuperset(text):
+            return self.merged(text)
+        n = len(text)
+        piece_of, start_of = [-1] * (n + 1), [0] * (n + 1)
+        for last, (size, _, piece) in self.automaton.iter(text):
+            end, start = last + 1, last + 1 - size
+            if piece_of[end] < 0 and (piece_of[start] >= 0 or not start) and self.neighbours(piece_of[start], piece):
+                piece_of[end], start_of[end] = piece, start
+        if n and piece_of[n] < 0:  # some piece that merges don't lead to
+            return self.merged(text)
+        ids: list[int] = []
+        while n:
+            ids.append(piece_of[n])
+            n = start_of[n]
+        return ids[::-1]
+
+    def neighbours(self, a: int, b: int) -> bool:
+        """Whether merging keeps piece ``b`` apart from ``a`` before it (-1: from nothing) and whole."""
+        known = self.pairs.get(a << 32 | b)
+        if known is None:
+            known = self.merged((self.text_of[a] if a >= 0 else "") + self.text_of[b]) == ([a, b] if a >= 0 else [b])
+            if len(self.pairs) < 2 * self.limit:
+                self.pairs[a << 32 | b] = known
+        return known
+
+    def merged(self, text: str) -> list[int]:
         return self.short_path(text) if len(text) <= 64 else self.long_path(text)
 
     def short_path(self, text: str) -> list[int]:

@@ -140,6 +140,10 @@ def test_piece_ids_are_the_library_s(docs):
     for r in pieces.encode_pieces(docs, path).collect():
         if pieces.SPACE not in (r.text or ""):  # a space to the library, byte pieces here
             assert r.ids == library.encode(r.text or "")
+    r = random.Random(12)
+    letters = [*"abcdefghijklmnopqrstuvwxyz    \n.,éüñß日本\U0001f600\t0123'-", "th", "ing ", "tion", " the "]
+    noise = ["".join(r.choice(letters) for _ in range(r.randint(1, 200))) for _ in range(400)]
+    assert [pieces.encoder(path).encode(t).tolist() for t in noise] == library.encode(noise)
     more = ["Elle", "hello", "  two", "ñandú", " ", " " * 47, "a" * 300, "Elle\n\n est\t là ", "x  y   z" + " " * 33 + "w", "日本語 text \U0001f600\U0001f600", "<s> <0x0A> </s>", " ".join(VOCABULARY)]
     assert [pieces.encoder(path).encode(t).tolist() for t in more] == library.encode(more)
 
