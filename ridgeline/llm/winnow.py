@@ -143,10 +143,10 @@ def repeated_names(rows: DataFrame, scheme, within: bool, lot: int = 300_000) ->
         twice = np.append(False, same) | np.append(same, False)
         once, many = x[~twice], x[twice]
         first = many[np.append(True, many[1:, 0] != many[:-1, 0])] if len(many) else many
-        for kind, part, deal in ((SINGLE, once, 0), (KNOWN, first, 0), (SETTLED, many, 1)):
+        for kind, part in ((SINGLE, once), (KNOWN, first), (SETTLED, many)):
             for at in range(0, len(part), 20_000):
                 p = part[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, deal]), pa.array(p[:, 0]), pa.array(np.full(len(p), kind, np.int32)), pa.array(p[:, 1])], ["deal", "name", "kind", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(np.full(len(p), kind, np.int32)), pa.array(p[:, 1])], ["name", "kind", "key"])
 
     def gather(batches):
         keep_nothing()
@@ -172,7 +172,7 @@ def repeated_names(rows: DataFrame, scheme, within: bool, lot: int = 300_000) ->
         held = np.zeros((0, 3), np.int64)
         known = False  # whether the held row's name was seen before it
         for b in batches:
-            x = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3)], axis=1)
+            x = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], axis=1)
             settled = x[:, 1] == SETTLED
             if settled.any():
                 yield _names(x[settled])
@@ -188,7 +188,8 @@ def repeated_names(rows: DataFrame, scheme, within: bool, lot: int = 300_000) ->
         if len(held) and known:
             yield _names(held)
 
-    dealt = rows.select("key", "text").mapInArrow(gather, "deal long, name long, kind int, key long").repartition("deal").sortWithinPartitions("name", F.desc("kind"), "key")
+    found = rows.select("key", "text").mapInArrow(gather, "name long, kind int, key long")
+    dealt = found.repartition(F.when(F.col("kind") == SETTLED, F.col("key")).otherwise(F.col("name"))).sortWithinPartitions("name", F.desc("kind"), "key")
     return dealt.mapInArrow(twice, "key long, name long").groupBy("key").agg(F.collect_set("name").alias("names"))
 
 
