@@ -173,7 +173,7 @@ def coded(rows: DataFrame, head, name: str) -> DataFrame:
 
 
 def _lots(batches, column: int):
-    """Codes, places in the text and row numbers of about CHUNK tokens of whole texts at a time."""
+    """Codes, places in the text and row numbers of whole texts, about CHUNK tokens or one text at a time."""
     held, size = [], 0
     for b in slices(batches, 200):
         for data in b.column(column).to_pylist():
@@ -400,9 +400,11 @@ def expected_sums(train: DataFrame, layout, weights: list[np.ndarray]) -> list[n
         for codes, start, _ in _lots(batches, 0):
             _, _, f1, f2 = lay(codes, start)
             for total, f, w in zip(sums, (f1, f2), (w1, w2)):
-                p = np.exp(log_softmax(w, f)).astype(float)
-                for k in f:
-                    _rows_added(total, k, p)
+                for at in range(0, f.shape[1], CHUNK):  # a long text in pieces
+                    some = f[:, at : at + CHUNK]
+                    p = np.exp(log_softmax(w, some)).astype(float)
+                    for k in some:
+                        _rows_added(total, k, p)
         for k in (0, 1):
             yield from _pieces(sums[k], k)
 
@@ -499,10 +501,13 @@ def score_lot(codes, start, row, layout, weights, by_leaf, log_own, log_head):
     """For each text of a lot: its log10 probability and its sum of log10 (count + 1),
     both less what tokens beyond the head have of their own, its tokens in the head and all its tokens."""
     cls, part, f1, f2 = layout(codes, start)
-    token = np.arange(len(codes))
     inside = codes >= 0
     place = np.where(inside, codes, len(log_own) - 1)
-    each = (log_softmax(weights[0], f1)[token, cls] + log_softmax(weights[1], f2)[token, part]) / np.log(10) - by_leaf[cls * PARTS + part]
+    each = -by_leaf[cls * PARTS + part]
+    for at in range(0, len(codes), CHUNK):  # a long text in pieces
+        k = slice(at, at + CHUNK)
+        token = np.arange(len(codes[k]))
+        each[k] += (log_softmax(weights[0], f1[:, k])[token, cls[k]] + log_softmax(weights[1], f2[:, k])[token, part[k]]) / np.log(10)
     own = np.where(inside, log_own[place], 0.0)
     texts = int(row[-1]) + 1
     add = lambda x: np.bincount(row, weights=x, minlength=texts)
