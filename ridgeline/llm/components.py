@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -25,7 +25,8 @@ def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         own = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(own, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own).where("a <> b").distinct()
-        edges = stored(small)
+        before, edges = edges, stored(small)
+        forget(before)
         print_now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if print_now == print_before:
             break
