@@ -5,8 +5,8 @@ starts in a document with a smaller doc_id. Windows are judged on the input.
 
 Candidates are found as in ``winnow`` and dealt over the cluster by prefixes:
 a window's first prefix is its least gram, on which its suffix starts; groups
-that are too large for a task are dealt by 2, 4, 8 or 12 words of the windows
-themselves, the shortest that makes them small. In a task prefixes of words
+that are too large for a task are dealt by prefixes of 10, 12 or 13 words, the
+shortest that makes them small. In a task prefixes of words
 split the suffixes once more, each as long as it takes for its group to fit in
 memory, and a group's suffix tree grows breadth first: each step adds a word
 to the paths of all internal nodes, those with two places or more. The internal
@@ -28,7 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,15 +92,11 @@ class WordWindows:
     def part(self, units: list[bytes], start: int, windows: int) -> bytes:
         return b" ".join(units[start : start + windows + self.size - 1])
 
-    #: Lengths of the prefixes that split a large group.
-    prefixes = (2, 4, 8, 12)
+    #: Steps that split a large group: prefixes of 10, 12 and 13 of 13 words.
+    steps = (4, 2, 1)
 
-    def prefix(self, window: Column, length: int) -> Column:
-        return F.substring_index(window.cast("string"), " ", length)
-
-    def windows(self, content: bytes) -> list[bytes]:
-        words = content.split(b" ")
-        return [b" ".join(words[k : k + self.size]) for k in range(len(words) - self.size + 1)]
+    def count(self, content: bytes) -> int:
+        return content.count(b" ") + 2 - self.size
 
 
 def prefix_groups(units: np.ndarray, suffixes: np.ndarray, depth: int, most: int):

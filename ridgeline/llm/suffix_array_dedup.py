@@ -6,7 +6,7 @@ never cross documents; overlapping places count.
 
 Positions that can share a string are found as in ``winnow`` and dealt over the
 cluster in the buckets of their least grams; a bucket that is too large for a
-task is refined there, by 8, 16 ... 128 bytes of the strings themselves. In a
+task is refined there, by prefixes of 137, 185, 197 or all 200 bytes. In a
 task the suffixes are put in buckets by their first eight bytes; then each
 bucket with two suffixes or more is refined by sorting on the bucket identifiers
 that its suffixes have one bucket length further on. Identifiers are updated in
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
@@ -54,14 +54,11 @@ class ByteWindows:
 
     part = content
 
-    #: Lengths of the prefixes that split a large group.
-    prefixes = (8, 16, 32, 64, 128)
+    #: Steps that split a large group: prefixes of 137, 185, 197 and 200 of 200 bytes.
+    steps = (64, 16, 4, 1)
 
-    def prefix(self, window: Column, length: int) -> Column:
-        return F.substring(window, 1, length)
-
-    def windows(self, content: bytes) -> list[bytes]:
-        return [content[k : k + self.size] for k in range(len(content) - self.size + 1)]
+    def count(self, content: bytes) -> int:
+        return len(content) - self.size + 1
 
 
 def refined_buckets(data: np.ndarray, size: int) -> np.ndarray:

@@ -277,8 +277,8 @@ def runs(found: DataFrame, scheme) -> DataFrame:
     return each.select(*columns).mapInArrow(cut, RUNS)
 
 
-def _run_rows(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), RUN.values())], list(RUN))
+def _run_rows(out: list[tuple], kinds: dict = RUN) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds.values())], list(kinds))
 
 
 def run_lengths(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -353,36 +353,59 @@ def apart(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame | N
     return rows.join(few, by, "left_anti"), rows.join(few, by, "left_semi")
 
 
-def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, lot: int = 2_000, most: int = 2_500) -> DataFrame:
-    """(block, start, told): what is known of the windows of each row of ``runs`` (a stored table)."""
+def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, lot: int = 2_000, most: int = 2_500) -> tuple[DataFrame, list[DataFrame]]:
+    """(block, start, told): what is known of the windows of each row of ``runs``
+    (a stored table), and the stored tables that it reads besides."""
     few, large = apart(found, "name", most)
-    out = in_groups(few, "name", resolve, lot)
-    return out if large is None else out.unionByName(by_prefix(large, scheme, resolve, fold, lot, most))
+    out, read = in_groups(few, "name", resolve, lot), []
+    return (out if large is None else out.unionByName(by_prefix(large, scheme, resolve, fold, lot, most, read))), read
 
 
-def by_prefix(large: DataFrame, scheme, resolve: Callable, fold: Callable, lot: int, most: int) -> DataFrame:
-    """As ``resolved``, for groups of more than ``most`` rows: their windows are
-    dealt one by one, by the shortest of ``scheme.prefixes`` whose group is
-    small enough. Where even the longest isn't, the whole window is its prefix:
-    such windows are equal, and their rows are added up on the way."""
+def by_prefix(large: DataFrame, scheme, resolve: Callable, fold: Callable, lot: int, most: int, read: list[DataFrame]) -> DataFrame:
+    """As ``resolved``, for groups of more than ``most`` rows.
 
-    def windows(batches):
-        for b in slices(batches, 500):
-            out = [(0, block, start + k, w, first, places) for block, start, content, first, places in zip(*[b.column(k).to_pylist() for k in range(5)]) for k, w in enumerate(scheme.windows(content))]
-            for at in range(0, len(out), 5_000):
-                yield _run_rows(out[at : at + 5_000])
+    A window lies some units before its gram. Places at each ``step`` units
+    before the gram cut a run into shorter ones, whose windows all hold the
+    size - step + 1 units from such a place on: the prefix of the suffix that
+    starts there. Shorter runs are dealt by it; where a group is still too
+    large, the next of ``scheme.steps`` gives a longer prefix. The last step is
+    1: there the prefix is the whole window, rows of a group that is still too
+    large are equal, and they are added up on the way.
+    """
 
-    rest: DataFrame | None = stored(large.select("block", "start", "content", "first_doc", "places").mapInArrow(windows, RUNS).drop("name"))
+    def shorter(step: int):
+        def cut(batches):
+            from xxhash import xxh3_64_intdigest
+
+            for b in slices(batches, 500):
+                out: list[tuple] = []
+                for name, block, start, content, first, places in zip(*[b.column(k).to_pylist() for k in range(6)]):
+                    _, grams = scheme.grams(content)
+                    units, at = scheme.units(content), np.flatnonzero(grams.view(np.int64) == name)
+                    j = np.arange(scheme.count(content))
+                    gram = at[np.searchsorted(at, j)]  # the first one from the window's start on
+                    k = (gram - j) // step
+                    cuts = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (k[1:] != k[:-1])]))
+                    for a, z, place in zip(cuts.tolist(), [*cuts[1:].tolist(), len(j)], (gram - k * step)[cuts].tolist()):
+                        prefix = xxh3_64_intdigest(scheme.part(units, place, 2 - step), int(k[a])) - (1 << 63)
+                        out.append((name, block, start + a, scheme.part(units, a, z - a), first, places, prefix))
+                for at in range(0, len(out), 5_000):
+                    yield _run_rows(out[at : at + 5_000], {**RUN, "prefix": pa.int64()})
+
+        return cut
+
+    rest: DataFrame | None = large
     parts: list[DataFrame] = []
-    for length in scheme.prefixes:
-        rows = rest.withColumn("prefix", F.xxhash64(scheme.prefix(F.col("content"), length)))
+    for step in scheme.steps:
+        rows = stored(rest.select(*RUN).mapInArrow(shorter(step), f"{RUNS}, prefix long"))
+        read.append(rows)
         few, rest = apart(rows, "prefix", most)
         parts.append(in_groups(few, "prefix", resolve, lot))
         if rest is None:
             break
-        rest = stored(rest.drop("prefix"))
     if rest is not None:
         totals = stored(rest.groupBy("content").agg(fold(F.min("first_doc"), F.sum("places")).cast("long").alias("value")))
+        read.append(totals)
         parts.append(rest.join(sized_broadcast(totals, BROADCAST_ROWS), "content").select("block", "start", F.array("value", F.lit(1).cast("long")).alias("told")))
     out = parts[0]
     for p in parts[1:]:
@@ -426,8 +449,9 @@ def with_spans(rows: DataFrame, scheme, within: bool, resolve: Callable, fold: C
     """
     found = stored(blocks(rows, repeated_names(rows, scheme, within), scheme, within))
     parts = stored(runs(found, scheme))
-    told = stored(told_blocks(resolved(parts, scheme, resolve, fold)))
-    forget(parts)
+    known, read = resolved(parts, scheme, resolve, fold)
+    told = stored(told_blocks(known))
+    forget(parts, *read)
     return told_back(rows, found, told)
 
 
