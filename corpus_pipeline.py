@@ -3,6 +3,14 @@
 Each stage gets what the one before has written. A stage's decisions take
 effect: rejected documents, copies and documents with test items are gone from
 what follows, and repeated passages are cut from the texts.
+
+Defined cases: null and empty texts have too few words and go in the first
+stage, and so does a host with all its documents that the first stage rejects;
+of rows that share a doc_id and belong to one group of copies one stays, and rows
+without a doc_id stay unless a rule or a test item rejects them; of equal
+passages those in the smallest doc_id stay, and a document that loses its last
+word goes; very long texts go through whole; an empty table gives an empty
+result; further columns are kept by all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontaminate, near_copies, pieces, quality_rules, simhash, substring_dedup
-from ridgeline.llm.common import ship, stored, table
+from ridgeline.llm.common import forget, ship, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +56,14 @@ STAGES = [
     ("SentencePiece encoding and decoding", piece_ids),
 ]
 
-#: SQL has no XXH64 fingerprints; a test holds run() against plain Python.
+#: SQL can't encode pieces; a test holds run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    docs = stored(STAGES[0][1](spark, table(spark, sf_dir, "documents"), sf_dir))
+    for _, stage in STAGES[1:-1]:
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
