@@ -12,8 +12,8 @@ recall). Hence candidates come from two sides, and both are verified exactly:
    size), so each document deals those out. Shingles that many documents
    of a sample share come last in the order, so that common passages meet only
    where hardly anything else stands; any order gives the same result.
-3. In each shingle's group the sets are linked to the smallest one that can be
-   near enough by size, and these pairs are verified with those of the trie.
+3. In each shingle's group the sets are paired with the one, of those near enough
+   by size, that has the fewest rarer shingles. Of a set's pairs one is verified, with those of the trie.
    That joins a large group of near copies without its pairs.
 4. In groups with more than one component by then, all other pairs of different
    components are compared by small parities, and those that these allow are
@@ -184,12 +184,13 @@ def _groups(batches, columns: int):
         yield from cut(np.concatenate(lots))
 
 
-def _centres(n: np.ndarray) -> np.ndarray:
-    """For sizes in ascending order the place that each set is linked to first."""
+def _centres(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For sizes in ascending order the place that each set is paired with first:
+    of sets near enough by size that with the fewest rarer shingles, which differs least from the others."""
     out, a = np.empty(len(n), np.int64), 0
     while a < len(n):
         z = int(np.searchsorted(n, n[a] * 5 // 4, side="right"))
-        out[a:z], a = a, z
+        out[a:z], a = a + int(at[a:z].argmin()), z
     return out
 
 
@@ -200,14 +201,15 @@ def _possible(g: np.ndarray, a, b) -> np.ndarray:
 
 
 def _pairs(rows: DataFrame, find, columns: int) -> DataFrame:
+    """Possible pairs (a, b) that ``find`` gives for the groups of ``rows``, repeats included."""
+
     def search(batches):
         held, size = [], 0
         for g in _groups(batches, columns):
             for a, b in find(g):
                 keep = _possible(g, a, b)
-                x, y = g[a, 2][keep], g[b, 2][keep]
-                held.append((np.minimum(x, y), np.maximum(x, y)))
-                size += len(x)
+                held.append((g[a, 2][keep], g[b, 2][keep]))
+                size += int(keep.sum())
                 if size > 20_000 or len(held) > 20_000:
                     yield _batch(held)
                     held, size = [], 0
@@ -215,7 +217,12 @@ def _pairs(rows: DataFrame, find, columns: int) -> DataFrame:
             yield _batch(held)
 
     dealt = rows.repartition("h").sortWithinPartitions("h", "n", "fp")
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+    return dealt.mapInArrow(search, "a long, b long")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, the lesser name first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _batch(held) -> pa.RecordBatch:
@@ -223,21 +230,18 @@ def _batch(held) -> pa.RecordBatch:
 
 
 def _first(g: np.ndarray):
-    centre, own = _centres(g[:, 1]), np.arange(len(g))
+    centre, own = _centres(g[:, 1], g[:, 3]), np.arange(len(g))
     yield centre[centre != own], own[centre != own]
 
 
 def _others(g: np.ndarray):
     """Pairs of different components (column 4) whose parities (the columns
-    after it) allow a link, less those of ``_first``. A group is compared in its
-    task, but only such pairs leave it."""
-    if len(g) < 3:
-        return
-    centre, ends = _centres(g[:, 1]), np.searchsorted(g[:, 1], g[:, 1] * 5 // 4, side="right")
+    after it) allow a link. A group is compared in its task, but only such pairs leave it."""
+    ends = np.searchsorted(g[:, 1], g[:, 1] * 5 // 4, side="right")
     n, root, sketch = g[:, 1], g[:, 4], g[:, 5:].view(np.uint64)
     for a in range(len(g) - 1):
         b = np.arange(a + 1, ends[a])
-        b = b[(root[b] != root[a]) & (centre[b] != a)]
+        b = b[root[b] != root[a]]
         if len(b):
             b = b[9 * np.bitwise_count(sketch[b] ^ sketch[a]).sum(1, dtype=np.int64) <= n[b] + n[a]]
         if len(b):
@@ -284,12 +288,14 @@ def links(docs: DataFrame, named: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Pairs (a, b) of names of linked sets, which make all components."""
 
     rows = stored(_whole_groups(first_shingles(docs), 4))
-    near = stored(verified(print_pairs(named, budget).unionByName(_pairs(rows, _first, 4)).distinct(), docs, named))
+    # of all its groups' centres a set is paired with the most frequent, which most of a group of near copies share
+    centred = _pairs(rows, _first, 4).groupBy("b", "a").agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
+    near = stored(verified(_ordered(print_pairs(named, budget).unionByName(centred.select("a", "b"))), docs, named))
     roots = connected(near)
-    rooted = rows.where("size > 2").join(roots, rows["fp"] == roots["node"], "left").select("h", "n", "fp", "at", F.coalesce("root", "fp").alias("root"))
+    rooted = rows.join(roots, rows["fp"] == roots["node"], "left").select("h", "n", "fp", "at", F.coalesce("root", "fp").alias("root"))
     mixed = _whole_groups(rooted, 5, lambda g: (g[:, 4] != g[0, 4]).any()).drop("size")
     sketched = mixed.join(named.select("fp", *SKETCH).dropDuplicates(["fp"]), "fp").select("h", "n", "fp", "at", "root", *SKETCH)
-    return near.unionByName(verified(_pairs(sketched, _others, 5 + len(SKETCH)), docs, named))
+    return near.unionByName(verified(_ordered(_pairs(sketched, _others, 5 + len(SKETCH))), docs, named))
 
 
 def _whole_groups(rows: DataFrame, columns: int, keep=lambda g: True) -> DataFrame:
