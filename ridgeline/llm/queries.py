@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import workspace
-from . import decontaminate, lm_scoring, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts, toxicity
+from . import decontaminate, lm_scoring, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts, toxicity, vector_codes
 from .common import ship, table
 
 
@@ -63,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query: Callable) -> Callable:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality_rules.SQL.replace("{documents}", "documents").replace("{floor}", str(quality_rules.FLOOR)).replace("{spread}", str(quality_rules.SPREAD)),
         "op6_substring_dedup": substring_dedup.SQL.replace("{documents}", "documents"),
         "op8_suffix_array": suffix_array_dedup.SQL.replace("{documents}", "documents"),
+        "op12_vector_codes": vector_codes.SQL.replace("{embeddings}", "embeddings"),
     }
