@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import workspace
-from . import decontaminate, lm_scoring, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts, toxicity, vector_codes
+from . import decontaminate, lm_scoring, packing, pieces, prefix_trie, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts, toxicity, vector_codes
 from .common import ship, table
 
 
@@ -63,10 +63,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tokenizers()
+    return packing.piece_report(packing.sequences(table(spark, sf_dir, "documents"), t.path("byte_bpe_50k.json"), t.PATTERN))
+
+
 def _shipped(query: Callable) -> Callable:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +95,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality_rules.SQL.replace("{documents}", "documents").replace("{floor}", str(quality_rules.FLOOR)).replace("{spread}", str(quality_rules.SPREAD)),
         "op6_substring_dedup": substring_dedup.SQL.replace("{documents}", "documents"),
         "op8_suffix_array": suffix_array_dedup.SQL.replace("{documents}", "documents"),
+        "op11_prefix_trie": prefix_trie.SQL.replace("{conversations}", "conversations"),
         "op12_vector_codes": vector_codes.SQL.replace("{embeddings}", "embeddings"),
     }

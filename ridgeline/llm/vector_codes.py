@@ -38,7 +38,7 @@ ENTRIES = 64
 ROUNDS = 2
 SCALE = 256
 #: Pieces in a block, and components in a chunk.
-BLOCK = 32
+BLOCK = 16
 CHUNK = 1 << 21
 #: Labels whose sums may be broadcast.
 BROADCAST_ROWS = 200_000
