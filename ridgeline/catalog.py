@@ -145,16 +145,25 @@ def dedupe_keep_last(spark, sf):
     return kept.select("symbol", "date", "px", "disc", "qty")
 
 
-@query(
-    "dirty",
-    """SELECT (SELECT count(*) FROM dirty) AS n_rows, (SELECT count(*) FROM dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS exact_duplicates,
+_COUNTERS = """SELECT (SELECT count(*) FROM dirty) AS n_rows, (SELECT count(*) FROM dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS exact_duplicates,
        (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) - (SELECT count(*) FROM (SELECT DISTINCT symbol, date FROM dirty)) AS key_conflicts,
-       (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty) WHERE adj_close IS NULL) AS null_adj_close""",
-)
+       (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty) WHERE adj_close IS NULL) AS null_adj_close"""
+
+
+@query("dirty", _COUNTERS)
 def clean_counters(spark, sf):
     return clean.cleaning_counters(panel.dirty(spark, sf))
 
 
+@query("dirty", _COUNTERS)
+def observed_counters(spark, sf):
+    """The counters of a cleaning run, observed while its rows are stored."""
+    counters = clean.CleaningCounters()
+    workspace.stored(clean.clean_prices(panel.dirty(spark, sf).withColumn("volume", F.col("volume_text")).drop("volume_text"), counters=counters))
+    found = counters.get()
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{c} long" for c in found))
+
+
 @query(
     "dirty",
     """, once AS (SELECT DISTINCT * FROM dirty)
@@ -173,25 +182,54 @@ def clean_prices(spark, sf):
 # ---- contracts
 
 
-def _rule_sql(table: str, rules: list[tuple[str, str, str]]) -> str:
-    parts = [f"SELECT '{table}' AS table_name, '{c}' AS column_name, '{r}' AS rule, CAST(count(*) FILTER (WHERE {bad}) AS BIGINT) AS failures FROM checked" for c, r, bad in rules]
-    return " UNION ALL ".join(parts)
+_RULES = {
+    contracts.RAW_CONTRACT: (["date", "symbol", "adj_close", "volume", "source", "ingested_at"], ["open", "high", "low", "close", "adj_close"], ["volume"], contracts.OHLC),
+    contracts.CLEAN_CONTRACT: (["date", "symbol", "adj_close", "volume", "is_trading_day", "data_quality_flag", "created_at"], ["adj_close"], ["volume"], ()),
+    contracts.FEATURE_CONTRACT: (["date", "symbol", "created_at"], [], [], ()),
+}
+
+
+def _checked_sql(contract: contracts.Contract, rows: str) -> str:
+    """``given``: whether a value is there; ``checked``: values as numbers, NaN as null."""
+    doubles = [f.name for f in contract.schema.fields if f.dataType.typeName() == "double"]
+    number = [f"CASE WHEN NOT isnan(TRY_CAST({c} AS DOUBLE)) THEN TRY_CAST({c} AS DOUBLE) END AS {c}" for c in doubles]
+    given = [f"{c} IS NOT NULL AND lower(trim(CAST({c} AS VARCHAR))) <> 'nan' AS {c}_given" for c in doubles]
+    return f", came AS ({rows}), checked AS (SELECT * REPLACE ({', '.join(number)}), {', '.join(given)} FROM came) "
+
 
+def _broken(contract: contracts.Contract) -> list[tuple[str, str, str]]:
+    """(column, rule, SQL of what breaks it)."""
+    present, positive, not_negative, ordered = _RULES[contract]
+    kinds = [(f.name, "type", f"{f.name}_given AND {f.name} IS NULL" if f.dataType.typeName() == "double" else "false") for f in contract.schema.fields]
+    doubles = {f.name for f in contract.schema.fields if f.dataType.typeName() == "double"}
+    nulls = [(c, "not_null", f"{c} IS NULL" + f" AND NOT {c}_given" * (c in doubles)) for c in present]
+    return kinds + nulls + [(c, "positive", f"{c} <= 0") for c in positive] + [(c, "not_negative", f"{c} < 0") for c in not_negative] + [(a, f"{s} {b}", f"NOT ({a} {s} {b})") for a, s, b in ordered]
 
-def _rules(present, positive, not_negative, ordered=()) -> list[tuple[str, str, str]]:
-    return [(c, "not_null", f"{c} IS NULL") for c in present] + [(c, "positive", f"{c} <= 0") for c in positive] + [(c, "not_negative", f"{c} < 0") for c in not_negative] + [(a, f"{s} {b}", f"NOT ({a} {s} {b})") for a, s, b in ordered]
+
+def _rule_sql(contract: contracts.Contract, rows: str, where=lambda rule: True) -> str:
+    parts = [f"SELECT '{contract.table}' AS table_name, '{c}' AS column_name, '{r}' AS rule, CAST(count(*) FILTER (WHERE {bad}) AS BIGINT) AS failures FROM checked" for c, r, bad in _broken(contract) if where(r)]
+    return _checked_sql(contract, rows) + " UNION ALL ".join(parts)
+
+
+@query("texts", _rule_sql(contracts.RAW_CONTRACT, "SELECT *, DATE '1970-01-01' AS ingested_at FROM texts"))
+def validate_raw(spark, sf):
+    return contracts.violations(panel.texts(spark, sf), contracts.RAW_CONTRACT)
 
 
 @query(
-    "dirty",
-    ", checked AS (SELECT *, DATE '1970-01-01' AS ingested_at FROM dirty) "
-    + _rule_sql("raw_daily_prices", _rules(["date", "symbol", "adj_close", "volume", "source", "ingested_at"], ["open", "high", "low", "close", "adj_close"], ["volume"], contracts.OHLC)),
+    "texts",
+    _checked_sql(contracts.RAW_CONTRACT, "SELECT *, DATE '1970-01-01' AS ingested_at, symbol || '/' || strftime(date, '%Y-%m-%d') || '/' || source AS key FROM texts")
+    + " UNION ALL ".join(
+        f"SELECT '{contracts.RAW_CONTRACT.table}' AS table_name, '{c}' AS column_name, '{r}' AS rule, CAST(count(*) FILTER (WHERE {bad}) AS BIGINT) AS failures, coalesce(array_to_string(list_sort(list_distinct(list(key) FILTER (WHERE {bad})))[:5], '; '), '') AS cases FROM checked"
+        for c, r, bad in _broken(contracts.RAW_CONTRACT)
+    ),
 )
-def validate_raw(spark, sf):
-    return contracts.violations(panel.dirty(spark, sf), contracts.RAW_CONTRACT)
+def contract_cases(spark, sf):
+    """Each rule of the raw contract with its failures and the first keys that break it."""
+    return contracts.cases(panel.texts(spark, sf), contracts.RAW_CONTRACT).withColumn("cases", F.array_join("cases", "; "))
 
 
-@query("dirty", ", checked AS (SELECT * FROM dirty) " + _rule_sql("raw_daily_prices", _rules([], [], [], contracts.OHLC)))
+@query("dirty", _rule_sql(contracts.RAW_CONTRACT, "SELECT *, DATE '1970-01-01' AS ingested_at FROM dirty", lambda rule: rule[1] == "="))
 def ohlc_violations(spark, sf):
     found = contracts.violations(panel.dirty(spark, sf), contracts.RAW_CONTRACT)
     return found.where(F.col("rule").rlike("^[<>]="))
@@ -202,16 +240,12 @@ def duplicate_keys(spark, sf):
     return contracts.duplicate_keys(panel.dirty(spark, sf), RAW_KEY)
 
 
-@query(
-    "dirty",
-    ", checked AS (SELECT DISTINCT *, true AS is_trading_day, 'ok' AS data_quality_flag, DATE '1970-01-01' AS created_at FROM dirty) "
-    + _rule_sql("clean_daily_prices", _rules(["date", "symbol", "adj_close", "volume", "is_trading_day", "data_quality_flag", "created_at"], ["adj_close"], ["volume"])),
-)
+@query("dirty", _rule_sql(contracts.CLEAN_CONTRACT, "SELECT DISTINCT *, NULL::DOUBLE AS return_1d, NULL::DOUBLE AS log_return_1d, true AS is_trading_day, 'ok' AS data_quality_flag, DATE '1970-01-01' AS created_at FROM dirty"))
 def validate_clean(spark, sf):
     return contracts.violations(clean.clean_prices(panel.dirty(spark, sf)), contracts.CLEAN_CONTRACT)
 
 
-@query("features", ", checked AS (SELECT *, 1 AS created_at FROM features) " + _rule_sql("asset_daily_features", _rules(["date", "symbol", "created_at"], [], [])))
+@query("features", _rule_sql(contracts.FEATURE_CONTRACT, "SELECT *, 1 AS created_at FROM features"))
 def validate_features(spark, sf):
     return contracts.violations(_features(spark, sf), contracts.FEATURE_CONTRACT)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import number, ratio_less_one
@@ -53,12 +53,27 @@ def quality_flag(price: str = "adj_close") -> Column:
     return F.when(F.col(price).isNull(), "missing_adj_close").otherwise("ok")
 
 
-def clean_prices(raw: DataFrame, created_at: datetime | None = None) -> DataFrame:
+class CleaningCounters:
+    """What a run of ``clean_prices`` drops, observed on the way; ``get`` waits for its action."""
+
+    def __init__(self):
+        self.all, self.distinct, self.kept = Observation(), Observation(), Observation()
+
+    def get(self) -> dict[str, int]:
+        n, distinct, kept = self.all.get["n"], self.distinct.get, self.kept.get["n"]
+        return {"n_rows": n, "exact_duplicates": n - distinct["n"], "key_conflicts": distinct["n"] - kept, "null_adj_close": distinct["nulls"]}
+
+
+def clean_prices(raw: DataFrame, created_at: datetime | None = None, counters: CleaningCounters | None = None) -> DataFrame:
     """The clean table. Dealing by symbol first lets both duplicate steps and
-    the windows that follow share one exchange."""
+    the windows that follow share one exchange. ``counters`` are taken after it,
+    where a task that is run again isn't counted twice."""
     require(raw.columns, INPUT, "clean_prices")
-    df = coerced(normalized_names(raw)).repartition("symbol")
-    df = with_returns(keep_last(drop_exact_duplicates(df)))
+    n = F.count(F.lit(1)).alias("n")
+    seen = lambda df, where, *more: df.observe(where, n, *more) if counters else df
+    df = seen(coerced(normalized_names(raw)).repartition("symbol"), counters and counters.all)
+    df = seen(drop_exact_duplicates(df), counters and counters.distinct, F.count_if(F.col("adj_close").isNull()).alias("nulls"))
+    df = with_returns(seen(keep_last(df), counters and counters.kept))
     df = df.withColumns({"data_quality_flag": quality_flag(), "is_trading_day": F.lit(True), "created_at": F.lit(created_at or run_time())})
     return df.select(*CLEAN.names)
 

@@ -48,6 +48,21 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("_copy", F.explode(F.when(day == 19, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_copy")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dirty`` as it may land: prices as text, some of which are no numbers, and NaN."""
+    day = F.dayofmonth("date")
+    text = lambda c: F.col(c).cast("string")
+    return dirty(spark, sf_dir).withColumns(
+        {
+            "open": F.when(day == 3, "n/a").when(day == 4, "NaN").otherwise(text("open")),
+            "adj_close": F.when(day == 5, " nan ").when(day == 6, "12,5").otherwise(text("adj_close")),
+            "close": F.when(day == 8, F.lit(float("nan"))).otherwise(F.col("close")),
+            "volume": F.when(day == 9, "many").otherwise(text("volume")),
+            "dividends": F.when(day == 10, "-").otherwise(text("dividends")),
+        }
+    )
+
+
 _TICKS = """ticks AS (
   SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS px, l_discount AS disc,
          l_quantity AS qty, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax
@@ -64,6 +79,12 @@ _DIRTY = """dirty AS (
          CASE WHEN day(date) = 13 THEN -volume ELSE volume END AS volume, dividends, stock_splits, source,
          CASE WHEN day(date) = 23 THEN 'n/a' ELSE CAST(CAST(volume AS BIGINT) AS VARCHAR) END AS volume_text
   FROM bars CROSS JOIN range(1, 3) AS copies(k) WHERE k = 1 OR day(date) = 19)"""
+_TEXTS = """texts AS (
+  SELECT * REPLACE (CASE day(date) WHEN 3 THEN 'n/a' WHEN 4 THEN 'NaN' ELSE CAST(open AS VARCHAR) END AS open,
+         CASE day(date) WHEN 5 THEN ' nan ' WHEN 6 THEN '12,5' ELSE CAST(adj_close AS VARCHAR) END AS adj_close,
+         CASE WHEN day(date) = 8 THEN 'NaN'::DOUBLE ELSE close END AS close,
+         CASE WHEN day(date) = 9 THEN 'many' ELSE CAST(volume AS VARCHAR) END AS volume, CASE WHEN day(date) = 10 THEN '-' ELSE CAST(dividends AS VARCHAR) END AS dividends)
+  FROM dirty)"""
 _CLEAN = """clean AS (
   SELECT date, symbol, open, high, low, close, adj_close, volume,
          adj_close / nullif(lag(adj_close) OVER s, 0) - 1 AS return_1d,
@@ -83,8 +104,8 @@ _FEATURES = """features AS (
   FROM clean
   WINDOW s AS (PARTITION BY symbol ORDER BY date), w21 AS (PARTITION BY symbol ORDER BY date ROWS 20 PRECEDING),
          w63 AS (PARTITION BY symbol ORDER BY date ROWS 62 PRECEDING))"""
-_CTES = {"ticks": _TICKS, "bars": _BARS, "dirty": _DIRTY, "clean": _CLEAN, "features": _FEATURES}
-_NEEDS = {"ticks": ["ticks"], "bars": ["ticks", "bars"], "dirty": ["ticks", "bars", "dirty"], "clean": ["ticks", "bars", "clean"], "features": ["ticks", "bars", "clean", "features"]}
+_CTES = {"ticks": _TICKS, "bars": _BARS, "dirty": _DIRTY, "texts": _TEXTS, "clean": _CLEAN, "features": _FEATURES}
+_NEEDS = {"ticks": ["ticks"], "bars": ["ticks", "bars"], "dirty": ["ticks", "bars", "dirty"], "texts": ["ticks", "bars", "dirty", "texts"], "clean": ["ticks", "bars", "clean"], "features": ["ticks", "bars", "clean", "features"]}
 
 
 def sql(panel: str, select: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -9,8 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clean import clean_prices, run_time
-from ..operators.contracts import CLEAN_CONTRACT, FEATURE_CONTRACT, RAW_CONTRACT, validate
+from ..operators.clean import CleaningCounters, clean_prices, run_time
+from ..operators.contracts import CLEAN_CONTRACT, FEATURE_CONTRACT, RAW_CONTRACT, Watch, validate
 from ..operators.features import asset_features
 from .. import workspace
 from ..schemas import CLEAN_STORED, FEATURES_STORED, RAW_STORED
@@ -18,6 +19,9 @@ from ..sources import config, lake
 from ..sources.vendor import restricted
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Lake:
     """Folders of the layers and of the validation reports."""
@@ -39,15 +43,17 @@ def ingest(spark: SparkSession, fetch: Callable, symbols: list[str], start, end,
 def daily_job(spark: SparkSession, fetch: Callable, symbols: list[str], start, end, at: Lake, interval: str = "1d") -> DataFrame:
     """Fetch, store, check, clean, check, store, compute features, check, store; returns the feature layer.
 
-    Each layer is written once and checked from what is stored, so nothing is
-    computed twice. The clean and feature layers are checked at a staging
-    folder and reach their own only when they keep their contracts.
+    The raw layer is checked from what is stored. The clean and feature layers are
+    checked while they are written to a staging folder, without a scan for it, and
+    reach their own only when they keep their contracts.
     """
     now = run_time()
     ingest(spark, fetch, symbols, start, end, at.raw, interval)
     stored = restricted(lake.read_dataset(spark, at.raw, RAW_STORED), symbols, start, end)
     raw = validate(stored.where(F.col("year").between(F.year(F.lit(start).cast("date")), F.year(F.lit(end).cast("date")))), RAW_CONTRACT, at.reports, now)
-    clean = _gated(spark, clean_prices(raw, now), at.clean, CLEAN_STORED, CLEAN_CONTRACT, at.reports, now)
+    counters = CleaningCounters()
+    clean = _gated(spark, clean_prices(raw, now, counters), at.clean, CLEAN_STORED, CLEAN_CONTRACT, at.reports, now)
+    log.info("clean_prices: %s", counters.get())
     features = _gated(spark, asset_features(clean, now), at.features, FEATURES_STORED, FEATURE_CONTRACT, at.reports, now)
     lake.create_views(spark, {"raw_daily_prices": at.raw, "clean_daily_prices": at.clean, "asset_daily_features": at.features})
     return features
@@ -62,10 +68,12 @@ def run_from_settings(spark: SparkSession, fetch: Callable, settings_path: str,
 
 def _gated(spark, df: DataFrame, path: str, schema, contract, reports, now) -> DataFrame:
     staging = f"{path}_staging_{uuid.uuid4().hex}"
-    df.write.parquet(staging)
+    watch = Watch(df, contract)
+    watch.frame.write.parquet(staging)
+    written = spark.read.schema(df.schema).parquet(staging)
     try:
-        checked = validate(spark.read.schema(df.schema).parquet(staging), contract, reports, now)
-        lake.write_by_year(checked, path)
+        watch.settle(written, reports, now)
+        lake.write_by_year(written, path)
     finally:
         workspace.drop(spark, staging)
     return lake.read_dataset(spark, path, schema)
