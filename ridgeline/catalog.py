@@ -109,6 +109,12 @@ def asset_features(spark, sf):
     return explore.rounded(_features(spark, sf).drop("created_at"))
 
 
+@query("features", f"SELECT symbol, date, {_r(FEATURE_NAMES)} FROM features")
+def blocked_features(spark, sf):
+    """The feature table with every symbol dealt in blocks of some two years."""
+    return explore.rounded(feats.asset_features(workspace.stored(_clean(spark, sf)), block_rows=512).drop("created_at"))
+
+
 # ---- cleaning
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import CleaningCounters, clean_prices, run_time
 from ..operators.contracts import CLEAN_CONTRACT, FEATURE_CONTRACT, RAW_CONTRACT, Watch, validate
-from ..operators.features import asset_features
+from ..operators.features import BLOCK_ROWS, asset_features
 from .. import workspace
 from ..schemas import CLEAN_STORED, FEATURES_STORED, RAW_STORED
 from ..sources import config, lake
@@ -54,7 +54,7 @@ def daily_job(spark: SparkSession, fetch: Callable, symbols: list[str], start, e
     counters = CleaningCounters()
     clean = _gated(spark, clean_prices(raw, now, counters), at.clean, CLEAN_STORED, CLEAN_CONTRACT, at.reports, now)
     log.info("clean_prices: %s", counters.get())
-    features = _gated(spark, asset_features(clean, now), at.features, FEATURES_STORED, FEATURE_CONTRACT, at.reports, now)
+    features = _gated(spark, asset_features(clean, now, BLOCK_ROWS), at.features, FEATURES_STORED, FEATURE_CONTRACT, at.reports, now)
     lake.create_views(spark, {"raw_daily_prices": at.raw, "clean_daily_prices": at.clean, "asset_daily_features": at.features})
     return features
 

@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 import pytest
 
+from ridgeline import workspace
 from ridgeline.operators import features
 from ridgeline.schemas import FEATURES
 
@@ -88,3 +89,42 @@ def test_no_lookahead(spark):
 def test_one_exchange(spark, capsys):
     features.asset_features(panel(spark, [1.0, 2.0])).explain()
     assert capsys.readouterr().out.count("Exchange") == 1
+
+
+def long_symbol(spark, rows, symbol="LONG", parts=8):
+    """A price a day from year 1 on; some are null."""
+    from pyspark.sql import functions as F
+
+    day = spark.range(0, rows, 1, parts)
+    price = F.when(day["id"] % 997 == 5, None).otherwise(100 + F.pmod(F.xxhash64(F.lit(symbol), "id"), F.lit(1000)) / 100 + F.col("id") % 91)
+    out = day.select(F.date_add(F.lit("0001-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.lit(symbol).alias("symbol"), price.alias("adj_close"), (F.col("id") % 1013).cast("double").alias("volume"))
+    return out.withColumn("return_1d", F.col("adj_close") / 1000).withColumn("log_return_1d", F.col("return_1d") / 2)
+
+
+def differences(a, b):
+    """Rows of either table that the other lacks, to eight digits."""
+    from ridgeline.operators.explore import rounded
+
+    x, y = (rounded(d.drop("created_at")) for d in (a, b))
+    return x.exceptAll(y).count() + y.exceptAll(x).count()
+
+
+def test_blocks_equal_whole_series(spark):
+    short = [long_symbol(spark, n, f"S{n}", 2) for n in (1, 4, 70, 700, 1500, 4000)]
+    rows = short[0]
+    for s in short[1:]:
+        rows = rows.union(s)
+    sparse = long_symbol(spark, 900_000, "SPARSE", 2).where("date_format(date, 'MMdd') in ('0101', '0301') or symbol is null")  # two rows a year
+    rows = rows.union(sparse).union(spark.createDataFrame([(None, "S4000", 5.0, 1.0, 0.1, 0.1), (None, None, 5.0, 1.0, 0.1, 0.1), (DAY, None, 6.0, 1.0, 0.1, 0.1)], INPUT))
+    assert differences(features.asset_features(rows), features.asset_features(rows, block_rows=512)) == 0
+
+
+def test_a_symbol_of_two_million_rows(spark):
+    rows = workspace.stored(long_symbol(spark, 2_000_000))
+    out = features.asset_features(rows, block_rows=100_000)
+    dealt = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(symbol" in dealt and all("_block" in x.split(")")[0] for x in dealt.split("hashpartitioning(symbol")[1:])  # no exchange gathers a symbol
+    blocks = features.long_years(rows, 100_000)
+    sizes = [r["count"] for r in rows.withColumn("_year", features.F.year("date")).join(blocks, ["symbol", "_year"]).select(features.F.explode("_blocks").alias("b")).groupBy("b").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 102_000
+    assert differences(features.asset_features(rows), out) == 0
