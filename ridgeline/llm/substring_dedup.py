@@ -76,7 +76,7 @@ class WordWindows:
     """Windows of ``size`` words, named by grams of ``gram`` words."""
 
     def __init__(self, size: int = 13, gram: int = 5):
-        self.size, self.gram, self.width = size, gram, size - gram + 1
+        self.size, self.gram, self.width, self.steps = size, gram, size - gram + 1, winnow.steps(size, 2)
 
     def grams(self, text: bytes) -> tuple[tuple, np.ndarray]:
         starts, ends, hashes = word_hashes(text)
@@ -92,9 +92,6 @@ class WordWindows:
     def part(self, units: list[bytes], start: int, windows: int) -> bytes:
         return b" ".join(units[start : start + windows + self.size - 1])
 
-    #: Steps that split a large group: prefixes of 10, 12 and 13 of 13 words.
-    steps = (4, 2, 1)
-
     def count(self, content: bytes) -> int:
         return content.count(b" ") + 2 - self.size
 

@@ -41,7 +41,7 @@ class ByteWindows:
     """Windows of ``size`` bytes, named by grams of ``gram`` bytes."""
 
     def __init__(self, size: int = 200, gram: int = 64):
-        self.size, self.gram, self.width = size, gram, size - gram + 1
+        self.size, self.gram, self.width, self.steps = size, gram, size - gram + 1, winnow.steps(size, 4)
 
     def grams(self, text: bytes) -> tuple[bytes, np.ndarray]:
         return text, winnow.gram_hashes(BYTE_HASH[np.frombuffer(text, np.uint8)], self.gram)
@@ -54,9 +54,6 @@ class ByteWindows:
 
     part = content
 
-    #: Steps that split a large group: prefixes of 137, 185, 197 and 200 of 200 bytes.
-    steps = (64, 16, 4, 1)
-
     def count(self, content: bytes) -> int:
         return len(content) - self.size + 1
 
