@@ -17,7 +17,8 @@ recall). Hence candidates come from two sides, and both are verified exactly:
    That joins a large group of near copies without its pairs.
 4. In groups with more than one component by then, all other pairs of different
    components are compared by small parities, and those that these allow are
-   verified. Nothing but such pairs leaves a group's task.
+   verified. Nothing but such pairs leaves a group's task. A group of more than
+   20,000 sets is cut into parts, and each two parts are compared in a task of their own.
 
 Before a pair is verified, the parities of both sets' shingles over two to four
 cells for each shingle are held against each other: they differ in no more
@@ -29,8 +30,8 @@ so are shingles; equal sets are one.
 Defined cases: words are those of ``simhash``; one to four words are one
 shingle; documents without words (null, empty) are copies of each other;
 repeated rows and rows that share a doc_id each keep a row; very long texts
-have as many shingles as they have, none is left out; an empty table gives an
-empty result.
+have as many shingles as they have, none is left out; further columns, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ COMMON = 8
 MOST = 200_000
 #: Cells of the parities that are compared within a shingle's group.
 SMALL = 256
+#: Rows of a shingle's group that are compared in one task.
+MOST_ROWS = 20_000
 SKETCH = [f"s{k}" for k in range(SMALL // 64)]
 
 
@@ -235,19 +238,36 @@ def _first(g: np.ndarray):
 
 
 def _others(g: np.ndarray):
-    """Pairs of different components (column 4) whose parities (the columns
-    after it) allow a link. A group is compared in its task, but only such pairs leave it."""
-    ends = np.searchsorted(g[:, 1], g[:, 1] * 5 // 4, side="right")
-    n, root, sketch = g[:, 1], g[:, 4], g[:, 5:].view(np.uint64)
-    for a in range(len(g) - 1):
-        b = np.arange(a + 1, ends[a])
-        b = b[root[b] != root[a]]
+    """Pairs of different components (column 4) whose parities (the columns after
+    5) allow a link; of a group that was cut, pairs of its two sides (column 5).
+
+    One of each such pair is outside the largest component, so a large group
+    of near copies costs its size times the number of the others."""
+    n, root, side, sketch = g[:, 1], g[:, 4], g[:, 5], g[:, 6:].view(np.uint64)
+    kinds, count = np.unique(root, return_counts=True)
+    large = root == kinds[count.argmax()]
+    starts, ends = np.searchsorted(n, -(-4 * n // 5)), np.searchsorted(n, n * 5 // 4, side="right")
+    cut = (side != side[0]).any()
+    for a in np.flatnonzero(~large).tolist():
+        b = np.arange(starts[a], ends[a])
+        keep = (root[b] != root[a]) & (large[b] | (b > a))
+        b = b[keep & (side[b] != side[a])] if cut else b[keep]
         if len(b):
             b = b[9 * np.bitwise_count(sketch[b] ^ sketch[a]).sum(1, dtype=np.int64) <= n[b] + n[a]]
         if len(b):
             yield np.full(len(b), a), b
 
 
+def cut_groups(mixed: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """(h, n, fp, at, root, side, ...): groups of more than ``most`` rows are cut into parts, and each
+    two parts meet in a group of their own, so that no task compares a whole one."""
+    parts = F.ceil(F.col("size") / most).cast("int")
+    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("h", F.least("own", k), F.greatest("own", k)))
+    dealt = mixed.withColumn("parts", parts).withColumn("own", own).withColumn("h", F.explode(F.when(F.col("parts") > 1, meets).otherwise(F.array("h"))))
+    return dealt.select("h", "n", "fp", "at", "root", F.when(F.col("parts") > 1, F.col("own")).otherwise(0).cast("long").alias("side"))
+
+
 def likely(pairs: DataFrame, named: DataFrame) -> DataFrame:
     """The pairs whose sizes and parities allow a link."""
 
@@ -293,9 +313,9 @@ def links(docs: DataFrame, named: DataFrame, budget: int = BUDGET) -> DataFrame:
     near = stored(verified(_ordered(print_pairs(named, budget).unionByName(centred.select("a", "b"))), docs, named))
     roots = connected(near)
     rooted = rows.join(roots, rows["fp"] == roots["node"], "left").select("h", "n", "fp", "at", F.coalesce("root", "fp").alias("root"))
-    mixed = _whole_groups(rooted, 5, lambda g: (g[:, 4] != g[0, 4]).any()).drop("size")
-    sketched = mixed.join(named.select("fp", *SKETCH).dropDuplicates(["fp"]), "fp").select("h", "n", "fp", "at", "root", *SKETCH)
-    return near.unionByName(verified(_ordered(_pairs(sketched, _others, 5 + len(SKETCH))), docs, named))
+    mixed = cut_groups(_whole_groups(rooted, 5, lambda g: (g[:, 4] != g[0, 4]).any()), MOST_ROWS)
+    sketched = mixed.join(named.select("fp", *SKETCH).dropDuplicates(["fp"]), "fp").select("h", "n", "fp", "at", "root", "side", *SKETCH)
+    return near.unionByName(verified(_ordered(_pairs(sketched, _others, 6 + len(SKETCH))), docs, named))
 
 
 def _whole_groups(rows: DataFrame, columns: int, keep=lambda g: True) -> DataFrame:

@@ -225,10 +225,11 @@ def test_parities_bound_the_difference():
         assert near_copies.differing(*found) <= len(a ^ b) and near_copies.differing(found[0], found[0]) == 0
 
 
-@pytest.mark.parametrize("common", [8, 1])
-def test_near_copies(spark, docs, empty, common, monkeypatch):
-    """Components of Jaccard similarity 0.8 against all pairs, with few or most shingles put last."""
+@pytest.mark.parametrize("common,most", [(8, 20_000), (1, 20_000), (1, 5)])
+def test_near_copies(spark, docs, empty, common, most, monkeypatch):
+    """Components of Jaccard similarity 0.8 against all pairs, with few or most shingles put last, and with groups cut."""
     monkeypatch.setattr(near_copies, "COMMON", common)
+    monkeypatch.setattr(near_copies, "MOST_ROWS", most)
     monkeypatch.setattr(near_copies, "SAMPLE", 1 if common == 1 else 16)
     r, rows = random.Random(9), [(d, t) for d, t, _ in ROWS if d is not None]
     for k in range(12):
@@ -247,6 +248,21 @@ def test_near_copies(spark, docs, empty, common, monkeypatch):
     assert near_copies.components(empty).count() == 0 and near_copies.components(docs).count() == len(ROWS)
 
 
+def test_a_large_group_of_near_copies(spark):
+    """5,000 texts a word apart from one, and 40 others that share a passage with all of them."""
+    r = random.Random(4)
+    base, passage = prose(70, 900).split(), [f"p{k}" for k in range(12)]
+    texts = []
+    for k in range(5000):
+        own = [*base]
+        own[r.randrange(70)] = f"x{k}"
+        texts.append(own + passage)
+    texts += [[f"y{k}-{j}" for j in range(70)] + passage for k in range(40)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    got = {x.doc_id: x.component_id for x in near_copies.components(df).collect()}
+    assert got == {k: 0 if k < 5000 else k for k in range(5040)}
+
+
 @pytest.mark.parametrize("most,deep", [(20_000, 8), (2, 8), (1, 3)])
 def test_trie_pairs_cut_and_not(spark, most, deep):
     r = random.Random(4)
