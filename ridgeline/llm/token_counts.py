@@ -36,7 +36,7 @@ class _PieceCounts(dict):
 
     def __missing__(self, piece: str) -> int:
         n = len(self.encoding.encode_ordinary(" " + piece))
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(piece) < 64:
             self[piece] = n
         return n
 
