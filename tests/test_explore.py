@@ -1,5 +1,8 @@
 """Exploratory analytics against small hand-made tables."""
 
+import math
+import random
+import statistics
 from datetime import date, timedelta
 
 import pytest
@@ -72,12 +75,54 @@ def test_density_is_about_one(spark):
 
 def test_percentiles_of_ties_and_of_one_value(spark):
     df = spark.createDataFrame([(float(v),) for v in [5, 1, 1, 1, 2, 9, 9, 3]], "v double")
-    q = explore.percentiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0], pieces=3).first().q
+    q = explore.percentiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0], read_out=1).first().q
     assert q == pytest.approx([1.0, 1.0, 2.5, 9.0, 9.0])
     assert explore.percentiles(df.limit(1), "v", [0.5]).first().q[0] in (5.0, 1.0, 2.0, 9.0, 3.0)
     assert explore.percentiles(df.limit(0), "v", [0.5]).first().q == [None]
 
 
+@pytest.mark.parametrize("read_out", [0, 300, 65_536])
+def test_percentiles_of_any_doubles(spark, read_out):
+    """Selection over one to four rounds gives what sorting gives, for values of all sizes and signs."""
+    r = random.Random(read_out)
+    own = [r.choice([-1, 1]) * 10 ** r.uniform(-300, 300) for _ in range(300)] + [1 + r.randrange(9) * 2**-52 for _ in range(400)] + [0.0, -0.0, 5e-324, -5e-324, float("inf"), float("-inf")] + [r.gauss(0, 1) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in own] + [(None,)] * 5, "v double").repartition(5)
+    shares = [0.0, 0.001, 0.1, 0.25, 0.333, 0.5, 0.501, 0.9, 0.999, 1.0]
+    ordered = sorted(own)
+    for share, got in zip(shares, explore.percentiles(df, "v", shares, read_out=read_out).first().q):
+        p = share * (len(own) - 1)
+        lo, hi = ordered[math.floor(p)], ordered[math.ceil(p)]
+        want = lo + (hi - lo) * (p - math.floor(p))
+        assert got == want or math.isnan(got) and math.isnan(want)
+
+
+def test_percentile_rounds_are_small(spark, monkeypatch):
+    """A round's counts are of what lies in the wanted buckets only."""
+    seen, counts = [], explore._digit_counts
+    monkeypatch.setattr(explore, "_digit_counts", lambda *a: seen.append(counts(*a)) or seen[-1])
+    df = spark.range(200_000).select((F.rand(3) + 1).alias("v"))
+    explore.percentiles(df, "v", [0.5], read_out=100)
+    assert len(seen) == 3 and len(seen[0]) == 16 and sum(seen[1].values()) < 2 * 200_000 / 16 * 1.1 and len(seen[1]) <= 65_536 and sum(seen[2].values()) < 100
+
+
+def test_density_equals_the_sum_of_kernels(spark):
+    r = random.Random(1)
+    series = {"A": [r.gauss(0, 0.02) for _ in range(900)] + [3.0, -2.0], "B": [5.0, 5.0, 6.0], "C": [1.0] * 4, "D": [2.0], "E": [r.choice([0.0, 1e6]) for _ in range(50)]}
+    out = explore.density(table(spark, series)).collect()
+    assert {x.symbol for x in out} == {"A", "B", "E"} and len(out) == 600
+    facts = {s: statistics.stdev(v) * len(v) ** -0.2 for s, v in series.items() if len(v) > 1}
+    for x in out:
+        own, bw = series[x.symbol], facts[x.symbol]
+        want = sum(math.exp(-(((x.x - v) / bw) ** 2) / 2) for v in own) / len(own)
+        assert x.density * bw * math.sqrt(2 * math.pi) == pytest.approx(want, abs=1e-12)
+
+
+def test_a_second_value_of_a_day_raises(spark):
+    df = table(spark, {"A": [0.1, 0.2], "B": [0.3, 0.1]})
+    with pytest.raises(Exception, match="duplicate entries"):
+        explore.correlation_matrix(df.union(df.limit(1))).collect()
+
+
 def test_correlation_in_several_blocks(spark):
     """Blocks of symbols and dates of several years give what one block does."""
     rows = [(f"S{s}", DAY + timedelta(40 * k), ((s * 7 + k * k) % 11) / 10) for s in range(9) for k in range(30) if (s + k) % 6]
