@@ -18,8 +18,10 @@ have their smoothed training counts.
    to its parts by their counts.
 4. Features are hashed to ``table_rows`` rows, a number that grows with the
    training tokens up to a bound. What was seen of each row and class is summed over
-   all training texts; then, round by round, what the weights expect, and the
-   weights move towards making the two equal. Sums go through two levels.
+   all training texts, which gives the first weights. Then each round sums the gradient
+   over another part of the texts and takes a step up their likelihood, less a penalty
+   on large weights. The weights that suit a part that was set aside best are kept.
+   Sums go through two levels.
 5. All texts are scored in numpy batches. Tokens beyond the head are scored by
    a join of (document, token) with the counts.
 
@@ -55,7 +57,11 @@ ANCHORS = 128
 CLASSES = 32
 PARTS = 32
 NEAR = (1, 2, 3)
-ROUNDS = 2
+ROUNDS, SHARDS = 4, 4
+#: One in so many training texts only tells which round's weights are best.
+CHECK = 16
+#: Training tokens that a task may read in a pass.
+TASK_TOKENS = 1 << 26
 #: Weights stay within it either way: five of them are within what a float32 exponential can hold.
 LIMIT = 16.0
 #: A row of a weight table for so many training tokens; least and largest number of rows.
@@ -390,30 +396,50 @@ def seen_sums(train: DataFrame, layout) -> list[np.ndarray]:
     return _table(added_up(train.mapInArrow(count, SUMS)), shapes(layout.value.rows))
 
 
-def expected_sums(train: DataFrame, layout, weights: list[np.ndarray]) -> list[np.ndarray]:
-    """How often the weights expect each row to meet each outcome, for both tables."""
-    shared = train.sparkSession.sparkContext.broadcast(weights)
+def gradient_sums(train: DataFrame, layout, shared) -> list[np.ndarray]:
+    """How much more often each row met each outcome than the weights expect, for both tables."""
 
     def count(batches):
-        lay, (w1, w2) = layout.value, shared.value
-        sums = [np.zeros(shape) for shape in shapes(lay.rows)]
+        lay, weights = layout.value, shared.value
+        sums = [np.zeros(shape, np.float32) for shape in shapes(lay.rows)]
+        everywhere = [np.zeros((1, CLASSES)), np.zeros((CLASSES, PARTS))]  # the last rows, which all tokens switch on
         for codes, start, _ in _lots(batches, 0):
-            _, _, f1, f2 = lay(codes, start)
-            for total, f, w in zip(sums, (f1, f2), (w1, w2)):
-                for at in range(0, f.shape[1], CHUNK):  # a long text in pieces
-                    some = f[:, at : at + CHUNK]
-                    p = np.exp(log_softmax(w, some)).astype(float)
-                    for k in some:
-                        _rows_added(total, k, p)
-        for k in (0, 1):
-            yield from _pieces(sums[k], k)
-
-    out = _table(added_up(train.mapInArrow(count, SUMS)), shapes(layout.value.rows))
-    shared.unpersist()
-    return out
+            cls, part, f1, f2 = lay(codes, start)
+            for at in range(0, len(codes), CHUNK):  # a long text in pieces
+                own = slice(at, at + CHUNK)
+                token, of = np.arange(len(codes[own])), cls[own]
+                which = np.zeros((len(of), CLASSES), np.float32)
+                which[token, of] = 1.0
+                for total, last, f, w, met, kind in zip(sums, everywhere, (f1[:, own], f2[:, own]), weights, (of, part[own]), (np.ones((len(of), 1), np.float32), which)):
+                    more = -np.exp(log_softmax(w, f))
+                    more[token, met] += 1.0
+                    last += kind.T @ more
+                    for k in f[:-1]:
+                        _rows_added(total, k, more)
+        for k, (total, last) in enumerate(zip(sums, everywhere)):
+            total[-len(last) :] += last.astype(np.float32)
+            yield from _pieces(total, k)
+
+    return _table(added_up(train.mapInArrow(count, SUMS)), shapes(layout.value.rows))
+
 
+def log_likelihood(texts: DataFrame, layout, shared) -> float | None:
+    """Log10 probability a token of the classes and parts of ``texts`` (codes); None without a text."""
 
-def first_weights(seen: list[np.ndarray], prior: float = 20.0, share: float = 0.4) -> list[np.ndarray]:
+    def total(batches):
+        lay, weights, nothing = layout.value, shared.value, np.zeros(CLASSES * PARTS)
+        score, n = 0.0, 0
+        for codes, start, row in _lots(batches, 0):
+            none = np.zeros(int(codes.max(initial=0)) + 2)
+            found, _, _, size = score_lot(codes, start, row, lay, weights, nothing, none, none)
+            score, n = score + float(found.sum()), n + int(size.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([score]), pa.array([n], pa.int64())], ["score", "n"])
+
+    r = texts.mapInArrow(total, "score double, n long").agg(F.sum("score").alias("score"), F.sum("n").alias("n")).first()
+    return r["score"] / r["n"] if r["n"] else None
+
+
+def first_weights(seen: list[np.ndarray], prior: float = 30.0, share: float = 0.5) -> list[np.ndarray]:
     """Log shares of the outcomes in the rows that hold everywhere; in all others
     ``share`` of the log ratio to them, less where little was seen."""
     out = []
@@ -430,16 +456,37 @@ def first_weights(seen: list[np.ndarray], prior: float = 20.0, share: float = 0.
     return out
 
 
-def next_weights(weights: list[np.ndarray], seen: list[np.ndarray], expected: list[np.ndarray], rate: float = 0.25, prior: float = 15.0) -> list[np.ndarray]:
-    """A gradient step, scaled row by row: the log ratio of what was seen to what
-    was expected, shrunk by ``prior`` expected tokens more."""
+def next_weights(weights: list[np.ndarray], seen: list[np.ndarray], gradient: list[np.ndarray], shards: int, rate: float = 0.4, penalty: float = 5.0, steady: float = 6.0) -> list[np.ndarray]:
+    """A step up the penalised likelihood of one round's texts, which are 1 / ``shards`` of all:
+    the gradient less ``penalty`` times the weight (a Gaussian prior; rows that hold everywhere have
+    none), over what such texts have seen of the outcome and a little more. A weight moves by 0.7 at most."""
     out = []
-    for w, s, e in zip(weights, seen, expected):
-        extra = prior * (e + 1e-6) / (e.sum(1, keepdims=True) + 1e-6 * e.shape[1])
-        out.append(np.clip(w + rate * np.log((s + extra) / (e + extra)), -LIMIT, LIMIT).astype(np.float32))
+    for k, (w, s, g) in enumerate(zip(weights, seen, gradient)):
+        own = np.full((len(w), 1), penalty / shards)
+        own[-(CLASSES if k else 1) :] = 0.0
+        step = rate * (g - own * w) / ((s + penalty) / shards + steady)
+        out.append(np.clip(w + np.clip(step, -0.7, 0.7), -LIMIT, LIMIT).astype(np.float32))
     return out
 
 
+def trained(learn: DataFrame, check: DataFrame, layout, seen: list[np.ndarray], rounds: int) -> list[np.ndarray]:
+    """The weights that make ``check`` (codes) likeliest among the first ones and those after each
+    of ``rounds`` gradient steps. A step goes over one of ``SHARDS`` parts of ``learn`` (shard, codes) at
+    most, in turn, so up to that many rounds use each text once."""
+    spark = learn.sparkSession
+    weights, best, likelihood, shards = first_weights(seen), None, None, min(rounds, SHARDS)
+    for r in range(rounds + 1):
+        shared = spark.sparkContext.broadcast(weights)
+        now = log_likelihood(check, layout, shared)
+        if best is None or now is None or now > likelihood:
+            best, likelihood = weights, now
+        if r < rounds:
+            own = learn.where(F.pmod("shard", F.lit(shards)) == r % shards).select("codes")
+            weights = next_weights(weights, seen, gradient_sums(own, layout, shared), shards)
+        shared.unpersist()
+    return best
+
+
 # ---- scores
 
 
@@ -454,18 +501,17 @@ def scores(docs: DataFrame, train: Column, name: str, rounds: int = ROUNDS) -> D
     hashes, c, endings = most_frequent(counts, HEAD)
     head, own_endings = spark.sparkContext.broadcast(hashes), spark.sparkContext.broadcast(endings)
     texts = stored(coded(rows, head, name))
-    # a task's sums are as large as the tables, however little it reads
-    learn = texts.where("train").select("codes").coalesce(2 * spark.sparkContext.defaultParallelism)
-    class_of = classes(near_anchors(learn, own_endings)) if n else np.zeros(UNITS, np.int64)
+    # a task's sums are as large as the tables, however little it reads; it reads some TASK_TOKENS at most
+    tasks = max(2 * spark.sparkContext.defaultParallelism, n // TASK_TOKENS)
+    marked = texts.where("train").select(F.xxhash64(F.lit("shard"), "doc_id").alias("shard"), (F.pmod(F.xxhash64(F.lit("check"), "doc_id"), F.lit(CHECK)) == 0).alias("check"), "codes").coalesce(tasks)
+    learn, check = marked.where("NOT check"), marked.where("check").select("codes")
+    class_of = classes(near_anchors(learn.select("codes"), own_endings)) if n else np.zeros(UNITS, np.int64)
     size, types = unit_totals(counts, hashes, c, endings)
     part_of = parts(class_of, size)
     layout = spark.sparkContext.broadcast(Layout(endings, class_of, part_of, Codes(hashes)[END], table_rows(n)))
     weights = [np.zeros(shape, np.float32) for shape in shapes(table_rows(n))]
     if n:
-        seen = seen_sums(learn, layout)
-        weights = first_weights(seen)
-        for _ in range(rounds):
-            weights = next_weights(weights, seen, expected_sums(learn, layout, weights))
+        weights = trained(learn, check, layout, seen_sums(learn.select("codes"), layout), rounds)
     leaf = class_of * PARTS + part_of
     by_leaf = np.log10(np.bincount(leaf, weights=size, minlength=CLASSES * PARTS) + ADDED * (np.bincount(leaf, weights=types, minlength=CLASSES * PARTS) + 1))
     model = spark.sparkContext.broadcast((c, by_leaf, weights))

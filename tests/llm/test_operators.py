@@ -1,11 +1,14 @@
 """Each operator against plain Python, over odd rows and an empty table."""
 
 import hashlib
+import math
+import os
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm import decontaminate, lm_scoring, near_copies, pieces, quality_rules, simhash, substring_dedup, suffix_array_dedup, token_binary, token_counts, toxicity, winnow
@@ -356,6 +359,52 @@ def test_lm_scores_are_a_model_s(spark, docs, monkeypatch):
     assert (a[:, 1] != b[:, 1]).any() and (a[:, 2] != b[:, 2]).any() and (a[:, 0] == b[:, 0]).all()
 
 
+def test_a_gradient_is_plain_python_s(spark):
+    """Seen less expected for each row and outcome, summed token by token; and a step from it."""
+    r = np.random.default_rng(5)
+    rows, words = 64, [f"w{k}".encode() for k in range(30)]
+    hashes, endings = np.array([lm_scoring.word_hash(w) for w in [b"", *words]]), np.array([lm_scoring.ending(w) for w in [b"", *words]])
+    class_of, part_of = (r.integers(0, k, lm_scoring.UNITS) for k in (lm_scoring.CLASSES, lm_scoring.PARTS))
+    layout = lm_scoring.Layout(endings, class_of, part_of, lm_scoring.Codes(hashes)[b""], rows)
+    weights = [r.normal(0, 1, shape).astype(np.float32) for shape in lm_scoring.shapes(rows)]
+    texts = [np.append(r.integers(1, 31, n), 0).astype(np.int32) for n in (0, 1, 5, 40, 300)]
+    sums = [np.zeros(shape) for shape in lm_scoring.shapes(rows)]
+    for own in texts:
+        cls, part, *f = layout(own, np.arange(len(own)))
+        for t in range(len(own)):
+            for total, w, k, met in zip(sums, weights, f, (cls, part)):
+                active = k[:, t].tolist()
+                z = [math.exp(sum(float(w[a, j]) for a in active)) for j in range(w.shape[1])]
+                for a in active:
+                    for j in range(w.shape[1]):
+                        total[a, j] += (j == met[t]) - z[j] / sum(z)
+    df = spark.createDataFrame([(x.tobytes(),) for x in texts], "codes binary").repartition(3)
+    context = spark.sparkContext
+    got = lm_scoring.gradient_sums(df, context.broadcast(layout), context.broadcast(weights))
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got, sums))
+    seen = [np.abs(x).round() for x in sums]
+    for k, (w, s, g, new) in enumerate(zip(weights, seen, sums, lm_scoring.next_weights(weights, seen, got, 2, rate=0.4, penalty=5.0, steady=6.0))):
+        for a in range(len(w)):
+            for j in range(w.shape[1]):
+                penalty = 0.0 if a >= len(w) - (lm_scoring.CLASSES if k else 1) else 2.5
+                step = 0.4 * (g[a, j] - penalty * float(w[a, j])) / (s[a, j] / 2 + 8.5)
+                assert abs(float(w[a, j]) + max(-0.7, min(0.7, step)) - new[a, j]) < 1e-4
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+def test_more_rounds_do_no_harm(spark):
+    """Log10 a token of held-out texts: training gains on the first weights, and ten rounds lose nothing against two."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+
+    def held(rounds):
+        out = lm_scoring.scores(df, ~held_out, f"rounds {rounds}", rounds).where(held_out).agg(F.sum("score"), F.sum("n_tokens")).first()
+        return out[0] / out[1]
+
+    none, two, ten = held(0), held(2), held(10)
+    assert two > none and ten > none and ten > two - 0.002
+
+
 def test_lm_tables_grow_with_the_tokens():
     sizes = [lm_scoring.table_rows(n) for n in (0, 10**7, 10**8, 10**12)]
     assert sizes == sorted(sizes) and sizes[0] == lm_scoring.ROWS[0] and sizes[1] < sizes[2] < sizes[3] == lm_scoring.ROWS[1]
