@@ -13,7 +13,7 @@ from . import panel, workspace
 from .operators import clean, contracts, explore
 from .operators import features as feats
 from .plans import job, sqlapi
-from .schemas import CLEAN_STORED, FEATURE_NAMES, FEATURES, FEATURES_STORED, KEY, RAW_KEY, RAW_STORED, with_partitions
+from .schemas import CLEAN, CLEAN_STORED, FEATURE_NAMES, FEATURES, FEATURES_STORED, KEY, RAW_KEY, RAW_STORED, with_partitions
 from .sources import config, lake, vendor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -303,6 +303,26 @@ def normalize_vendor(spark, sf):
     return vendor.normalized(vendor.read_landing(spark, _landing(spark, rows)), panel.SOURCE).drop("ingested_at")
 
 
+def _wide_landing(spark, rows: DataFrame) -> str:
+    """Vendor files with a header of fields over one of symbols, a file for each year."""
+    path = workspace.new_path(spark, "wide")
+    cells = [(v, s) for v, c in _VENDOR.items() for s in SYMBOLS if c not in (None, "date", "symbol")]
+    wide = rows.groupBy("date").pivot("symbol", SYMBOLS).agg(F.first(F.struct(*[c for c in _VENDOR.values() if c not in (None, "date", "symbol")])).alias("x"))
+    text = F.concat_ws(",", F.col("date").cast("string"), *[F.coalesce(F.col(f"`{s}`.{_VENDOR[v]}").cast("string"), F.lit("")) for v, s in cells])
+    lines = wide.select(F.year("date").alias("year"), F.lit(3).alias("k"), F.col("date").alias("at"), text.alias("line"))
+    heads = [",".join(["Price", *[v for v, _ in cells]]), ",".join(["Ticker", *[s for _, s in cells]]), "Date" + "," * len(cells)]
+    first = lines.select("year").distinct().select("year", F.posexplode(F.array(*map(F.lit, heads))).alias("k", "line"))
+    both = lines.unionByName(first.select("year", "k", F.lit(None).cast("date").alias("at"), "line"))
+    both.repartition("year").sortWithinPartitions("year", "k", "at").select("year", "line").write.partitionBy("year").text(path)
+    return path
+
+
+@query("bars", f"SELECT {_RAW_SQL} FROM bars")
+def wide_vendor(spark, sf):
+    """Bars from files with two header levels, as a download of several symbols gives them."""
+    return vendor.normalized(vendor.read_landing(spark, _wide_landing(spark, panel.bars(spark, sf)), "wide"), panel.SOURCE).drop("ingested_at")
+
+
 @query("bars", f"SELECT DISTINCT p_type AS symbol FROM part UNION SELECT p_brand FROM part WHERE p_brand NOT IN (SELECT symbol FROM bars WHERE date BETWEEN DATE '{START}' AND DATE '{END}')")
 def missing_symbols(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
@@ -366,6 +386,15 @@ def view_clean(spark, sf):
     return out.withColumns({c: F.round(c, 8) for c in ("return_1d", "log_return_1d")})
 
 
+@query("features", f"SELECT symbol, date, {_r(FEATURE_NAMES)} FROM features")
+def features_by_symbol(spark, sf):
+    """The feature table from clean prices that are stored by symbol, without an exchange."""
+    path = workspace.new_path(spark, "by-symbol")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    lake.write_by_symbol(_clean(spark, sf), path, name, 16)
+    return explore.rounded(feats.asset_features(lake.read_by_symbol(spark, path, name, CLEAN, 16)).drop("created_at"))
+
+
 def _mart(spark, sf) -> str:
     path = workspace.new_path(spark, "features")
     lake.write_by_year(_features(spark, sf), path)

@@ -69,6 +69,22 @@ def write_by_year(df: DataFrame, path: str) -> None:
     write_partitioned(df, path, ["year"], with_year)
 
 
+def write_by_symbol(df: DataFrame, path: str, name: str, buckets: int = 64) -> None:
+    """A copy of a layer as the table ``name`` over ``path``, bucketed by symbol and sorted by symbol and
+    date in each bucket: windows over a symbol's dates then need no exchange. Rows are dealt by symbol
+    first, so that a bucket is one file."""
+    dealt = df.repartition(buckets, "symbol")
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, "symbol").sortBy("symbol", "date").saveAsTable(name)
+
+
+def read_by_symbol(spark: SparkSession, path: str, name: str, schema: T.StructType, buckets: int = 64) -> DataFrame:
+    """The table that ``write_by_symbol`` made; a session that doesn't know it yet takes it from ``path``."""
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (symbol) SORTED BY (symbol, date) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def create_views(spark: SparkSession, paths: dict[str, str]) -> list[str]:
     """Temporary views over the layers in ``paths``, by name; a layer that isn't there is skipped."""
     made = []

@@ -145,3 +145,46 @@ def test_job_from_settings(spark, tmp_path):
     assert {"raw_data_dir", "processed_data_dir", "marts_data_dir"} <= set(found)
     assert not list(tmp_path.rglob("*_staging*")) and (tmp_path / "processed_data_dir" / "daily_prices").is_dir() and (tmp_path / "marts_data_dir" / "features").is_dir()
     assert spark.read.json(folders["validation_reports_dir"]).where("status = 'passed'").count() == 3
+
+
+def test_two_header_levels(spark, tmp_path):
+    """A download of several symbols in one file, fields over symbols; files with other columns, and empty cells."""
+    wide = tmp_path / "wide"
+    wide.mkdir()
+    (wide / "a.csv").write_text(
+        "Price,Adj Close,Adj Close,Adj Close,Close,Close,Close,High,High,High,Low,Low,Low,Open,Open,Open,Volume,Volume,Volume\n"
+        "Ticker,SPY,QQQ,BRK-B,SPY,QQQ,BRK-B,SPY,QQQ,BRK-B,SPY,QQQ,BRK-B,SPY,QQQ,BRK-B,SPY,QQQ,BRK-B\n"
+        "Date,,,,,,,,,,,,,,,,,,\n"
+        "2024-01-02,1.5,2.5,,1,2,,3,4,,0.5,0.25,,1,2,,100,x,\n"
+        "2024-01-03 00:00:00,1.25,,3.5,1,,3,3,,4,0.5,,2,1,,3,100,,7\n"
+    )
+    (wide / "b.csv").write_text("Price,Volume,Close,Open,High,Low\nTicker,DIA,DIA,DIA,DIA,DIA\n2024-01-02,5,1,2,3,4\n")
+    raw = vendor.read_landing(spark, str(wide), "wide")
+    assert set(raw.columns) == {"Date", "Symbol", "Adj Close", "Close", "High", "Low", "Open", "Volume"}
+    out = {(r.symbol, r.date.day): r for r in vendor.normalized(raw, "v").collect()}
+    assert set(out) == {("SPY", 2), ("QQQ", 2), ("SPY", 3), ("BRK-B", 3), ("DIA", 2)}
+    assert out["SPY", 2].adj_close == 1.5 and out["QQQ", 2].volume == 0.0 and out["BRK-B", 3].low == 2.0 and out["BRK-B", 3].volume == 7.0 and out["DIA", 2].adj_close is None and out["DIA", 2].open == 2.0
+    fetch = vendor.landed(str(wide), "v", "wide")
+    assert fetch(spark, ["BRK-B"], "2024-01-01", "2024-01-31").count() == 1
+
+
+def test_a_layer_stored_by_symbol_needs_no_exchange(spark, tmp_path):
+    from ridgeline.operators.clean import clean_prices
+    from ridgeline.operators.features import asset_features
+    from ridgeline.schemas import CLEAN
+
+    rows = [(date(2024, 1, 1 + d), s, 1.0 + d, 3.0 + d, 0.5, 2.0 + d, 2.0 + d, 10.0) for d in range(28) for s in ("A", "B", "C", "D")]
+    clean = clean_prices(spark.createDataFrame(rows, "date date, symbol string, open double, high double, low double, close double, adj_close double, volume double"))
+    path = str(tmp_path / "by_symbol")
+    lake.write_by_symbol(clean, path, "clean_by_symbol_test", 4)
+    try:
+        out = asset_features(lake.read_by_symbol(spark, path, "clean_by_symbol_test", CLEAN, 4)).drop("created_at")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" in plan
+        want = sorted(map(tuple, asset_features(clean).drop("created_at").collect()))
+        assert sorted(map(tuple, out.collect())) == want
+        spark.sql("DROP TABLE clean_by_symbol_test")  # another session: the files are still there
+        again = asset_features(lake.read_by_symbol(spark, path, "clean_by_symbol_test", CLEAN, 4)).drop("created_at")
+        assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, again.collect())) == want
+    finally:
+        spark.sql("DROP TABLE IF EXISTS clean_by_symbol_test")
