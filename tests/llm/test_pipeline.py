@@ -100,3 +100,17 @@ def test_odd_rows(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
     items.write.parquet(f"{tmp_path}/b/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_a_very_long_text(spark, tmp_path):
+    """150,000 words go through all stages whole, less the passage that a smaller doc_id has."""
+    words = [f"word{k * 7919 % 200_003}" for k in range(150_000)]
+    passage = [f"shared{k}" for k in range(60)]
+    rows = [(1, " ".join([f"own{k}" for k in range(40)] + passage)), (2, " ".join(words[:90_000] + passage + words[90_000:])), (3, " ".join(f"third{k}" for k in range(50)))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such item is anywhere in these texts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(out) == {1, 2, 3} and all(r.round_trip for r in out.values())
+    model = pieces.piece_model(tokenizers.path("piece_bpe_32k.model"), pieces.PieceTexts)
+    assert model.decode(out[2].ids).split() == words and out[2].n_chars == len(" ".join(words))
