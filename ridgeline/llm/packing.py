@@ -49,7 +49,7 @@ class PieceIds(dict):
     short parts are kept. A line break between visible characters is a part."""
 
     _letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x180)]))
-    _other = re.compile(f"[^ .,0-9{_letters}]")
+    _other = re.compile(f"[^ .,\n0-9{_letters}]")
     _word = re.compile(f" ?(?:[{_letters}]+|[0-9]+)")
 
     def __init__(self, path: str, pattern: str, limit: int = 400_000):
@@ -63,8 +63,7 @@ class PieceIds(dict):
         self.model, level = self.tok.model, ByteLevel(add_prefix_space=False, use_regex=False)
         self.table = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x180))})
         self.parts: dict[str, bytes] = {}
-        self |= {c: self._whole(c) for c in ".,"}
-        self.line = self._whole("\n")
+        self |= {c: self._whole(c) for c in ".,\n"}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -108,16 +107,31 @@ class PieceIds(dict):
         return b"".join(out)
 
     def _block(self, text: str) -> bytes:
+        if not self._other.search(text):
+            try:
+                return self._plain(text)
+            except LookupError:  # such as two spaces, or a letter after a full stop
+                pass
         lines = text.split("\n")
         if any(x[:1].isspace() or x[-1:].isspace() or not x for x in lines[1:-1]) or lines[0][-1:].isspace() or len(lines) > 1 and (not lines[0] or lines[-1][:1].isspace() or not lines[-1]):
             return self._whole(text)
-        return self.line.join(map(self._line, lines))
+        return self["\n"].join(map(self._line, lines))
+
+    def _plain(self, text: str) -> bytes:
+        if ".." in text or ",," in text or ".," in text or ",." in text:
+            raise LookupError
+        parts = text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0")
+        if not parts[0] and len(parts) > 1:
+            del parts[0]
+        if not parts[-1]:  # a line break at the end
+            del parts[-1]
+        return b"".join(map(self.__getitem__, parts))
 
     def _line(self, line: str) -> bytes:
-        if not self._other.search(line) and not any(x in line for x in ("..", ",,", ".,", ",.")):
+        if not self._other.search(line):
             try:
-                return b"".join(map(self.__getitem__, line.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").removeprefix("\0").split("\0")))
-            except LookupError:  # such as two spaces, or a letter after a full stop
+                return self._plain(line)
+            except LookupError:
                 pass
         return b"".join(map(self._part, self.split(line))) if line and max(line) < "\u0180" else self._whole(line)
 
