@@ -59,7 +59,7 @@ PARTS = 32
 NEAR = (1, 2, 3)
 ROUNDS, SHARDS = 4, 4
 #: One in so many training texts only tells which round's weights are best.
-CHECK = 16
+CHECK = 32
 #: Training tokens that a task may read in a pass.
 TASK_TOKENS = 1 << 26
 #: Weights stay within it either way: five of them are within what a float32 exponential can hold.
@@ -407,13 +407,15 @@ def gradient_sums(train: DataFrame, layout, shared) -> list[np.ndarray]:
             cls, part, f1, f2 = lay(codes, start)
             for at in range(0, len(codes), CHUNK):  # a long text in pieces
                 own = slice(at, at + CHUNK)
-                token, of = np.arange(len(codes[own])), cls[own]
-                which = np.zeros((len(of), CLASSES), np.float32)
-                which[token, of] = 1.0
-                for total, last, f, w, met, kind in zip(sums, everywhere, (f1[:, own], f2[:, own]), weights, (of, part[own]), (np.ones((len(of), 1), np.float32), which)):
-                    more = -np.exp(log_softmax(w, f))
+                token = np.arange(len(codes[own]))
+                for total, last, f, w, met in zip(sums, everywhere, (f1[:, own], f2[:, own]), weights, (cls[own], part[own])):
+                    more = np.empty((len(token), last.shape[1]), np.float32)  # not of the broadcast arrays' own type object, which numpy adds slowly
+                    np.exp(log_softmax(w, f), out=more)
+                    np.negative(more, out=more)
                     more[token, met] += 1.0
-                    last += kind.T @ more
+                    some = np.zeros(last.shape, np.float32)
+                    _rows_added(some, f[-1] - (len(total) - len(last)), more)
+                    last += some
                     for k in f[:-1]:
                         _rows_added(total, k, more)
         for k, (total, last) in enumerate(zip(sums, everywhere)):
