@@ -162,7 +162,7 @@ def _gone(words: int, spans: list[dict] | None, doc: int | None, size: int) -> n
 
 
 def _known(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    return winnow.with_spans(winnow.keyed(docs), WordWindows(size, gram), False, resolve=lambda c, f, p: first_documents(c, f, p, size), fold=lambda first, places: F.when(places > 1, first).otherwise(F.lit(NEVER)))
+    return winnow.with_spans(winnow.keyed(docs), WordWindows(size, gram), False, resolve=lambda c, f, p: first_documents(c, f, p, size))
 
 
 def removed_words(docs: DataFrame, size: int = 13, gram: int = 5) -> DataFrame:

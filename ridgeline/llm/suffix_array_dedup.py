@@ -97,7 +97,7 @@ def removed_bytes(docs: DataFrame, size: int = 200, gram: int = 64) -> DataFrame
     """(doc_id, kept, n_bytes, spans) for each row of ``docs``: spans are the removed (start, end), flattened."""
     scheme = ByteWindows(size, gram)
     rows = winnow.keyed(docs)
-    known = winnow.with_spans(rows, scheme, True, resolve=lambda c, f, p: repeats(c, f, p, size), fold=lambda first, places: places > 1)
+    known = winnow.with_spans(rows, scheme, True, resolve=lambda c, f, p: repeats(c, f, p, size))
 
     def remove(batches):
         for b in slices(batches, 500):

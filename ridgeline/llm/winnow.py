@@ -12,7 +12,7 @@ lead to all repeats at a few rows for each hundred bytes. Names only filter:
    alike; equal blocks travel on as one, with the number of their places;
 3. ``runs`` deals each block's windows to the groups of their names: suffixes
    from a window's least gram on, which is their first prefix. A group of more
-   than ``most`` is dealt by longer prefixes of its windows (``by_prefix``);
+   than ``most`` different rows is dealt by longer prefixes of its windows (``by_prefix``);
 4. in a group the operator's own method decides which windows repeat, those of
    copies included, as each row counts for all its places;
 5. ``told_back`` brings that to the blocks and to each document's row.
@@ -363,64 +363,68 @@ def apart(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame | N
     return rows.join(few, by, "left_anti"), rows.join(few, by, "left_semi")
 
 
-def resolved(found: DataFrame, scheme, resolve: Callable, fold: Callable, lot: int = 2_000, most: int = 2_500) -> tuple[DataFrame, list[DataFrame]]:
+def resolved(found: DataFrame, scheme, resolve: Callable, lot: int = 2_000, most: int = 2_500) -> tuple[DataFrame, list[DataFrame]]:
     """(block, start, told): what is known of the windows of each row of ``runs``
     (a stored table), and the stored tables that it reads besides."""
-    few, large = apart(found, "name", most)
-    out, read = in_groups(few, "name", resolve, lot), []
-    return (out if large is None else out.unionByName(by_prefix(large, scheme, resolve, fold, lot, most, read))), read
+    read: list[DataFrame] = []
+    return by_prefix(found, "name", scheme.steps, scheme, resolve, lot, most, read), read
 
 
-def by_prefix(large: DataFrame, scheme, resolve: Callable, fold: Callable, lot: int, most: int, read: list[DataFrame]) -> DataFrame:
-    """As ``resolved``, for groups of more than ``most`` rows.
+def by_prefix(found: DataFrame, by: str, steps: list[int], scheme, resolve: Callable, lot: int, most: int, read: list[DataFrame]) -> DataFrame:
+    """As ``resolved``, for rows that are dealt by their name or prefix (``by``).
+
+    In a group of more than ``most`` rows equal ones become one, that counts for
+    all their places; what it is told is told to each of them. Only if the
+    different rows are still more than ``most`` are they cut into shorter ones.
 
     A window lies some units before its gram. Places at each ``step`` units
     before the gram cut a run into shorter ones, whose windows all hold the
     size - step + 1 units from such a place on: the prefix of the suffix that
-    starts there. Shorter runs are dealt by it; where a group is still too
-    large, the next of ``scheme.steps`` gives a longer prefix. The last step is
-    1: there the prefix is the whole window, rows of a group that is still too
-    large are equal, and they are added up on the way.
+    starts there. Shorter runs are dealt by it in the same way; where a group is
+    still too large, the next of ``steps`` gives a longer prefix. The last step
+    is 1: there the prefix is the whole window, so a group is one row.
     """
+    few, large = apart(found, by, most)
+    told = in_groups(few, by, resolve, lot)
+    if large is None:
+        return told
+    digest = F.unhex(F.md5("content"))
+    one = large.groupBy("content").agg(*[F.first(c).alias(c) for c in dict.fromkeys(["name", by])], F.min("first_doc").alias("first_doc"), F.sum("places").alias("places"))
+    one = stored(one.withColumns({"block": digest, "start": F.lit(0).cast("long")}))
+    few, many = apart(one, by, most) if steps else (one, None)
+    own = in_groups(few, by, resolve, lot)
+    read.append(one)
+    if many is not None:
+        pieces = stored(many.select(*RUN).mapInArrow(shorter(scheme, steps[0]), f"{RUNS}, prefix long"))
+        read.append(pieces)
+        own = own.unionByName(by_prefix(pieces, "prefix", steps[1:], scheme, resolve, lot, most, read))
+    own = stored(told_blocks(own).withColumnRenamed("block", "digest"))
+    read.append(own)
+    return told.unionByName(large.select("block", "start", digest.alias("digest")).join(sized_broadcast(own, BROADCAST_ROWS), "digest").drop("digest"))
+
+
+def shorter(scheme, step: int) -> Callable:
+    """For rows of ``runs``: shorter ones and the hashes of their prefixes, for ``by_prefix``."""
 
-    def shorter(step: int):
-        def cut(batches):
-            from xxhash import xxh3_64_intdigest
-
-            for b in slices(batches, 500):
-                out: list[tuple] = []
-                for name, block, start, content, first, places in zip(*[b.column(k).to_pylist() for k in range(6)]):
-                    _, grams = scheme.grams(content)
-                    units, at = scheme.units(content), np.flatnonzero(grams.view(np.int64) == name)
-                    j = np.arange(scheme.count(content))
-                    gram = at[np.searchsorted(at, j)]  # the first one from the window's start on
-                    k = (gram - j) // step
-                    cuts = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (k[1:] != k[:-1])]))
-                    for a, z, place in zip(cuts.tolist(), [*cuts[1:].tolist(), len(j)], (gram - k * step)[cuts].tolist()):
-                        prefix = xxh3_64_intdigest(scheme.part(units, place, 2 - step), int(k[a])) - (1 << 63)
-                        out.append((name, block, start + a, scheme.part(units, a, z - a), first, places, prefix))
-                for at in range(0, len(out), 5_000):
-                    yield _run_rows(out[at : at + 5_000], {**RUN, "prefix": pa.int64()})
-
-        return cut
-
-    rest: DataFrame | None = large
-    parts: list[DataFrame] = []
-    for step in scheme.steps:
-        rows = stored(rest.select(*RUN).mapInArrow(shorter(step), f"{RUNS}, prefix long"))
-        read.append(rows)
-        few, rest = apart(rows, "prefix", most)
-        parts.append(in_groups(few, "prefix", resolve, lot))
-        if rest is None:
-            break
-    if rest is not None:
-        totals = stored(rest.groupBy("content").agg(fold(F.min("first_doc"), F.sum("places")).cast("long").alias("value")))
-        read.append(totals)
-        parts.append(rest.join(sized_broadcast(totals, BROADCAST_ROWS), "content").select("block", "start", F.array("value", F.lit(1).cast("long")).alias("told")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def cut(batches):
+        from xxhash import xxh3_64_intdigest
+
+        for b in slices(batches, 500):
+            out: list[tuple] = []
+            for name, block, start, content, first, places in zip(*[b.column(k).to_pylist() for k in range(6)]):
+                _, grams = scheme.grams(content)
+                units, at = scheme.units(content), np.flatnonzero(grams.view(np.int64) == name)
+                j = np.arange(scheme.count(content))
+                gram = at[np.searchsorted(at, j)]  # the first one from the window's start on
+                k = (gram - j) // step
+                cuts = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (k[1:] != k[:-1])]))
+                for a, z, place in zip(cuts.tolist(), [*cuts[1:].tolist(), len(j)], (gram - k * step)[cuts].tolist()):
+                    prefix = xxh3_64_intdigest(scheme.part(units, place, 2 - step), int(k[a])) - (1 << 63)
+                    out.append((name, block, start + a, scheme.part(units, a, z - a), first, places, prefix))
+            for at in range(0, len(out), 5_000):
+                yield _run_rows(out[at : at + 5_000], {**RUN, "prefix": pa.int64()})
+
+    return cut
 
 
 def told_blocks(told: DataFrame) -> DataFrame:
@@ -452,14 +456,11 @@ def told_back(rows: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
     return whole.join(spans.hint("shuffle_hash"), ["key", "text_hash"], "left").select("doc_id", "text", "spans", "row")
 
 
-def with_spans(rows: DataFrame, scheme, within: bool, resolve: Callable, fold: Callable) -> DataFrame:
-    """All the steps: ``rows`` (key, doc_id, text) with what is known of their windows.
-
-    ``fold(least first_doc, number of places)`` tells of equal windows what ``resolve`` would.
-    """
+def with_spans(rows: DataFrame, scheme, within: bool, resolve: Callable) -> DataFrame:
+    """All the steps: ``rows`` (key, doc_id, text) with what is known of their windows."""
     found = stored(blocks(rows, repeated_names(rows, scheme, within), scheme, within))
     parts = stored(runs(found, scheme))
-    known, read = resolved(parts, scheme, resolve, fold)
+    known, read = resolved(parts, scheme, resolve)
     told = stored(told_blocks(known))
     forget(parts, *read)
     return told_back(rows, found, told)

@@ -66,3 +66,21 @@ def test_a_passage_in_more_documents_than_a_group_holds(spark):
     found = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_array_dedup.suffix_array_report(df).collect()}
     assert found == {d: w for (d, _), w in zip(rows, brute.repeated_bytes([t for _, t in rows], 200))}
     assert all(len(passage) < x[1] < x[0] and x[2] == 1 for x in found.values())
+
+
+def test_equal_rows_of_a_large_group_travel_as_one(spark, monkeypatch):
+    """A group of 60 rows, 3 of them different: it is dealt as 3 rows, none of which is cut."""
+    cut, shorter = [], winnow.shorter
+    monkeypatch.setattr(winnow, "shorter", lambda *a: cut.append(a) or shorter(*a))
+    scheme = substring_dedup.WordWindows()
+    names = lambda text: set(winnow.window_names(scheme.grams(text.encode())[1], scheme.width).view("int64").tolist())
+    passage = next(p for i in range(99) if len(names(" ".join((p := " ".join(f"p{i}-{k}" for k in range(13))).split()[1:] + ["q"])) | names(p)) == 1)
+    longer = [t for k in range(99) if names(t := f"{passage} q{k}") == names(passage)][:2]
+    rows = [(*names(passage), f"b{k}".encode(), 2 * k, [passage, *longer][k % 3].encode(), 100 + k, 1) for k in range(60)]
+    found = winnow.stored(spark.createDataFrame(rows, winnow.RUNS))
+    resolve = lambda c, f, p: substring_dedup.first_documents(c, f, p, 13)
+    want = {(r[1], r[2]): [100, 1] if r[3] == passage.encode() else [100, 1, 101 + (r[3] == longer[1].encode()), 1] for r in rows}
+    for most, cuts in ((60, False), (3, False), (2, True)):
+        told, _ = winnow.resolved(found, scheme, resolve, most=most)
+        assert {(bytes(r.block), r.start): r.told for r in told.collect()} == want
+        assert bool(cut) == cuts
