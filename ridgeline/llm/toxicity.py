@@ -30,6 +30,7 @@ an empty result; further columns, lang and source among them, are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, slices, stored, text_bytes
+from .common import forget, kept, slices, stored, text_bytes
 
 #: Second-person words (fixed values).
 SECOND_PERSON = frozenset("you your yours yourself you're ur u tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie ihnen tú ti usted ustedes vosotros vuestro tus".split())
@@ -51,12 +52,16 @@ STEMS = (4, 5, 6, 7)
 NEAR = 5
 FEATURES = ["strong", "medium", "weak", "stems", "hidden", "second_person", "near_second_person", "capitals", "capital_words", "punctuation", "exclaims", "obfuscated", "any_lexicon", "log_strong", "log_words"]
 
+#: ASCII signs at a word's ends.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 _edges = re.compile(r"^\W+|\W+$")
 _odd = re.compile(r"\w[^\w\s'’-]+\w|[^\W\d_]\d|\d[^\W\d_]")
+_stretched = re.compile(r"(.)\1\1")
 
 
 def plain(word: str) -> str:
-    return _edges.sub("", word)
+    w = word.strip(SIGNS)
+    return w if w.isalpha() else _edges.sub("", word)
 
 
 def unmasked(word: str) -> str:
@@ -67,8 +72,8 @@ def unmasked(word: str) -> str:
 
 def units(text: str) -> set[str]:
     """Words of a text in lower case, and their stems, marked by ``*``."""
-    words = {plain(w) for w in text.lower().split()} - {""}
-    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+    words = set(map(plain, set(text.lower().split()))) - {""}
+    return words.union(*[{w[:k] + "*" for w in words if len(w) > k} for k in STEMS])
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -115,24 +120,36 @@ class _Codes(dict):
     """A word's code: bits 0-1 its tier, 2 by its stem, 3 behind an obfuscation, 4 second person, 5 obfuscated."""
 
     def __init__(self, lexicon: dict[str, int], limit: int = 400_000):
-        self.lexicon, self.limit = lexicon, limit
+        self.words = {u: tier for u, tier in lexicon.items() if not u.endswith("*")}
+        self.stems = {u[:-1]: tier for u, tier in lexicon.items() if u.endswith("*")}
+        self.starts, self.limit = {u[: min(STEMS)] for u in self.stems}, limit
 
     def _tier(self, word: str) -> tuple[int, int]:
-        tier = self.lexicon.get(word, 0)
-        stem = max((self.lexicon.get(word[:k] + "*", 0) for k in STEMS if len(word) > k), default=0)
+        tier = self.words.get(word, 0)
+        if word[: min(STEMS)] not in self.starts:
+            return tier, 0
+        stem = max([self.stems.get(word[:k], 0) for k in STEMS if len(word) > k], default=0)
         return max(tier, stem), 4 * (stem > tier)
 
     def __missing__(self, word: str) -> int:
-        w = plain(word.lower())
-        tier, code = self._tier(w)
-        if _odd.search(word):
-            code |= 32
-            if not tier:
-                tier, code = self._tier(unmasked(word.lower()))[0], code | 32
+        low = word.lower()
+        w = low.strip(SIGNS)
+        if w.isalpha() and word.strip(SIGNS).isalpha():  # letters between signs: not obfuscated, and nothing but stretched letters to undo
+            tier, code = self._tier(w)
+            if not tier and len(w) > 3 and _stretched.search(w):
+                tier = self._tier(unmasked(w))[0]
+                code |= 8 if tier else 0
+        else:
+            w = plain(low)
+            tier, code = self._tier(w)
+            if _odd.search(word):
+                code |= 32
+                if not tier:
+                    tier, code = self._tier(unmasked(low))[0], code | 32
+                    code |= 8 if tier else 0
+            elif not tier and len(w) > 3 and (u := unmasked(w)) != w:
+                tier = self._tier(u)[0]
                 code |= 8 if tier else 0
-        elif not tier and len(w) > 3 and (u := unmasked(w)) != w:
-            tier = self._tier(u)[0]
-            code |= 8 if tier else 0
         code |= tier | (16 if w in SECOND_PERSON else 0)
         if len(self) < self.limit and len(word) < 64:
             self[word] = code
@@ -169,10 +186,10 @@ def features(text: bytes, codes: _Codes) -> list[float]:
 def feature_table(docs: DataFrame, lexicons: list[dict[str, int]], which: str | None = None) -> DataFrame:
     """(doc_id, one double for each of FEATURES) for each row of ``docs``, by the
     lexicon whose number is in the column ``which``, or by the only one."""
-    at = F.lit(0) if which is None else F.col(which)
+    at, name = F.lit(0) if which is None else F.col(which), uuid.uuid4().hex
 
     def rows(batches):
-        codes = [_Codes(x, 400_000 // len(lexicons)) for x in lexicons]
+        codes = kept(f"toxicity {name}", name, lambda: [_Codes(x, 400_000 // len(lexicons)) for x in lexicons])
         for b in slices(batches, 500):
             x = np.array([features(t, codes[k]) for t, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, k]) for k in range(len(FEATURES))]], ["doc_id", *FEATURES])

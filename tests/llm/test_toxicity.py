@@ -76,3 +76,12 @@ def test_lexicons_equal_plain_python(spark):
                 odds[u] = math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
         best = sorted((-o, u) for u, o in odds.items() if o > 1)[:7]
         assert lexicon == {u: 3 if -o > 4 else 2 if -o > 2.5 else 1 for o, u in best} and len(lexicon) == 7
+
+
+def test_words_of_letters_are_coded_without_unmasking(monkeypatch):
+    asked, unmasked = [], toxicity.unmasked
+    monkeypatch.setattr(toxicity, "unmasked", lambda w: asked.append(w) or unmasked(w))
+    codes = toxicity._Codes({"idiot": 3, "stup*": 2, "été": 1})
+    assert [codes[w] for w in ("harmless", "(Words),", "Idiot!", "stupide", "ÉTÉ", "you")] == [0, 0, 3, 2 | 4, 1, 16] and not asked
+    assert [codes[w] for w in ("stuuupid", "id1ot", "1d1ot.", "i.diot", "iddiot", "idiooot")] == [2 | 8, 3 | 8 | 32, 3 | 8 | 32, 3 | 8 | 32, 0, 3 | 8]
+    assert asked == ["stuuupid", "id1ot", "1d1ot.", "i.diot", "idiooot"]
