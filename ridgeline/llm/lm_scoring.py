@@ -45,6 +45,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import forget, kept, list_array, slices, stored, text_bytes
 
@@ -76,8 +77,6 @@ END = b""
 
 
 def word_hash(word: bytes) -> int:
-    from xxhash import xxh3_64_intdigest
-
     return xxh3_64_intdigest(word) - (1 << 63)
 
 
@@ -110,8 +109,19 @@ def type_counts(train: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
 
 
+def word_hashes(words) -> np.ndarray:
+    """``word_hash`` of each word."""
+    return (np.array([xxh3_64_intdigest(w) for w in words], np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def word_endings(words) -> np.ndarray:
+    """``ending`` of each word."""
+    last = np.array([int.from_bytes(w[-3:], "little") for w in words], np.uint64)
+    return (last * np.uint64(2654435761) % np.uint64(1 << 32) >> np.uint64(20)).astype(np.int32)
+
+
 def _type_rows(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(map(word_hash, seen), pa.int64()), pa.array(map(ending, seen), pa.int32()), pa.array(seen.values(), pa.int64())], ["h", "ending", "c"])
+    return pa.RecordBatch.from_arrays([pa.array(word_hashes(seen)), pa.array(word_endings(seen)), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["h", "ending", "c"])
 
 
 def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,10 +156,10 @@ class Codes(dict):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
+        h = xxh3_64_intdigest(word) - (1 << 63)
         code = self.place.get(h, -1)
         if code < 0:
-            code = -1 - (ending(word) << 19 | h & 0x7FFFF)
+            code = -1 - (int.from_bytes(word[-3:], "little") * 2654435761 % (1 << 32) >> 20 << 19 | h & 0x7FFFF)
         if len(self) < self.limit and len(word) < 64:
             self[word] = code
         return code
@@ -170,7 +180,7 @@ def coded(rows: DataFrame, head, name: str) -> DataFrame:
                 words = tokens(text)
                 own = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
                 data.append(own.tobytes())
-                rare.append(np.array([word_hash(words[k]) for k in np.flatnonzero(own < 0).tolist()], np.int64))
+                rare.append(word_hashes([words[k] for k in np.flatnonzero(own < 0).tolist()]))
             ids = np.arange(row_id, row_id + b.num_rows) + (part << 40)
             row_id += b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), b.column(2), pa.array(data, pa.binary()), list_array(rare, pa.int64())], ["doc_id", "row", "train", "codes", "rare"])
@@ -362,7 +372,9 @@ def shapes(rows: int) -> list[tuple[int, int]]:
 
 
 def _rows_added(total: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
-    """total[rows] += x, rows that occur more than once added up; by single numbers, which numpy does fastest."""
+    """total[rows] += x, rows that occur more than once added up; by pairs of numbers, which numpy adds as
+    fast as single ones if they are complex."""
+    total, x = total.view(np.complex64), x.view(np.complex64)
     np.add.at(total.reshape(-1), (rows[:, None] * x.shape[1] + np.arange(x.shape[1])).reshape(-1), x.reshape(-1))
 
 
@@ -414,7 +426,10 @@ def gradient_sums(train: DataFrame, layout, shared) -> list[np.ndarray]:
                     np.negative(more, out=more)
                     more[token, met] += 1.0
                     some = np.zeros(last.shape, np.float32)
-                    _rows_added(some, f[-1] - (len(total) - len(last)), more)
+                    if len(some) == 1:
+                        some[0] = more.sum(0)
+                    else:
+                        _rows_added(some, f[-1] - (len(total) - len(last)), more)
                     last += some
                     for k in f[:-1]:
                         _rows_added(total, k, more)
