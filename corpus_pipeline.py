@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontaminate, near_copies, pieces, quality_rules, simhash, substring_dedup
-from ridgeline.llm.common import forget, ship, stored, table
+from ridgeline.llm.common import bound_batches, forget, ship, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return simhash.representatives(docs, classes=near_copies.components(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return substring_dedup.deduplicated_documents(docs)
 
 
@@ -42,6 +44,7 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether decoding them gives back the text."""
     import public_tokenizers
 
+    bound_batches(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
     out = pieces.decode_pieces(pieces.encode_pieces(docs, path), path)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))

@@ -36,6 +36,22 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("ridgeline.shipped", "true")
 
 
+#: Bytes after which a batch of rows goes to Python.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Send rows to Python in batches of BATCH_BYTES or one row, from here on in
+    the session, unless it has a bound of its own.
+
+    Else a batch is 10,000 rows, of texts some 30 MB. Spark holds it outside the heap in
+    buffers that double, what is freed there is hardly given back, and so executors grow
+    over a long session.
+    """
+    if spark.conf.getAll.get(_BATCH) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

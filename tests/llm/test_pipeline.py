@@ -4,6 +4,7 @@ import os
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -114,3 +115,28 @@ def test_a_very_long_text(spark, tmp_path):
     assert set(out) == {1, 2, 3} and all(r.round_trip for r in out.values())
     model = pieces.piece_model(tokenizers.path("piece_bpe_32k.model"), pieces.PieceTexts)
     assert model.decode(out[2].ids).split() == words and out[2].n_chars == len(" ".join(words))
+
+
+def test_batches_of_texts_are_small(spark):
+    """The stages that hand texts to Python do so in some 4 MB, however many rows a batch could have; a bound of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "repeat(sha2(string(id), 256), 40) AS text", "'en' AS lang", "'s' AS source", "2560L AS n_chars")
+    before = spark.conf.getAll.get(key)
+    try:
+        for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages, corpus_pipeline.piece_ids):
+            spark.conf.unset(key)
+            stage(spark, docs.limit(5), SF)
+            found = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+            assert sum(found) > 15e6 and max(found) < 5e6
+        spark.conf.set(key, 1 << 20)
+        corpus_pipeline.repeated_passages(spark, docs.limit(5), SF)
+        assert spark.conf.get(key) == str(1 << 20)
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
