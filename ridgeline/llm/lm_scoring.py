@@ -358,12 +358,27 @@ def features(codes: np.ndarray, cls: np.ndarray, start: np.ndarray, end: tuple[i
     return np.stack([*first, np.full(len(codes), rows)]), np.stack([*within, rows + cls])
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log P of each outcome (natural), for each token. Weights keep within LIMIT, so no sum of them overflows."""
+def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The weights of each outcome added up, for each token. They keep within LIMIT, so no exponential of a sum overflows."""
     s = weights.take(rows[0], axis=0)
     for k in rows[1:]:
         s += weights.take(k, axis=0)
-    s -= np.log(np.exp(s).sum(1, keepdims=True))
+    return s
+
+
+def log_chance(weights: np.ndarray, rows: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """log P (natural) of each token's outcome ``met``."""
+    s = logits(weights, rows)
+    own = s[np.arange(len(s)), met]
+    return own - np.log(np.exp(s, out=s).sum(1))
+
+
+def surprise(weights: np.ndarray, rows: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """For each token 1 for the outcome ``met``, less P of each outcome."""
+    s = logits(weights, rows)
+    np.exp(s, out=s)
+    s *= -1 / s.sum(1, keepdims=True)
+    s[np.arange(len(s)), met] += 1.0
     return s
 
 
@@ -412,19 +427,16 @@ def gradient_sums(train: DataFrame, layout, shared) -> list[np.ndarray]:
     """How much more often each row met each outcome than the weights expect, for both tables."""
 
     def count(batches):
-        lay, weights = layout.value, shared.value
+        # not of the broadcast arrays' own type object, which numpy adds slowly
+        lay, weights = layout.value, [w.view(np.float32) for w in shared.value]
         sums = [np.zeros(shape, np.float32) for shape in shapes(lay.rows)]
         everywhere = [np.zeros((1, CLASSES)), np.zeros((CLASSES, PARTS))]  # the last rows, which all tokens switch on
         for codes, start, _ in _lots(batches, 0):
             cls, part, f1, f2 = lay(codes, start)
             for at in range(0, len(codes), CHUNK):  # a long text in pieces
                 own = slice(at, at + CHUNK)
-                token = np.arange(len(codes[own]))
                 for total, last, f, w, met in zip(sums, everywhere, (f1[:, own], f2[:, own]), weights, (cls[own], part[own])):
-                    more = np.empty((len(token), last.shape[1]), np.float32)  # not of the broadcast arrays' own type object, which numpy adds slowly
-                    np.exp(log_softmax(w, f), out=more)
-                    np.negative(more, out=more)
-                    more[token, met] += 1.0
+                    more = surprise(w, f, met)
                     some = np.zeros(last.shape, np.float32)
                     if len(some) == 1:
                         some[0] = more.sum(0)
@@ -519,9 +531,9 @@ def scores(docs: DataFrame, train: Column, name: str, rounds: int = ROUNDS) -> D
     head, own_endings = spark.sparkContext.broadcast(hashes), spark.sparkContext.broadcast(endings)
     texts = stored(coded(rows, head, name))
     # a task's sums are as large as the tables, however little it reads; it reads some TASK_TOKENS at most
-    tasks = max(2 * spark.sparkContext.defaultParallelism, n // TASK_TOKENS)
+    tasks = max(spark.sparkContext.defaultParallelism, n // TASK_TOKENS)
     marked = texts.where("train").select(F.xxhash64(F.lit("shard"), "doc_id").alias("shard"), (F.pmod(F.xxhash64(F.lit("check"), "doc_id"), F.lit(CHECK)) == 0).alias("check"), "codes").coalesce(tasks)
-    learn, check = marked.where("NOT check"), marked.where("check").select("codes")
+    learn, check = marked.where("NOT check"), stored(marked.where("check").select("codes"))  # read after each round
     class_of = classes(near_anchors(learn.select("codes"), own_endings)) if n else np.zeros(UNITS, np.int64)
     size, types = unit_totals(counts, hashes, c, endings)
     part_of = parts(class_of, size)
@@ -529,6 +541,7 @@ def scores(docs: DataFrame, train: Column, name: str, rounds: int = ROUNDS) -> D
     weights = [np.zeros(shape, np.float32) for shape in shapes(table_rows(n))]
     if n:
         weights = trained(learn, check, layout, seen_sums(learn.select("codes"), layout), rounds)
+    forget(check)
     leaf = class_of * PARTS + part_of
     by_leaf = np.log10(np.bincount(leaf, weights=size, minlength=CLASSES * PARTS) + ADDED * (np.bincount(leaf, weights=types, minlength=CLASSES * PARTS) + 1))
     model = spark.sparkContext.broadcast((c, by_leaf, weights))
@@ -569,8 +582,7 @@ def score_lot(codes, start, row, layout, weights, by_leaf, log_own, log_head):
     each = -by_leaf[cls * PARTS + part]
     for at in range(0, len(codes), CHUNK):  # a long text in pieces
         k = slice(at, at + CHUNK)
-        token = np.arange(len(codes[k]))
-        each[k] += (log_softmax(weights[0], f1[:, k])[token, cls[k]] + log_softmax(weights[1], f2[:, k])[token, part[k]]) / np.log(10)
+        each[k] += (log_chance(weights[0], f1[:, k], cls[k]) + log_chance(weights[1], f2[:, k], part[k])) / np.log(10)
     own = np.where(inside, log_own[place], 0.0)
     texts = int(row[-1]) + 1
     add = lambda x: np.bincount(row, weights=x, minlength=texts)

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ridgeline.llm import lm_scoring
 
@@ -28,3 +29,29 @@ def test_rows_are_added_one_after_the_other():
     for k, own in zip(rows, x):
         want[k] += own
     assert (found == want).all()
+
+
+def test_chances_and_surprises():
+    r = np.random.default_rng(5)
+    weights, rows, met = r.normal(size=(40, 32)).astype(np.float32), r.integers(0, 40, (5, 300)), r.integers(0, 32, 300)
+    e = np.exp(weights[rows].sum(0, dtype=float))
+    p = e / e.sum(1, keepdims=True)
+    assert np.allclose(lm_scoring.log_chance(weights, rows, met), np.log(p[np.arange(300), met]), atol=1e-4)
+    found = lm_scoring.surprise(weights, rows, met)
+    assert found.dtype == np.float32 and np.allclose(found, np.eye(32)[met] - p, atol=1e-5)
+
+
+def test_what_training_reads(spark, monkeypatch):
+    """The part that is set aside is a table of its own, so that no round reads all texts for it, and a pass has no more tasks than cores."""
+    seen = {}
+
+    def trained(learn, check, layout, sums, rounds):
+        seen.update(n=check.count(), apart=not set(check.inputFiles()) & set(learn.inputFiles()), tasks=learn.rdd.getNumPartitions(), learn=learn.count())
+        return lm_scoring.first_weights(sums)
+
+    monkeypatch.setattr(lm_scoring, "trained", trained)
+    docs = spark.range(0, 640, 1, 12).selectExpr("id AS doc_id", "concat('a b w', id % 50) AS text")
+    assert lm_scoring.scores(docs, F.lit(True), "set aside").count() == 640
+    aside = docs.where(F.pmod(F.xxhash64(F.lit("check"), "doc_id"), F.lit(lm_scoring.CHECK)) == 0).count()
+    assert 0 < aside == seen["n"] and seen["learn"] == 640 - aside
+    assert seen["apart"] and seen["tasks"] <= spark.sparkContext.defaultParallelism
