@@ -19,7 +19,9 @@ A character without a piece becomes byte pieces.
 No piece holds a space mark behind another character (checked on loading), and
 no path crosses a border between two characters that stand together in no
 piece, by merges or otherwise. So words, and within them the stretches between such borders, are
-segmented on their own, once, and kept.
+segmented on their own, once, and kept. For a merge-trained file the words of some
+hundred texts that aren't kept yet are read side by side: each step moves
+the automaton of all of them by one character (`Lanes`).
 
 Decoding is exact for either.
 
@@ -34,6 +36,8 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter
+from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 from operator import add
 
@@ -86,6 +90,125 @@ class _Words(dict):
         return ids
 
 
+class Lanes:
+    """The automaton of a merge-trained file as arrays, for many words side by side.
+
+    Moves are a table over ``most`` characters, the space mark, those of Latin-1 and then those that most
+    pieces hold; words with other characters, and those beyond ``longest`` characters, are left to the caller.
+    ``apart`` tells whether piece ``b`` can follow ``a`` (-1: nothing); its answers are kept
+    in a hash table of ``1 << bits`` slots until that is half full.
+    """
+
+    def __init__(self, pieces: dict[str, int], apart: Callable[[int, int], bool], most: int = 250, longest: int = 40, bits: int = 20, lot: int = 1 << 14):
+        self.apart, self.longest, self.bits, self.lot = apart, longest, bits, lot
+        often = Counter(c for p in pieces for c in p)
+        letters = sorted((c for c in often if c < "\uffff"), key=lambda c: (c != SPACE and not (c <= "\xff" and c.isprintable()), -often[c], c))[:most]
+        self.letter_of = np.full(1 << 16, len(letters), np.uint8)
+        self.letter_of[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.none, known = len(letters), set(letters)
+        state = {"": 0}
+        for p in pieces:
+            if known.issuperset(p):
+                for k in range(1, len(p) + 1):
+                    state.setdefault(p[:k], len(state))
+        n = len(state)
+        self.moves = np.zeros((n, len(letters)), np.uint16 if n <= 1 << 16 else np.int32)
+        self.piece, self.size, self.link, fail = (np.zeros(n, np.int64) for _ in range(4))
+        levels: dict[int, list[str]] = {}
+        for p in state:
+            self.piece[state[p]], self.size[state[p]] = pieces.get(p, -1), len(p)
+            levels.setdefault(len(p), []).append(p)
+        for size in range(1, len(levels)):
+            own, parent, letter = (np.array([f(p) for p in levels[size]]) for f in (state.get, lambda p: state[p[:-1]], lambda p: self.letter_of[ord(p[-1])]))
+            fail[own] = self.moves[fail[parent], letter] if size > 1 else 0
+            self.moves[parent, letter] = own
+            self.moves[own] = self.moves[fail[own]]
+            self.link[own] = np.where(self.piece[fail[own]] >= 0, fail[own], self.link[fail[own]])
+        #: The longest piece that ends here: its state (0: none).
+        self.first = np.where(self.piece >= 0, np.arange(n), self.link)
+        self.slots, self.held = np.full(1 << bits, -1, np.int64), 0
+
+    def follows(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``apart`` of each pair."""
+        key, mask = (before + 1) << 31 | piece, len(self.slots) - 1
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.slots[slot]
+        out = found & 1 == 1
+        at = np.flatnonzero(found >> 1 != key)
+        new = [at[:0]]
+        while len(at):  # another pair is in the slot: look at the next ones
+            found = self.slots[slot[at]]
+            new.append(at[found < 0])
+            same = found >> 1 == key[at]
+            out[at[same]] = found[same] & 1 == 1
+            at = at[(found >= 0) & ~same]
+            slot[at] = (slot[at] + 1) & mask
+        new = np.concatenate(new)
+        if len(new):
+            keys, back = np.unique(key[new], return_inverse=True)
+            answers = np.array([self.apart((k >> 31) - 1, k & 0x7FFFFFFF) for k in keys.tolist()])
+            out[new] = answers[back]
+            for k, answer, s in zip(keys.tolist(), answers.tolist(), slot[new[np.unique(back, return_index=True)[1]]].tolist()):
+                if self.held > mask // 2:
+                    break
+                while self.slots[s] >= 0:
+                    s = (s + 1) & mask
+                self.slots[s] = k << 1 | answer
+                self.held += 1
+        return out
+
+    def __call__(self, words: list[str]) -> list[bytes | None]:
+        """Ids, as bytes, of each word; None where it can't be read here."""
+        out: list[bytes | None] = [None] * len(words)
+        own = [k for k, w in enumerate(words) if 0 < len(w) <= self.longest]
+        for at in range(0, len(own), self.lot):
+            lot = own[at : at + self.lot]
+            for k, ids in self._read([words[k] for k in lot]):
+                out[lot[k]] = ids
+        return out
+
+    def _read(self, words: list[str]):
+        """(place in ``words``, ids) of those that could be read."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        letters = self.letter_of[np.minimum(np.frombuffer("".join(words).encode("utf-32-le"), "<u4"), 0xFFFF)]
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        order = order[~np.logical_or.reduceat(letters == self.none, starts)[order]]
+        sizes, starts, n = sizes[order], starts[order], len(order)
+        if not n:
+            return []
+        # for each place in a word the piece that ends there (-2: none yet) and its first place, of all words
+        piece_of, start_of = np.full((int(sizes[0]) + 1) * n, -2, np.int64), np.zeros((int(sizes[0]) + 1) * n, np.int64)
+        piece_of[:n] = -1
+        state = np.zeros(n, np.int64)
+        for k in range(int(sizes[0])):
+            active = int(np.searchsorted(-sizes, -k))  # words of more than k characters
+            state = self.moves[state[:active], letters[starts[:active] + k]].astype(np.int64)
+            at = self.first[state]
+            lane = np.flatnonzero(at)
+            at = at[lane]
+            while len(lane):
+                start, piece = k + 1 - self.size[at], self.piece[at]
+                before = piece_of[start * n + lane]
+                settled = before >= -1
+                settled[settled] = self.follows(before[settled], piece[settled])
+                done = (k + 1) * n + lane[settled]
+                piece_of[done], start_of[done] = piece[settled], start[settled]
+                lane, at = lane[~settled], self.link[at[~settled]]
+                lane, at = lane[at > 0], at[at > 0]
+        lane = np.flatnonzero(piece_of[sizes * n + np.arange(n)] >= 0)  # others hold a piece that merges don't lead to
+        end, ids, count = sizes[lane], np.zeros((len(lane), int(sizes[0])), np.int32), np.zeros(len(lane), np.int64)
+        back = np.arange(len(lane))
+        while len(back):
+            place = end[back] * n + lane[back]
+            count[back] += 1
+            ids[back, -count[back]] = piece_of[place]
+            end[back] = start_of[place]
+            back = back[end[back] > 0]
+        data, ends = ids.tobytes(), (np.arange(len(lane)) + 1) * 4 * ids.shape[1]
+        return [(k, data[a:z]) for k, a, z in zip(order[lane].tolist(), (ends - 4 * count).tolist(), ends.tolist())]
+
+
 class PieceModel:
     def __init__(self, path: str, limit: int = 120_000):
         import ahocorasick
@@ -115,6 +238,8 @@ class PieceModel:
         #: Neighbours in some piece: no path crosses any other border of two characters.
         self.crossed = {p[k : k + 2] for p in self.automaton for k in range(len(p) - 1)}
         self.segments: dict[str, bytes] = {}
+        #: Ids of chunks that were read ahead, for the texts at hand.
+        self.ahead: dict[str, bytes] = {}
         self.limit = limit
         self.unknown = min(scores) - UNKNOWN_PENALTY
         self.newline_alone = not any("\n" in p.piece for p in proto.pieces if p.type in (NORMAL, USER))
@@ -156,6 +281,8 @@ class PieceModel:
 
     def chunk_ids(self, chunk: str) -> bytes:
         """Ids, as bytes, of a chunk: the paths between its borders that no piece crosses."""
+        if chunk in self.ahead:
+            return self.ahead[chunk]
         out, start, crossed = [], 0, self.crossed
         if len(chunk) < 64 and crossed.issuperset(map(add, chunk, chunk[1:])):
             return self.segments.get(chunk) or self._segment_ids(chunk)
@@ -172,10 +299,17 @@ class PieceModel:
             self.segments[part] = ids
         return ids
 
+    def plain(self, text: str) -> bool:
+        """Whether no two space marks meet, so that words can be read one by one."""
+        return bool(text) and SPACE not in text and "  " not in text and text[0] != " " and self.newline_alone
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.encode(t) for t in texts]
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        if SPACE not in text and "  " not in text and text[0] != " " and self.newline_alone:  # no two space marks meet
+        if self.plain(text):
             return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(" "))), np.int32)
         parts = text.split(SPACE)
         ids: list[bytes] = []
@@ -200,6 +334,27 @@ class MergeModel(PieceModel):
         super().__init__(path, limit)
         self.text_of = {v[2]: p for p, v in self.automaton.items()}
         self.pairs: dict[int, bool] = {}
+        self.lanes = Lanes({p: v[2] for p, v in self.automaton.items()}, self.apart)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """``encode`` of each text; words that aren't kept are read side by side first."""
+        kept, lines = self.words, self.words.starts
+        split = [t.split(" ") if self.plain(t) else [] for t in texts]
+        new = [w for w in set().union(*split) if w not in kept]
+        parts = [w.split("\n") for w in new if "\n" in w]
+        words = list({w for w in new if "\n" not in w} | {p[0] for p in parts if p[0] not in kept})
+        starts = list({x for p in parts for x in p[1:] if x not in lines})
+        read = {w: ids for w, ids in zip(words, self.lanes([SPACE + w for w in words])) if ids is not None}
+        self.ahead = {x: ids for x, ids in zip(starts, self.lanes(starts)) if ids is not None}
+        stay = max(0, kept.limit - len(kept))
+        kept.update(read)
+        try:
+            return [np.frombuffer(b"".join(map(kept.__getitem__, own)), np.int32) if own else self.encode(t) for t, own in zip(texts, split)]
+        finally:
+            for k, w in enumerate(read):
+                if k >= stay:
+                    del kept[w]
+            self.ahead = {}
 
     def path(self, text: str) -> list[int]:
         if not self.single.issuperset(text):
@@ -222,11 +377,14 @@ class MergeModel(PieceModel):
         """Whether merging keeps piece ``b`` apart from ``a`` before it (-1: from nothing) and whole."""
         known = self.pairs.get(a << 32 | b)
         if known is None:
-            known = self.merged((self.text_of[a] if a >= 0 else "") + self.text_of[b]) == ([a, b] if a >= 0 else [b])
+            known = self.apart(a, b)
             if len(self.pairs) < 2 * self.limit:
                 self.pairs[a << 32 | b] = known
         return known
 
+    def apart(self, a: int, b: int) -> bool:
+        return self.merged((self.text_of[a] if a >= 0 else "") + self.text_of[b]) == ([a, b] if a >= 0 else [b])
+
     def merged(self, text: str) -> list[int]:
         return self.short_path(text) if len(text) <= 64 else self.long_path(text)
 
@@ -334,7 +492,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text") -> D
     def encode(batches):
         model = encoder(model_path)
         for b in slices(batches, 500):
-            ids = [model.encode(t or "") for t in b.column(at).to_pylist()]
+            ids = model.encode_all([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, list_array(ids, pa.int32())], [*b.schema.names, "ids"])
 
     return docs.mapInArrow(encode, _appended(docs, "ids", T.ArrayType(T.IntegerType())))

@@ -151,6 +151,28 @@ def test_piece_ids_are_the_library_s(docs):
     assert [pieces.encoder(path).encode(t).tolist() for t in more] == library.encode(more)
 
 
+def test_words_that_are_not_kept_are_read_side_by_side():
+    path = tokenizers.path("piece_bpe_32k.model")
+    model, single = pieces.MergeModel(path, limit=0), pieces.MergeModel(path)
+    r = random.Random(5)
+    letters = [*"aeinrsthlou", "E", ".", ",", "\n", "é", "ñ", "ß", "'", "0", "日", "tion", "ing"]
+    word = lambda: "".join(r.choice(letters) for _ in range(r.choice((1, 3, 6, 9, 9, 14, 30))))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(60)] + ["", " a", "a  b", "a ", "▁", "x\n\ny\n", "e" * 500]
+    want = [single.encode(t).tolist() for t in texts]
+    assert [x.tolist() for x in model.encode_all(texts)] == want and not model.words and not model.ahead
+    alone, one_by_one = [], model.path
+    model.path = lambda text: alone.append(text) or one_by_one(text)
+    model.encode_all([" ".join(w for w in t.replace("\n", "").split(" ") if w and "日" not in w and len(w) < 40) for t in texts[:60]])
+    assert not alone
+    pairs = {p: v[2] for p, v in model.automaton.items()}
+    for lanes in (pieces.Lanes(pairs, model.apart, bits=4), pieces.Lanes(pairs, model.apart, most=40, lot=7)):  # a full table; lots of few words
+        words = sorted({w for t in texts[:60] for w in t.split(" ")})
+        got = lanes(words)
+        assert all(x is None or x == model.chunk_ids(w) for w, x in zip(words, got))
+        assert sum(x is not None for x in got) > 100
+    assert pieces.Lanes(pairs, model.apart, most=3)(["q", "xyz", ""]) == [None] * 3
+
+
 def test_substring(docs, empty):
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_report(docs).collect()]
     want = [(d, n, gone, hashlib.sha256(kept).hexdigest()) for (d, _, _), (n, gone, kept) in zip(ROWS, brute.substring([r[:2] for r in ROWS]))]
