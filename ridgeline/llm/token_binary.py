@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -75,14 +77,17 @@ class EliasFano:
 class WordIds(dict):
     """Ids of a word, as bytes, for tokenizers that never join words over white space.
 
-    Words are kept in lower case; the first ``limit`` different ones stay.
-    Plain Latin words go straight to the tokenizer's model, since there its
-    normaliser and splitter change nothing; all others take the whole way.
+    Words are kept with A-Z in lower case; the first ``limit`` different ones stay.
+    Latin words go straight to the tokenizer's model in lower case, since the rest of its
+    normaliser and its splitter change nothing there; all others take the whole way.
+    A full stop or comma after a Latin letter is a token of its own.
     """
 
-    _plain = re.compile("[a-zß-öø-ÿœ]+")
+    _plain = re.compile("[a-zÀ-ÖØ-Þß-öø-ÿŒœ]+")
+    #: The same letters before a mark, as UTF-8.
+    _marked = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc5[\x92\x93])[.,]\Z").search
 
-    def __init__(self, path: str, width: int, limit: int = 300_000):
+    def __init__(self, path: str, width: int, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -93,18 +98,24 @@ class WordIds(dict):
 
     def _ids(self, word: str) -> list[int]:
         if self._plain.fullmatch(word):
-            return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word)))]
+            return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word.lower())))]
         return self.tok.encode(word, add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1:] in b".," and b"a" <= word[-2:-1] <= b"z":  # a mark after a letter is a token of its own
+        if self._marked(word):
             ids = self[word[:-1]] + self[word[-1:]]
         else:
-            ids = np.array(self._ids(word.decode()), self.kind).tobytes()
+            ids = self._bytes(self._ids(word.decode()))
         if len(self) < self.limit and len(word) < 64:
             self[word] = ids
         return ids
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        x = array("H" if self.kind == "<u2" else "I", ids)
+        if sys.byteorder == "big":
+            x.byteswap()
+        return x.tobytes()
+
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:  # a special token's string counts only as it is written
             return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, self.kind).tobytes()

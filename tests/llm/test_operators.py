@@ -106,6 +106,20 @@ def test_token_shards(spark, docs, empty, tmp_path):
     assert token_binary.read_documents(spark, f"{tmp_path}/1").count() == 0
 
 
+def test_latin_words_go_straight_to_the_tokenizer_s_model():
+    words = token_binary.WordIds(tokenizers.path("word_bpe_49k.json"), 2, limit=0)
+    ids = lambda text: np.frombuffer(words.encode(text.encode()), "<u2").tolist()
+    whole, tok, asked = lambda text: tok.encode(text, add_special_tokens=False).ids, words.tok, []
+    r = random.Random(9)
+    letters = [*"abcxyzABC.,'0-éÉñÑßœŒ×÷ÿŸİı\u0301日ÞµªÖ", "'s", "...", ".,", "Ó.", "ñ,"]
+    for _ in range(3000):
+        text = "".join(r.choice(letters) for _ in range(r.randint(1, 8)))
+        assert ids(text) == whole(text)
+    words.tok = type("Asked", (), {"encode": lambda _, text, **more: asked.append(text) or tok.encode(text, **more)})()
+    for text in ("Ñieó.", "ciónraadoó,", "Éœuvre", "straße.", "Ø,"):
+        assert ids(text) == whole(text) and set(asked) <= {".", ","}
+
+
 @pytest.mark.parametrize("values", [[0], [5, 5, 5], list(range(0, 9000, 7)), [1 << 20], sorted(random.Random(3).choices(range(5000), k=1000))])
 def test_elias_fano(values):
     code = token_binary.EliasFano.of(np.array(values), values[-1])
