@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import forget, kept, list_array, slices, stored, text_bytes
+from .common import forget, kept, slices, stored, text_bytes
 
 #: Bounds and sizes of the model.
 HEAD = 1 << 18
@@ -168,6 +168,20 @@ class Codes(dict):
 CODED = "doc_id long, row long, train boolean, codes binary, rare array<long>"
 
 
+def encoded(texts: list[bytes], codes: Codes) -> tuple[pa.Array, pa.Array]:
+    """Columns of the texts' codes, as bytes, and of the hashes of their tokens beyond the head."""
+    words, ends = [], [0]
+    for text in texts:
+        words += tokens(text)
+        ends.append(len(words))
+    own = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
+    beyond = np.flatnonzero(own < 0)
+    rare = pa.array(word_hashes([words[k] for k in beyond.tolist()]))
+    ends = np.array(ends)
+    data = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends * 4), pa.py_buffer(own)])
+    return data.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(np.searchsorted(beyond, ends).astype(np.int32)), rare)
+
+
 def coded(rows: DataFrame, head, name: str) -> DataFrame:
     """(doc_id, row, train, codes, rare) for each of ``rows`` (doc_id, text, train): the
     texts' codes, and the hashes of the tokens beyond the head. ``name`` tells models apart in a worker."""
@@ -175,15 +189,10 @@ def coded(rows: DataFrame, head, name: str) -> DataFrame:
     def encode(batches):
         codes, part, row_id = kept(f"lm_scoring {name}", name, lambda: Codes(head.value)), TaskContext.get().partitionId(), 0
         for b in slices(batches, 500):
-            data, rare = [], []
-            for text in b.column(1).to_pylist():
-                words = tokens(text)
-                own = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
-                data.append(own.tobytes())
-                rare.append(word_hashes([words[k] for k in np.flatnonzero(own < 0).tolist()]))
+            data, rare = encoded(b.column(1).to_pylist(), codes)
             ids = np.arange(row_id, row_id + b.num_rows) + (part << 40)
             row_id += b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), b.column(2), pa.array(data, pa.binary()), list_array(rare, pa.int64())], ["doc_id", "row", "train", "codes", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), b.column(2), data, rare], ["doc_id", "row", "train", "codes", "rare"])
 
     return rows.mapInArrow(encode, CODED)
 
@@ -331,6 +340,13 @@ def _hashed(x: np.ndarray, template: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
 
 
+def _row(x: np.ndarray, template: int, size: int) -> np.ndarray:
+    """``_hashed`` modulo ``size``, by a quotient of 32 bits, which numpy finds several times as fast."""
+    h = _hashed(x, template).astype(np.uint32)
+    h -= h // np.uint32(size) * np.uint32(size)
+    return h.astype(np.int64)
+
+
 #: The templates' shares of a table's rows, in eighths.
 SHARES = (3, 2, 2, 1)
 
@@ -350,10 +366,10 @@ def features(codes: np.ndarray, cls: np.ndarray, start: np.ndarray, end: tuple[i
     keys = t1, t1 << 31 ^ t2, t2, (c1 * CLASSES + c2) * CLASSES + c3
     at, first, within = 0, [], []
     for k, (share, key) in enumerate(zip(SHARES, keys)):
-        size = np.uint64(rows * share // 8)
-        first.append(at + (_hashed(key, k) % size).astype(np.int64))
-        within.append(at + (_hashed(key * CLASSES + cls, k) % size).astype(np.int64))
-        at += int(size)
+        size = rows * share // 8
+        first.append(at + _row(key, k, size))
+        within.append(at + _row(key * CLASSES + cls, k, size))
+        at += size
     # what holds everywhere: one row, and one for each class
     return np.stack([*first, np.full(len(codes), rows)]), np.stack([*within, rows + cls])
 

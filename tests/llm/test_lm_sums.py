@@ -55,3 +55,15 @@ def test_what_training_reads(spark, monkeypatch):
     aside = docs.where(F.pmod(F.xxhash64(F.lit("check"), "doc_id"), F.lit(lm_scoring.CHECK)) == 0).count()
     assert 0 < aside == seen["n"] and seen["learn"] == 640 - aside
     assert seen["apart"] and seen["tasks"] <= spark.sparkContext.defaultParallelism
+
+
+def test_texts_of_a_batch_are_encoded_at_once():
+    texts = [b"", b"A b", b"zz b zz", b"", b"q" * 80]
+    codes = lm_scoring.Codes(lm_scoring.word_hashes([b"", b"b"]))
+    data, rare = lm_scoring.encoded(texts, codes)
+    words = [lm_scoring.tokens(t) for t in texts]
+    assert [np.frombuffer(x, np.int32).tolist() for x in data.to_pylist()] == [[codes[w] for w in own] for own in words]
+    assert rare.to_pylist() == [[lm_scoring.word_hash(w) for w in own if w not in (b"", b"b")] for own in words]
+    assert lm_scoring.encoded([], codes)[0].to_pylist() == []
+    x = np.arange(-9, 100_000, 7)
+    assert (lm_scoring._row(x, 2, 1536) == (lm_scoring._hashed(x, 2) % np.uint64(1536)).astype(np.int64)).all()
